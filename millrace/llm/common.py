@@ -39,6 +39,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables up to so many rows of a few dozen bytes are broadcast.
+SMALL_ROWS = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a stored table of narrow rows, marked for broadcast if its count allows that."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def text_key(column: str | Column = "text") -> Column:
     """16 bytes that stand for a text; null for a null text."""
     return F.unhex(F.md5(F.col(column) if isinstance(column, str) else column))
