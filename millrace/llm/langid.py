@@ -15,6 +15,7 @@ from .common import map_arrow
 #: Bounds of the fit: labelled documents of a language, and bytes of dictionary.
 SAMPLE_DOCUMENTS = 256
 DICTIONARY_BYTES = 65_536
+OVERSAMPLE = 2
 #: Texts are compressed in blocks of so many bytes, lest a long text become its own dictionary.
 BLOCK_BYTES = 4_096
 #: The runner-up must be longer by this share; frames' headers don't count.
@@ -35,13 +36,18 @@ def fit(docs: DataFrame, languages: list[str] | None = None, sample: int = SAMPL
     same share of the dictionary at most, so that one long text doesn't fill it.
     """
     docs = docs.select("lang", "text").where("lang IS NOT NULL AND length(trim(text)) > 0")
-    if languages is None:
-        languages = sorted(r[0] for r in docs.select("lang").distinct().collect())
+    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect() if languages is None or r[0] in languages}
+    # Hashes below a bound that some OVERSAMPLE times the sample passes: what comes to the driver doesn't grow with the table.
+    bound = {lang: int(min(1.0, OVERSAMPLE * sample / n) * (2**63 - 1)) for lang, n in counts.items()}
+    passes = F.lit(False)
+    for lang, most in bound.items():
+        passes = passes | ((F.col("lang") == lang) & (F.col("h") <= most))
+    picked = docs.withColumn("h", F.xxhash64("text").bitwiseAND(F.lit(2**63 - 1))).where(passes).select("lang", "h", F.substring("text", 1, size).alias("text")).collect()
     model = {}
-    for lang in languages:
-        rows = docs.where(F.col("lang") == lang).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample).collect()
+    for lang in sorted(counts):
+        rows = sorted((r.h, r.text) for r in picked if r.lang == lang)[:sample]
         share = max(1, size // max(1, len(rows)))
-        texts = [_NOT_LETTERS.sub(" ", r[0].lower()).encode("utf-8", "replace") for r in rows]
+        texts = [_NOT_LETTERS.sub(" ", t.lower()).encode("utf-8", "replace") for _, t in rows]
         parts = [t[:share] for t in texts]
         spare = size - sum(map(len, parts))
         for t in texts:  # what short documents leave over
