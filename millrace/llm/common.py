@@ -48,6 +48,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About so many rows of df, or all if there are fewer: those whose hash of the columns is lowest, the bound being set by the count."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.shiftrightunsigned(F.xxhash64(*by), 11) < int(rows / n * 2**53))
+
+
 def text_key(column: str | Column = "text") -> Column:
     """16 bytes that stand for a text; null for a null text."""
     return F.unhex(F.md5(F.col(column) if isinstance(column, str) else column))
@@ -91,11 +99,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Words of several texts, in order: doc (index of the text), start and end (code points in that text), hash."""
+    """Words of several texts, case folded or not, in order: doc (index of the text), start and end (code points in that text), hash."""
 
-    __slots__ = ("doc", "start", "end", "hash", "bounds")
+    __slots__ = ("doc", "start", "end", "hash", "bounds", "cp", "offset", "inside")
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], fold: bool = True):
         joined = "\n".join(texts)
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -103,6 +111,10 @@ class Tokens:
         folded = _fold()[cp]
         word = np.zeros(len(cp) + 2, np.int8)
         word[1:-1] = folded != 0
+        #: all characters, where each text's begin, and which belong to words
+        self.cp, self.offset, self.inside = cp, offset, word[1:-1]
+        if not fold:
+            folded = cp
         edge = np.flatnonzero(np.diff(word))
         start, end = edge[0::2], edge[1::2]
         #: tokens of text i are bounds[i]:bounds[i + 1]

@@ -38,11 +38,11 @@ def fit(docs: DataFrame, languages: list[str] | None = None, sample: int = SAMPL
     docs = docs.select("lang", "text").where("lang IS NOT NULL AND length(trim(text)) > 0")
     counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect() if languages is None or r[0] in languages}
     # Hashes below a bound that some OVERSAMPLE times the sample passes: what comes to the driver doesn't grow with the table.
-    bound = {lang: int(min(1.0, OVERSAMPLE * sample / n) * (2**63 - 1)) for lang, n in counts.items()}
+    bound = {lang: int(min(1.0, OVERSAMPLE * sample / n) * 2**53) for lang, n in counts.items()}
     passes = F.lit(False)
     for lang, most in bound.items():
         passes = passes | ((F.col("lang") == lang) & (F.col("h") <= most))
-    picked = docs.withColumn("h", F.xxhash64("text").bitwiseAND(F.lit(2**63 - 1))).where(passes).select("lang", "h", F.substring("text", 1, size).alias("text")).collect()
+    picked = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 11)).where(passes).select("lang", "h", F.substring("text", 1, size).alias("text")).collect()
     model = {}
     for lang in sorted(counts):
         rows = sorted((r.h, r.text) for r in picked if r.lang == lang)[:sample]

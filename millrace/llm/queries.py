@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, minhash, pii, sharding, spm
+from . import chat, decontaminate, editembed, html_blocks, importance, langid, minhash, pii, sharding, spm
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,10 +30,27 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, langid.fit(docs))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_read(spark, sf_dir, "pages"))
+
+
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    return chat.formatted(chat.raw_transcripts(conversations), chat.fit(conversations))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editembed.fingerprint_groups(_read(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(_read(spark, sf_dir, "documents"))
 
@@ -43,7 +60,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_language": op4_language,
+    "op5_html": op5_html,
+    "op6_importance": op6_importance,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_chat": op8_chat,
+    "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
