@@ -1,10 +1,391 @@
-"""Queries of the engine's own operators."""
+"""The engine's operators as queries over the star tables, each with the SQL that says the same. Every query reads its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import jsonx, money, text
+from .operators import catalog, chain, polling, revision, schedule
+from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Marks of the platform that an unfenced program must show, in these queries.
+MARKERS = ("AlgorithmBase", "import ")
+ALLOWED = ["PROMO", "STANDARD", "NO SUCH TYPE", "PROMO"]
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "events")
+
+
+def _verdict(c: Column) -> Column:
+    return F.when(c == "purchase", "ok").when(c == "error", "fail")
+
+
+_POLL = """
+WITH seen AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+cut AS (SELECT * FROM seen WHERE n <= {limit}),
+done AS (SELECT user_id, min(n) AS n FROM cut WHERE event_type IN ('purchase', 'error') GROUP BY user_id),
+most AS (SELECT user_id, max(n) AS n FROM cut GROUP BY user_id)
+SELECT m.user_id, CASE c.event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'fail' ELSE 'timeout' END AS outcome, coalesce(d.n, m.n) AS polls, c.event_id
+FROM most m LEFT JOIN done d ON d.user_id = m.user_id LEFT JOIN cut c ON c.user_id = d.user_id AND c.n = d.n"""
+
+
+@query(_POLL.format(limit=60))
+def poll_until_terminal(spark, sf_dir):
+    return polling.poll_until_terminal(_events(spark, sf_dir), "user_id", ["ts", "event_id"], _verdict(F.col("event_type"))).drop("ts")
+
+
+@query(_POLL.format(limit=2))
+def poll_timeout(spark, sf_dir):
+    return polling.poll_until_terminal(_events(spark, sf_dir), "user_id", ["ts", "event_id"], _verdict(F.col("event_type")), limit=2).drop("ts")
+
+
+_STATUS = "CASE event_id % 6 WHEN 0 THEN 'Incomplete' WHEN 1 THEN 'Completed with error' WHEN 2 THEN 'Runtime ERROR' WHEN 3 THEN 'Cancelled' WHEN 4 THEN 'In queue' ELSE event_type END"
+
+
+@query(f"""SELECT event_id, s AS status, CASE WHEN regexp_matches(lower(s), 'complete|finished|success') THEN 'ok' WHEN regexp_matches(lower(s), 'error|failed|cancel') THEN 'fail' END AS verdict,
+CASE WHEN s IN ('Runtime ERROR', 'Cancelled', 'Incomplete', 'Completed with error', 'error') THEN 'fail' END AS strict FROM (SELECT event_id, {_STATUS} AS s FROM events)""")
+def status_classify(spark, sf_dir):
+    s = _events(spark, sf_dir).select("event_id", F.expr(_STATUS).alias("status"))
+    return s.select("*", polling.classify_status(F.col("status")).alias("verdict"), polling.strict_status(F.col("status")).alias("strict"))
+
+
+_STATE = "CASE event_type WHEN 'purchase' THEN 'BuildSuccess' WHEN 'error' THEN 'BuildError' ELSE 'Building' END"
+
+
+@query(f"SELECT user_id, min(CASE WHEN s = 'BuildSuccess' THEN 'ok' WHEN s = 'BuildError' THEN 'fail' END) FILTER (s <> 'Building') AS best, count(*) FILTER (s = 'Building') AS waiting FROM (SELECT user_id, {_STATE} AS s FROM events) GROUP BY user_id".replace("min(CASE", "max(CASE"))
+def build_states(spark, sf_dir):
+    v = polling.classify_build(F.expr(_STATE))
+    return _events(spark, sf_dir).groupBy("user_id").agg(F.max(v).alias("best"), F.count_if(v.isNull()).alias("waiting"))
+
+
+_RESPONSE = """CASE event_id % 8 WHEN 0 THEN 'Error executing tool read_backtest: ' || event_type WHEN 1 THEN '{"error": "' || event_type || '"}' WHEN 2 THEN '{"status": "Completed", "n": 1}'
+WHEN 3 THEN '{"backtest": {"status": "Failed"}}' WHEN 4 THEN '{"completed": true}' WHEN 5 THEN '{"statistics": {"a": 1}}' WHEN 6 THEN '{"status": "Running", "error": ""}' ELSE '{"backtest": {"totalTrades": 0, "charts": [1]}}' END"""
+
+
+@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'fail' WHEN 1 THEN 'fail' WHEN 2 THEN 'ok' WHEN 3 THEN 'fail' WHEN 4 THEN 'ok' WHEN 5 THEN 'ok' WHEN 7 THEN 'ok' END AS verdict FROM events")
+def response_classify(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", polling.classify_response(F.expr(_RESPONSE)).alias("verdict"))
+
+
+def _wrapped(spark, sf_dir) -> DataFrame:
+    t = F.concat(F.lit("x = "), F.length("text").cast("string"), F.lit("\n"), F.lit("def run(): pass"))
+    fence = F.lit("```")
+    return tables.read(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Here:\n"), fence, F.lit("python\n"), t, F.lit("\n"), fence, F.lit("\nDone")))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Here:\n"), fence, F.lit("\n"), t, F.lit("\n"), fence))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("Sure\nimport base\n"), t, F.lit("\nclass A(AlgorithmBase): pass  ")))
+        .otherwise(F.concat(F.lit("Nothing "), F.col("source"))).alias("reply"),
+    )
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN 'import base' || chr(10) || c || chr(10) || 'class A(AlgorithmBase): pass' END AS code
+FROM (SELECT doc_id, 'x = ' || length(text) || chr(10) || 'def run(): pass' AS c FROM documents)""")
+def extract_code(spark, sf_dir):
+    return _wrapped(spark, sf_dir).select("doc_id", text.extract_code(F.col("reply"), MARKERS).alias("code"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['boom ' || event_type, 'line ' || user_id || ' bad', 'line ' || user_id || ' bad'][1:2] WHEN 1 THEN ['CS' || event_id || ' ' || event_type] ELSE ['Compilation failed - no specific error extracted'] END AS errors FROM events")
+def extract_errors(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Error: boom "), "event_type", F.lit("\nat line "), "user_id", F.lit(" bad"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("build: CS"), "event_id", F.lit(" "), "event_type")).otherwise(F.lit("all quiet"))
+    return e.select("event_id", text.with_default(text.error_messages(raw), text.NO_ERROR_TEXT).alias("errors"))
+
+
+_SHAPES = """CASE event_id % 5 WHEN 0 THEN '{"backtestId": "b' || user_id || '"}' WHEN 1 THEN '{"backtestId": "", "id": "i' || user_id || '"}' WHEN 2 THEN '{"backtest": {"backtestId": "n' || user_id || '", "status": "Running"}}'
+WHEN 3 THEN '{"result": {"backtestId": "r' || user_id || '"}, "state": "' || event_type || '"}' ELSE 'text backtestId = "ab12' || user_id || '" end' END"""
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'b' WHEN 1 THEN 'i' WHEN 2 THEN 'n' WHEN 3 THEN 'r' ELSE 'ab12' END || user_id AS id, CASE event_id % 5 WHEN 2 THEN 'Running' WHEN 3 THEN event_type END AS status FROM events""")
+def id_coalesce(spark, sf_dir):
+    raw = F.expr(_SHAPES)
+    return _events(spark, sf_dir).select("event_id", jsonx.resolved_backtest_id(raw, text.backtest_id(raw)).alias("id"), jsonx.status(raw).alias("status"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'p' || user_id WHEN event_id % 3 = 1 THEN 'm' || user_id END AS project_id FROM events")
+def project_from_arguments(spark, sf_dir):
+    raw = F.expr("""CASE event_id % 3 WHEN 0 THEN '{"projectId": "p' || user_id || '"}' WHEN 1 THEN '{"projectId": 0, "model": {"projectId": "m' || user_id || '"}}' ELSE '{"model": {}}' END""")
+    return _events(spark, sf_dir).select("event_id", jsonx.project_id(raw).alias("project_id"))
+
+
+_KINDS = "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '[' || props || ']' WHEN 2 THEN left(props, length(props) - 1) WHEN 3 THEN '' ELSE '{''k'': None, ''u'': ' || user_id || '}' END"
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'invalid' WHEN 3 THEN 'empty' ELSE 'invalid' END AS kind,
+CASE event_id % 5 WHEN 0 THEN json_extract_string(props, '$.k') END AS k, CASE event_id % 5 WHEN 4 THEN user_id::VARCHAR END AS u, CASE event_id % 5 WHEN 1 THEN 'arguments are not an object' WHEN 2 THEN 'arguments are not JSON' WHEN 4 THEN 'arguments are not JSON' END AS complaint FROM events""")
+def safe_parse(spark, sf_dir):
+    raw = F.expr(_KINDS)
+    e = _events(spark, sf_dir).select("event_id", raw.alias("raw")).select("event_id", "raw", jsonx.safe_object(F.col("raw")).alias("o"))
+    return e.select("event_id", jsonx.kind(F.col("raw")).alias("kind"), F.get_json_object("o", "$.k").alias("k"), F.get_json_object("o", "$.u").alias("u"), jsonx.argument_error(F.col("raw")).alias("complaint"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN ['a ' || event_type, 'b'] WHEN 1 THEN ['log ' || user_id, event_type, 'why'] WHEN 2 THEN ['Compilation failed - no specific error extracted'] ELSE ['one'] END AS errors,
+CASE event_id % 4 WHEN 0 THEN '  - a ' || event_type || chr(10) || '  - b' WHEN 1 THEN '  - log ' || user_id || chr(10) || '  - ' || event_type || chr(10) || '  - why' WHEN 2 THEN '  - Compilation failed - no specific error extracted' ELSE '  - one' END AS bullets FROM events""")
+def compile_errors(spark, sf_dir):
+    raw = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"errors": [" a ' || event_type || '", "b", "b", ""], "state": "BuildError"}' WHEN 1 THEN '{"compile": {"logs": ["log ' || user_id || '"]}, "error": "' || event_type || '", "state": "BuildError", "message": "why"}'
+    WHEN 2 THEN '{"state": "BuildSuccess", "message": "fine"}' ELSE '{"errors": "one", "message": "not told"}' END""")
+    return _events(spark, sf_dir).select("event_id", jsonx.compile_errors(raw).alias("errors")).select("event_id", "errors", text.bullets(F.col("errors")).alias("bullets"))
+
+
+@query("SELECT event_id, event_type || chr(10) || props || chr(10) || user_id AS text FROM events")
+def flatten_blocks(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    block = lambda t=none, d=none, m=none, o=none: F.struct(t.alias("text"), d.alias("data"), m.alias("model"), o.alias("other"))
+    blocks = F.array(block(F.col("event_type")), block(F.lit(""), F.col("props")), block(o=F.col("user_id").cast("string")))
+    return _events(spark, sf_dir).select("event_id", jsonx.flatten_blocks(blocks).alias("text"))
+
+
+def _sql_list(names) -> str:
+    return ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+
+
+@query(f"SELECT l.ord::INT AS ord, l.name FROM (VALUES {_sql_list(ALLOWED)}) l(ord, name) WHERE l.name IN (SELECT p_type FROM part)")
+def tool_allowlist(spark, sf_dir):
+    return catalog.allowed(catalog.allow_list(spark, ALLOWED), tables.read(spark, sf_dir, "part").select(F.col("p_type").alias("name")))
+
+
+_NATIONS = ["NATION_7", "NATION_2", "ATLANTIS", "NATION_20"]
+
+
+@query(f"SELECT l.ord::INT AS ord, l.name, CASE WHEN n.n_nationkey % 2 = 0 THEN n.n_name || ' tool' ELSE '' END AS description, CASE WHEN n.n_regionkey > 1 THEN 'r' || n.n_regionkey ELSE '{{}}' END AS input_schema FROM (VALUES {_sql_list(_NATIONS)}) l(ord, name) JOIN nation n ON n.n_name = l.name")
+def tool_cards(spark, sf_dir):
+    tools = tables.read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit(" tool"))).alias("description"), F.when(F.col("n_regionkey") > 1, F.concat(F.lit("r"), "n_regionkey")).alias("input_schema"))
+    return catalog.cards(catalog.allow_list(spark, _NATIONS), tools)
+
+
+@query("SELECT c_custkey, c_mktsegment AS name, 'BUILDING, MACHINERY' AS available FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def refused_tools(spark, sf_dir):
+    calls = tables.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("name"))
+    return catalog.refused(calls, catalog.allow_list(spark, ["BUILDING", "MACHINERY"])).select("c_custkey", "name", "available")
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY n) AS types FROM (SELECT user_id, event_type, min(n) AS n FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY ALL) GROUP BY user_id")
+def ordered_distinct(spark, sf_dir):
+    rows = F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    return _events(spark, sf_dir).groupBy("user_id").agg(rows.alias("r")).select("user_id", F.array_join(text.ordered_distinct(F.transform("r", lambda x: F.concat(F.lit(" "), x["event_type"], F.lit("\t")))), ",").alias("types"))
+
+
+@query("SELECT user_id, string_agg(event_type, chr(10) ORDER BY event_type) AS fingerprint FROM events GROUP BY user_id")
+def error_fingerprint(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("user_id").agg(revision.fingerprint(F.collect_list("event_type")).alias("fingerprint"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def catalog_last_wins(spark, sf_dir):
+    return catalog.last_wins(_events(spark, sf_dir).select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT user_id, string_agg('  - ' || event_type, chr(10) ORDER BY n) FILTER (n <= 10) AS bullets, string_agg(event_type, ', ' ORDER BY n) FILTER (n <= 3) || CASE WHEN count(*) > 3 THEN '...' ELSE '' END AS preview FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY user_id")
+def error_bullets(spark, sf_dir):
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
+    return _events(spark, sf_dir).groupBy("user_id").agg(rows.alias("r")).select("user_id", text.bullets(F.col("r")).alias("bullets"), text.preview(F.col("r")).alias("preview"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'error') < 12 AND count(*) FILTER (event_type = 'signup') > 0 AND count(*) FILTER (event_type = 'purchase') > 0 AS success FROM events GROUP BY user_id")
+def success_gate(spark, sf_dir):
+    flags = _events(spark, sf_dir).groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") < 12).alias("c"), (F.count_if(F.col("event_type") == "signup") > 0).alias("b"), F.count_if(F.col("event_type") == "purchase").alias("t"))
+    return flags.select("user_id", revision.succeeded(F.col("c"), F.col("b"), F.col("t")).alias("success"))
+
+
+_ATTEMPTS = """SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS attempt, event_id % 11 = 0 AS raised, event_id % 7 <> 0 AS submitted, event_type NOT IN ('error', 'signup') AS compile_ok, event_type <> 'view' AS backtest_ok,
+CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS INT) % 3 ELSE 0 END AS trades, event_type AS message, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'p' || event_id END AS project_id, event_id % 3 <> 0 AS changed FROM events"""
+
+
+@query(f"""WITH RECURSIVE a AS ({_ATTEMPTS}), f(user_id, n, outcome, final, revisions, project, seen) AS (
+SELECT DISTINCT user_id, 0, '', NULL::INT, 0, '', ''::VARCHAR FROM a
+UNION ALL SELECT f.user_id, f.n + 1,
+CASE WHEN f.outcome <> '' OR a.raised OR NOT a.submitted THEN f.outcome WHEN a.compile_ok AND a.backtest_ok AND a.trades > 0 THEN 'success' WHEN f.revisions >= 3 THEN 'revisions' WHEN NOT a.compile_ok AND contains(f.seen, '<' || a.message || '>') THEN 'repeated' ELSE '' END,
+CASE WHEN f.outcome <> '' OR a.raised OR NOT a.submitted THEN f.final WHEN (a.compile_ok AND a.backtest_ok AND a.trades > 0) OR f.revisions >= 3 OR (NOT a.compile_ok AND contains(f.seen, '<' || a.message || '>')) THEN a.attempt ELSE f.final END,
+CASE WHEN f.outcome <> '' OR a.raised OR NOT a.submitted OR (a.compile_ok AND a.backtest_ok AND a.trades > 0) OR f.revisions >= 3 OR (NOT a.compile_ok AND contains(f.seen, '<' || a.message || '>')) THEN f.revisions WHEN (NOT a.compile_ok OR a.trades = 0) AND a.changed THEN f.revisions + 1 ELSE f.revisions END,
+CASE WHEN f.outcome <> '' OR a.raised OR NOT a.submitted OR a.project_id = '' THEN f.project ELSE a.project_id END,
+CASE WHEN f.outcome <> '' OR a.raised OR NOT a.submitted OR (a.compile_ok AND a.backtest_ok AND a.trades > 0) OR f.revisions >= 3 THEN f.seen WHEN NOT a.compile_ok THEN f.seen || '<' || a.message || '>' WHEN a.trades = 0 AND a.changed THEN '' ELSE f.seen END
+FROM f JOIN a ON a.user_id = f.user_id AND a.attempt = f.n + 1 WHERE f.n < 8)
+SELECT user_id, CASE WHEN outcome = '' THEN 'exhausted' ELSE outcome END AS outcome, final AS final_attempt, revisions, project AS project_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS k FROM f) WHERE k = 1""")
+def revision_fold(spark, sf_dir):
+    _events(spark, sf_dir).createOrReplaceTempView("events")
+    a = spark.sql(_ATTEMPTS).withColumn("errors", F.array("message"))
+    return revision.fold(a, "user_id", max_attempts=8)
+
+
+@query("""SELECT event_id, last_value(nullif(p, '') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS project, event_type <> coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS changed FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'p' || event_id ELSE '' END AS p FROM events)""")
+def sticky_values(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("p", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("p"), "event_id")).otherwise(""))
+    return e.select("event_id", revision.sticky("user_id", ["ts", "event_id"], "p").alias("project"), revision.changed_code(e, "user_id", ["ts", "event_id"], "event_type").alias("changed"))
+
+
+@query("SELECT l_orderkey, count(*) AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate::DATE = o_orderdate::DATE GROUP BY l_orderkey")
+def same_day_expiry(spark, sf_dir):
+    lines, orders = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate"), tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).where(chain.same_day(F.col("l_shipdate"), F.col("o_orderdate"))).groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+
+
+def _contracts(spark, sf_dir) -> DataFrame:
+    return tables.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("snapshot"), F.when(F.col("l_returnflag") == "N", "Call").otherwise("Put").alias("kind"), F.nullif(F.col("l_discount").cast("double"), F.lit(0.0)).alias("delta"), F.col("l_quantity").cast("double").alias("strike"))
+
+
+_CONTRACTS = "SELECT l_orderkey AS snapshot, CASE WHEN l_returnflag = 'N' THEN 'Call' ELSE 'Put' END AS kind, nullif(l_discount::DOUBLE, 0) AS delta, l_quantity::DOUBLE AS strike FROM lineitem"
+
+
+@query(f"""SELECT snapshot, count(*) AS contracts, count(*) FILTER (kind = 'Put') AS puts, count(*) FILTER (kind = 'Call') AS calls, count(delta) AS with_delta,
+CASE WHEN count(delta) = 0 THEN 'no deltas' WHEN count(*) FILTER (delta > 0.08) = 0 THEN 'no match' ELSE 'tradable' END AS cause FROM ({_CONTRACTS}) GROUP BY snapshot""")
+def zero_trade_cause(spark, sf_dir):
+    c = _contracts(spark, sf_dir)
+    counts = c.groupBy("snapshot").agg(F.count("*").alias("contracts"), F.count_if(F.col("kind") == "Put").alias("puts"), F.count_if(F.col("kind") == "Call").alias("calls"), F.count("delta").alias("with_delta"), F.count_if(F.col("delta") > 0.08).alias("m"))
+    return counts.withColumn("cause", chain.no_trade_cause(F.col("contracts"), F.col("with_delta"), F.col("m"))).drop("m")
+
+
+@query(f"""SELECT snapshot, kind, count(*) AS n, round(sum(strike), 2) AS strikes FROM (SELECT *, max(delta) OVER (PARTITION BY snapshot) IS NOT NULL AS any_delta FROM ({_CONTRACTS}))
+WHERE CASE WHEN any_delta THEN delta IS NOT NULL ELSE (kind = 'Put' AND strike < 25 * 0.95) OR (kind = 'Call' AND strike > 25 * 1.05) END GROUP BY snapshot, kind""")
+def delta_fallback(spark, sf_dir):
+    kept = chain.with_fallback(_contracts(spark, sf_dir), ["snapshot"], F.col("delta"), chain.out_of_the_money(F.col("kind"), F.col("strike"), F.lit(25), 0.05))
+    return kept.groupBy("snapshot", "kind").agg(F.count("*").alias("n"), F.round(F.sum("strike"), 2).alias("strikes"))
+
+
+_PRICE = "SELECT floor(avg(p_retailprice)) AS price FROM part"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Put' ELSE 'Call' END AS kind FROM part, ({_PRICE}) WHERE (p_size % 2 = 0 AND p_retailprice < price) OR (p_size % 2 = 1 AND p_retailprice > price)")
+def otm_filter(spark, sf_dir):
+    part = tables.read(spark, sf_dir, "part")
+    price = part.agg(F.floor(F.avg("p_retailprice")).alias("price"))
+    rows = part.select("p_partkey", "p_retailprice", F.when(F.col("p_size") % 2 == 0, "Put").otherwise("Call").alias("kind")).crossJoin(F.broadcast(price))
+    return rows.where(chain.out_of_the_money(F.col("kind"), F.col("p_retailprice"), F.col("price"))).select("p_partkey", "kind")
+
+
+@query(f"SELECT p_partkey FROM (SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand, p_retailprice > price ORDER BY abs(p_retailprice - price), p_retailprice) AS n FROM part, ({_PRICE})) WHERE n <= 5")
+def strike_band(spark, sf_dir):
+    part = tables.read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    price = part.agg(F.floor(F.avg("p_retailprice")).alias("price"))
+    return chain.strike_band(part.crossJoin(F.broadcast(price)), ["p_brand"], "p_retailprice", F.col("price"), most=5).select("p_partkey")
+
+
+@query(f"SELECT p_partkey, CASE WHEN d <= 0.02 THEN 'at the money' WHEN d <= 0.04 THEN '0.25-0.30' WHEN d <= 0.06 THEN '0.15-0.20' WHEN d <= 0.08 THEN '0.10-0.15' ELSE 'below 0.10' END AS band FROM (SELECT p_partkey, abs(p_retailprice::DOUBLE - price) / price AS d FROM part, ({_PRICE}))")
+def delta_bands(spark, sf_dir):
+    part = tables.read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("p"))
+    price = tables.read(spark, sf_dir, "part").agg(F.floor(F.avg("p_retailprice")).alias("price"))
+    return part.crossJoin(F.broadcast(price)).select("p_partkey", money.delta_band(F.abs(F.col("p") - F.col("price")) / F.col("price")).alias("band"))
+
+
+@query("SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - 1400), p_retailprice, p_partkey) AS n FROM part) WHERE n = 1")
+def nearest_strike(spark, sf_dir):
+    return chain.nearest(tables.read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], "p_retailprice", F.lit(1400), ["p_partkey"]).drop("p_retailprice")
+
+
+def _days(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+
+
+@query("""SELECT u.user_id, u.day, max_by(e.event_id, (e.ts, e.event_id)) FILTER (e.ts <= u.day::TIMESTAMP + INTERVAL 10 HOUR) AS event_id FROM (SELECT DISTINCT user_id, ts::DATE AS day FROM events) u JOIN events e ON e.user_id = u.user_id AND e.ts::DATE = u.day GROUP BY u.user_id, u.day""")
+def snapshot_asof(spark, sf_dir):
+    d = _days(spark, sf_dir).select("user_id", "day", "ts", "event_id")
+    fires = d.select("user_id", "day").distinct().withColumn("fire_ts", schedule.minutes_after(F.col("day").cast("timestamp_ntz"), 600))
+    return chain.as_of(fires, d, ["user_id", "day"], "fire_ts", "ts", ["event_id"]).select("user_id", "day", "event_id")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS snapshot FROM events")
+def cached_snapshot(spark, sf_dir):
+    return _days(spark, sf_dir).select("event_id", chain.last_non_empty(["user_id", "day"], ["ts", "event_id"], F.when(F.col("event_type") != "view", F.col("event_type"))).alias("snapshot"))
+
+
+@query("SELECT event_id, ts FROM events WHERE strftime(ts, '%H:%M') BETWEEN '09:45' AND '11:00'")
+def entry_window(spark, sf_dir):
+    return _events(spark, sf_dir).where(schedule.in_window(F.col("ts"), "09:45", "11:00")).select("event_id", "ts")
+
+
+@query("SELECT day, event_id FROM (SELECT ts::DATE AS day, event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase' AND strftime(ts, '%H:%M') BETWEEN '09:45' AND '11:00') WHERE n = 1")
+def one_entry_per_day(spark, sf_dir):
+    rows = _days(spark, sf_dir).where((F.col("event_type") == "purchase") & schedule.in_window(F.col("ts"), "09:45", "11:00"))
+    return schedule.one_per(rows.select("day", "ts", "event_id"), ["day"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT event_id FROM events WHERE ts::DATE IN (SELECT ts::DATE FROM events GROUP BY 1 HAVING max(value) <= 300)")
+def vix_gate(spark, sf_dir):
+    d = _days(spark, sf_dir)
+    return d.select("event_id", "day").join(schedule.calm_days(d, "day", "value", 300.0), "day", "left_semi").select("event_id")
+
+
+@query("SELECT d::DATE AS day, e.event, d::DATE + e.clock::TIME AS fire_ts FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) r(d), (VALUES ('entry', '10:00'), ('exit', '15:45'), ('reset', '09:31')) e(event, clock) WHERE d <> TIMESTAMP '2024-01-15'")
+def schedule_calendar(spark, sf_dir):
+    return schedule.calendar(spark, "2024-01-01", "2024-01-30", {"entry": "10:00", "exit": "15:45", "reset": "09:31"}, closed=("2024-01-15",))
+
+
+@query("""SELECT user_id, day, least(a, b, c) AS exit_ts, CASE WHEN a = least(a, b, c) THEN 'profit' WHEN b = least(a, b, c) THEN 'loss' WHEN c = least(a, b, c) THEN 'time' END AS reason FROM
+(SELECT user_id, ts::DATE AS day, min(ts) FILTER (value >= 40) AS a, min(ts) FILTER (event_type = 'error') AS b, min(ts) FILTER (strftime(ts, '%H:%M') >= '15:50') AS c FROM events GROUP BY 1, 2)""")
+def exit_first_of(spark, sf_dir):
+    return schedule.first_exit(_days(spark, sf_dir), ["user_id", "day"], "ts", {"profit": F.col("value") >= 40, "loss": F.col("event_type") == "error", "time": F.date_format("ts", "HH:mm") >= "15:50"})
+
+
+@query("SELECT event_id, CASE WHEN n > 3 THEN 'done' WHEN event_type = 'purchase' THEN 'invested' WHEN value > 100 THEN 'not allowed' WHEN user_id % 5 = 0 THEN 'empty cache' ELSE 'enter' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events)")
+def entry_gate(spark, sf_dir):
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    d = _days(spark, sf_dir).withColumn("n", F.row_number().over(w))
+    return d.select("event_id", schedule.gate(F.col("n") > 3, F.col("event_type") == "purchase", F.col("value") <= 100, F.col("user_id") % 5).alias("outcome"))
+
+
+@query("SELECT l_partkey, -sum(q) AS quantity, 'End of day' AS tag FROM (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * l_quantity::BIGINT AS q FROM lineitem) GROUP BY l_partkey HAVING sum(q) <> 0")
+def closing_positions(spark, sf_dir):
+    q = F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * F.col("l_quantity").cast("bigint")
+    return schedule.closing_orders(schedule.positions(tables.read(spark, sf_dir, "lineitem"), ["l_partkey"], q))
+
+
+@query("SELECT l_returnflag, l_partkey % 10 AS part, sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * l_quantity::BIGINT) AS quantity FROM lineitem GROUP BY 1, 2")
+def position_quantity(spark, sf_dir):
+    q = F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * F.col("l_quantity").cast("bigint")
+    return schedule.positions(tables.read(spark, sf_dir, "lineitem").withColumn("part", F.col("l_partkey") % 10), ["l_returnflag", "part"], q)
+
+
+@query("""SELECT o_orderkey, greatest(1, floor((o_custkey - 5)::DOUBLE / 3))::BIGINT AS third, floor(o_totalprice::DOUBLE * 0.02 / nullif(o_custkey % 50, 0))::BIGINT AS capped,
+CASE WHEN o_orderpriority = '1-URGENT' THEN 0.65 ELSE 0 END::DOUBLE AS fee, CASE WHEN o_orderpriority = '1-URGENT' THEN round(0.65 * (o_custkey % 7), 2) ELSE 0 END::DOUBLE AS fees FROM orders""")
+def sizing_and_fees(spark, sf_dir):
+    o = tables.read(spark, sf_dir, "orders")
+    urgent = {"charged": "1-URGENT"}
+    return o.select(
+        "o_orderkey", money.third(F.col("o_custkey") - 5).cast("bigint").alias("third"), money.risk_capped(F.col("o_totalprice").cast("double"), F.col("o_custkey") % 50).cast("bigint").alias("capped"),
+        money.fee(F.col("o_orderpriority"), F.lit(1), **urgent).cast("double").alias("fee"), F.round(money.fee(F.col("o_orderpriority"), F.col("o_custkey") % 7, per_contract=True, **urgent), 2).cast("double").alias("fees"),
+    )
+
+
+@query("SELECT event_id, round((value - 20) / 20 * sign(event_id % 3 - 1), 6) + 0.0 AS profit FROM events")
+def unrealised_profit(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", (F.round(money.profit_percent(F.col("value"), F.lit(20.0), F.col("event_id") % 3 - 1), 6) + F.lit(0.0)).alias("profit"))
+
+
+@query("SELECT user_id, 'run' || user_id AS projectName, '' AS projectId, n > 60 AS compileOk, 0::INT AS trades, '[]' AS errors, '' AS notes FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def exec_result_json(spark, sf_dir):
+    from .sources import results
+
+    runs = _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", F.concat(F.lit("run"), "user_id").alias("project_name"), F.lit(None).cast("string").alias("project_id"), (F.col("n") > 60).alias("compile_ok"))
+    j = results.with_defaults(runs).select("user_id", results.to_wire().alias("j"))
+    g = lambda k: F.get_json_object("j", f"$.{k}")
+    return j.select("user_id", g("projectName").alias("projectName"), g("projectId").alias("projectId"), g("compileOk").cast("boolean").alias("compileOk"), g("trades").cast("int").alias("trades"), g("compileErrors").alias("errors"), g("notes").alias("notes"))
+
+
+@query("SELECT event_id, (CASE event_id % 4 WHEN 0 THEN 'straddle' WHEN 1 THEN 'iron fly' ELSE 'long call' END IN ('long call', 'straddle')) AND event_id % 5 <= 2 AS valid, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN round(value * 1.05, 6) END AS target FROM events")
+def spec_validation(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    conditions = F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array_repeat(F.lit("c"), (F.col("event_id") % 5).cast("int")))
+    kind = F.when(F.col("event_id") % 4 == 0, "straddle").when(F.col("event_id") % 4 == 1, "iron fly").otherwise("long call")
+    method = F.when(F.col("event_id") % 3 == 0, "ATM").when(F.col("event_id") % 3 == 1, "OTM").otherwise("delta")
+    return e.select("event_id", schedule.valid_spec(kind, conditions).alias("valid"), F.round(schedule.strike_target(method, F.col("value"), F.lit(0.05)), 6).alias("target"))
+
+
+@query("SELECT event_id, 'The program made no trades. Run report:' || chr(10) || CASE WHEN event_id % 2 = 0 THEN 'No additional info' ELSE event_type END || chr(10) || chr(10) || 'Revise this program:' || chr(10) || chr(10) || props AS zero, CASE WHEN event_id % 2 = 0 THEN 'Create project n' ELSE 'Use project ' || user_id END || ' and run:' || chr(10) || chr(10) || props AS run FROM events")
+def prompts(spark, sf_dir):
+    odd = F.col("event_id") % 2 == 1
+    return _events(spark, sf_dir).select("event_id", text.zero_trades_prompt(F.col("props"), F.when(odd, F.col("event_type")).otherwise("")).alias("zero"), text.execution_prompt(F.col("props"), F.lit("n"), F.when(odd, F.col("user_id").cast("string"))).alias("run"))
