@@ -137,7 +137,7 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     rows = stored(_grouped(pair, threshold))
     groups = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("kept"), F.sum("n").alias("size")).where("size > 1")
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))
-    action = rows.join(groups, "root").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), kept.alias("__kept"), "n").where("n > 1 OR NOT __kept")
+    action = rows.join(groups, "root").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), kept.alias("__kept"), F.col("n").alias("__n")).where("__n > 1 OR NOT __kept")
     action = stored(action)
     names = docs.columns
     marked = docs.withColumn("__text", text_key()).join(small(action), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left")

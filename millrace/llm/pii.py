@@ -308,7 +308,7 @@ def _replaced(docs: DataFrame, key: bytes) -> DataFrame:
         new = [replace(t, key, {(o["kind"], o["value"]): o["new"] for o in x} if x else handle.value) if t is not None else (None, 0) for t, x in zip(batch.column(at).to_pylist(), own)]
         yield pa.record_batch([*batch.columns[:-1], pa.array([n[0] for n in new], pa.string()), pa.array([n[1] for n in new], pa.int32())], names=[*batch.schema.names[:-1], "__text", "__n"])
 
-    return map_arrow(source, run, source.selectExpr(*[f"`{c}`" for c in docs.columns], "'' AS __text", "0 AS __n").schema)
+    return map_arrow(source, run, source.selectExpr(*[f"`{c}`" for c in docs.columns], "CAST(NULL AS STRING) AS __text", "CAST(NULL AS INT) AS __n").schema)
 
 
 def replaced(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
