@@ -1,0 +1,228 @@
+"""Rules worked out by hand: text and JSON quirks, polling, the revision fold, chains, schedules, sources, sinks, streams."""
+
+import json
+import time
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.functions import jsonx, money, text
+from millrace.operators import catalog, chain, polling, revision, schedule
+from millrace.plans.params import Limits, with_file
+from millrace.sources import responses, results
+
+
+def each(spark, values, fn, kind="string"):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}").select("i", fn(F.col("v")).alias("r")).collect()
+    return [r.r for r in sorted(rows, key=lambda r: r.i)]
+
+
+T = "```"
+
+
+def test_extract_code(spark):
+    cases = {
+        f"a {T}python\nx = 1\n{T} b {T}python\ny\n{T}": "x = 1",
+        f"{T}python\n{T}": "",
+        f"{T}Python\nfrom x\n{T}": None,
+        f"{T}\nimport a\n{T}": "import a",
+        f"{T}\nplain words\n{T}": None,
+        f"{T}json\nx\n{T}\nfrom here on\n{T}": "from here on",
+        "Hi\nimport x\nclass A(Base): pass\n bye ": "import x\nclass A(Base): pass\n bye",
+        "Hi\nimport x\nno marker": None,
+        "importance\nBase": None,
+        None: None,
+    }
+    assert each(spark, list(cases), lambda c: text.extract_code(c, ("Base",))) == list(cases.values())
+
+
+def test_ids_and_errors(spark):
+    assert each(spark, ["backtestId: 'ab12'", '{"backtestId" : "F0"}', "backtestId: ab12", "backtestId='xyz'"], text.backtest_id) == ["ab12", "F0", None, None]
+    found = each(spark, ["Error: one\nline 3: two", "CS0103 gone", "ERROR:\ttail", "fine", "error: a\rb\n"], text.error_messages)
+    assert found == [["one", "line 3: two"], ["CS0103 gone"], ["tail"], [], ["a\rb"]]
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["a", " a", "b\t", "", "  ", "c"]), max_size=8))
+def test_ordered_distinct(spark, items):
+    want = list(dict.fromkeys(x.strip() for x in items if x.strip()))
+    df = spark.createDataFrame([(items,)], "v array<string>").select(text.ordered_distinct(F.col("v")).alias("r"))
+    assert df.first().r == want
+    assert spark.createDataFrame([(want,)], "v array<string>").select(text.ordered_distinct(F.col("v")).alias("r")).first().r == want
+
+
+def test_falsy_values_are_skipped(spark):
+    raws = ['{"backtestId": "", "id": 7}', '{"id": 0, "backtest": {"backtestId": "n"}}', '{"result": {"backtestId": "r"}}', '{"id": false}', "[]", "nonsense", None]
+    assert each(spark, raws, lambda c: jsonx.first_truthy(c, jsonx.ID_PATHS)) == ["7", "n", "r", None, None, None, None]
+
+
+def test_safe_object(spark):
+    raws = ['{"a": 1}', "[1]", "3", "", None, "{'a': None, 'b': True}", "{'a': ", "[1, 'x']"]
+    got = [json.loads(x) for x in each(spark, raws, jsonx.safe_object)]
+    assert got == [{"a": 1}, {}, {}, {}, {}, {"a": None, "b": True}, {}, {}]
+
+
+def test_compile_errors(spark):
+    raws = ['{"errors": ["x", " x ", 5]}', '{"errors": "solo"}', '{"compile": {"logs": "one text"}}', '{"state": "BuildError", "message": "m", "error": "e"}', '{"message": "m"}', "Error: plain\n", "[1]", "", None]
+    none = [text.NO_ERROR_TEXT]
+    assert each(spark, raws, jsonx.compile_errors) == [["x", "5"], ["solo"], ["one text"], ["e", "m"], none, ["plain"], none, none, none]
+
+
+def test_looks_complete(spark):
+    raws = ['{"completed": true}', '{"completed": "true"}', '{"finished": 1}', '{"statistics": {}}', '{"statistics": {"a": 1}}', '{"totalTrades": 0}', '{"backtest": {"finished": true}}', '{"backtest": "x"}', "{}", "[]", ""]
+    assert each(spark, raws, jsonx.looks_complete) == [True, False, False, False, True, False, True, False, False, False, False]
+
+
+def test_status_rules(spark):
+    values = ["Completed with error", "Incomplete", "Unsuccessful", "Failed", "CANCELLED", "Running", None]
+    assert each(spark, values, polling.classify_status) == ["ok", "ok", "ok", "fail", "fail", None, None]
+    assert each(spark, values, polling.strict_status) == ["fail", "fail", "fail", "fail", "fail", None, None]
+
+
+def test_response_rules(spark):
+    raws = ["Error executing tool read_backtest: x", '{"error": "x", "status": "Completed"}', '{"status": "Completed"}', '{"status": "Failed", "statistics": {"a": 1}}', '{"status": "Running", "charts": [1]}', '{"status": "Running"}', "Error executing tool other"]
+    assert each(spark, raws, polling.classify_response) == ["fail", "fail", "ok", "fail", "ok", None, None]
+
+
+def polls(spark, runs):
+    rows = [(run, n, n * 10, v) for run, vs in runs.items() for n, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "run string, ts long, event_id long, verdict string")
+
+
+def test_poll_limits(spark):
+    df = polls(spark, {"a": [None, "ok", "fail"], "b": [None] * 61 + ["ok"], "c": [None] * 59 + ["fail"], "d": [None]})
+    got = {r.run: (r.outcome, r.polls, r.event_id) for r in polling.poll_until_terminal(df, "run", ["ts", "event_id"], F.col("verdict")).collect()}
+    assert got == {"a": ("ok", 2, 10), "b": ("timeout", 60, None), "c": ("fail", 60, 590), "d": ("timeout", 1, None)}
+
+
+OK = dict(raised=False, submitted=True, compile_ok=True, backtest_ok=True, trades=3, errors=[], project_id="p", changed=True)
+BAD = {**OK, "compile_ok": False, "backtest_ok": False, "trades": 0, "errors": ["x", "y"]}
+IDLE = {**OK, "trades": 0}
+FOLDS = {
+    "success": ([OK], ("success", 1, 0, "p")),
+    "raised then success": ([{**OK, "raised": True, "project_id": "q"}, OK], ("success", 2, 0, "p")),
+    "never submitted": ([{**OK, "submitted": False}] * 3, ("exhausted", None, 0, "")),
+    "same errors in another order": ([BAD, {**BAD, "errors": ["y", "x"]}], ("repeated", 2, 1, "p")),
+    "more of the same error is another": ([BAD, {**BAD, "errors": ["x", "x", "y"]}, OK], ("success", 3, 2, "p")),
+    "no errors told": ([{**BAD, "errors": []}, {**BAD, "errors": None}], ("repeated", 2, 1, "p")),
+    "idle clears errors": ([BAD, IDLE, BAD], ("exhausted", None, 3, "p")),
+    "idle without change keeps errors": ([BAD, {**IDLE, "changed": False}, BAD], ("repeated", 3, 1, "p")),
+    "failed backtest repeats": ([{**OK, "backtest_ok": False}] * 3, ("exhausted", None, 0, "p")),
+    "negative trades": ([{**OK, "trades": -1}] * 2, ("exhausted", None, 0, "p")),
+    "sticky project": ([{**BAD, "project_id": "q"}, {**OK, "project_id": ""}], ("success", 2, 1, "q")),
+}
+
+
+def attempts(spark, cases):
+    names = list(OK)
+    rows = [(case, n + 1, *[a[k] for k in names]) for case, (steps, _) in cases.items() for n, a in enumerate(steps)]
+    return spark.createDataFrame(rows, "run string, attempt int, raised boolean, submitted boolean, compile_ok boolean, backtest_ok boolean, trades int, errors array<string>, project_id string, changed boolean")
+
+
+def test_revision_rules(spark):
+    got = {r.run: (r.outcome, r.final_attempt, r.revisions, r.project_id) for r in revision.fold(attempts(spark, FOLDS), "run").collect()}
+    assert got == {k: want for k, (_, want) in FOLDS.items()}
+
+
+def test_revisions_used_up(spark):
+    steps = [{**BAD, "errors": [str(i)]} for i in range(6)]
+    df = attempts(spark, {"r": (steps, None)})
+    assert revision.fold(df, "run", max_attempts=6).first()[1:4] == ("revisions", 4, 3)
+    assert revision.fold(df, "run").first()[1:4] == ("exhausted", None, 3)
+
+
+def test_catalog(spark):
+    tools = spark.createDataFrame([("a", None, None), ("b", "B", '{"x": 1}')], "name string, description string, input_schema string")
+    listed = catalog.allow_list(spark, ["b", "z", "a", "b"])
+    assert [(r.ord, r.name) for r in catalog.allowed(listed, tools).orderBy("ord").collect()] == [(0, "b"), (2, "a"), (3, "b")]
+    assert [tuple(r) for r in catalog.cards(listed, tools).orderBy("ord").collect()] == [(0, "b", "B", '{"x": 1}'), (2, "a", "", "{}"), (3, "b", "B", '{"x": 1}')]
+    refused = catalog.refused(spark.createDataFrame([("q",), ("a",)], "name string"), listed).collect()
+    assert [(r.name, r.available) for r in refused] == [("q", "b, z, a, b")]
+
+
+def test_chain_rules(spark):
+    rows = [("s", "Put", 90.0, None), ("s", "Put", 99.0, 0.0), ("s", "Call", 106.0, None), ("t", "Put", 94.0, None), ("t", "Put", 95.0, None), ("t", "Call", 105.1, None), ("t", "Call", 100.0, None)]
+    df = spark.createDataFrame(rows, "snapshot string, kind string, strike double, delta double")
+    kept = chain.with_fallback(df, ["snapshot"], F.col("delta"), chain.out_of_the_money(F.col("kind"), F.col("strike"), F.lit(100.0), 0.05)).collect()
+    assert sorted((r.snapshot, r.strike) for r in kept) == [("s", 99.0), ("t", 94.0), ("t", 105.1)]
+    pick = chain.nearest(df, ["snapshot"], "strike", F.lit(98.0), ["kind"]).collect()
+    assert {r.snapshot: r.strike for r in pick} == {"s": 99.0, "t": 100.0}
+    assert chain.strike_band(df, ["snapshot"], "strike", F.lit(100.0), most=1).count() == 4
+
+
+def test_as_of_without_a_snapshot(spark):
+    fires = spark.createDataFrame([(1, 10), (2, 10), (3, 1)], "day int, fire int")
+    snaps = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (1, 11, "c"), (3, 2, "d")], "day int, ts int, snap string")
+    assert sorted((r.day, r.snap) for r in chain.as_of(fires, snaps, ["day"], "fire", "ts", ["snap"]).collect()) == [(1, "b"), (2, None), (3, None)]
+
+
+def test_gate_order_and_money(spark):
+    flags = [(True, True, False, 0), (False, True, False, 0), (False, False, False, 0), (False, False, True, 0), (False, False, True, None), (False, False, True, 2)]
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(flags)], "i int, d boolean, v boolean, c boolean, n int").orderBy("i")
+    assert [r.g for r in df.select(schedule.gate(F.col("d"), F.col("v"), F.col("c"), F.col("n")).alias("g")).collect()] == ["done", "invested", "not allowed", "empty cache", "empty cache", "enter"]
+    assert each(spark, [0, 5, 6, 10, -7], money.third, "int") == [1, 1, 2, 3, 1]
+    assert each(spark, [0.0, 100.0, None], lambda c: money.risk_capped(F.lit(100_000.0), c), "double") == [None, 20, None]
+
+
+def test_changed_code(spark):
+    df = spark.createDataFrame([("r", 1, "a"), ("r", 2, "a"), ("r", 3, ""), ("r", 4, "b"), ("r", 5, None)], "run string, n int, code string")
+    assert [r.c for r in df.select("n", revision.changed_code(df, "run", ["n"], "code").alias("c")).orderBy("n").collect()] == [True, False, False, True, False]
+
+
+def test_recorded_responses_and_results(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"run": "r", "seq": 1, "tool": "read_backtest", "arguments": {"x": 1}, "response": "{}"}\nbroken\n[1]\n')
+    (tmp_path / "b.jsonl").write_text('{"run": "s", "seq": 2}\n')
+    rows = {r.run: r for r in responses.read(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"r", "s"} and json.loads(rows["r"].arguments) == {"x": 1} and rows["s"].response is None
+    tools = tmp_path / "tools.json"
+    tools.write_text('{"name": "a", "description": "old"}\n{"name": "b"}\n{"name": "a", "description": "new", "input_schema": {"k": 1}}\n')
+    assert sorted((r.name, r.description, r.input_schema.replace(" ", "")) for r in responses.tool_catalog(spark, str(tools)).collect()) == [("a", "new", '{"k":1}'), ("b", "", "{}")]
+    results.write_json(spark.createDataFrame([("n", None)], "project_name string, trades int"), str(tmp_path / "out"))
+    record = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
+    assert record == {"projectName": "n", "projectId": "", "compileOk": False, "compileId": "", "compileErrors": [], "backtestOk": False, "backtestId": "", "trades": 0, "notes": ""}
+
+
+def test_limits(tmp_path):
+    (tmp_path / "env").write_text("# no\nMAX_POLLS=5\nexport TOOL_TIMEOUT='7'\n")
+    limits = Limits.from_env(with_file(str(tmp_path / "env"), {"MAX_POLLS": "9"}))
+    assert (limits.max_polls, limits.tool_timeout, limits.agent_timeout) == (9, 7, 800)
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, old)
+
+
+def streamed(spark, df, fn, folder):
+    """Rows of fn over df, read as a stream of several files."""
+    bounds = [df.approxQuantile("event_id", [q], 0)[0] for q in (0.33, 0.67)]
+    cuts = [F.col("event_id") <= bounds[0], (F.col("event_id") > bounds[0]) & (F.col("event_id") <= bounds[1]), F.col("event_id") > bounds[1]]
+    for c in cuts:  # files are taken by age
+        df.where(c).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(1.1)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = fn(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_streams_are_batches(spark, rocks, tmp_path):
+    from millrace.streaming import polls as streams
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    p = events.select(F.col("user_id").cast("string").alias("run"), "ts", "event_id", F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "fail").alias("verdict"))
+    want = polling.poll_until_terminal(p, "run", ["ts", "event_id"], F.col("verdict"), limit=3).where("outcome <> 'timeout' OR polls = 3")
+    got = streamed(spark, p, lambda s: streams.first_terminal(s, 3), tmp_path / "a")
+    key = lambda d: sorted(map(str, ((r.run, r.outcome, r.polls, r.event_id) for r in d.collect())))
+    assert key(got) == key(want)
+    s = events.select(F.col("user_id").cast("string").alias("symbol"), "ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("snapshot"))
+    want = s.withColumn("day", F.to_date("ts")).select("event_id", chain.last_non_empty(["symbol", "day"], ["ts", "event_id"], F.col("snapshot")).alias("snapshot"))
+    got = streamed(spark, s, streams.last_non_empty, tmp_path / "b")
+    key = lambda d: sorted((r.event_id, str(r.snapshot)) for r in d.collect())
+    assert key(got) == key(want)
