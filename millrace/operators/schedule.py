@@ -78,3 +78,8 @@ def valid_spec(strategy: Column, conditions: Column, known: tuple[str, ...] = ST
 def strike_target(method: Column, price: Column, share: Column) -> Column:
     """Price at which a strike is looked for: the price itself, or a share of it away (a positive share above)."""
     return F.when(method == "ATM", price).when(method == "OTM", price * (1 + share))
+
+
+def between_days(ts: Column, first: str, last: str) -> Column:
+    """Whether ts is on one of the days from first to last, both included; a plain range, which scans and partitions can use."""
+    return (ts >= F.lit(first).cast("timestamp_ntz")) & (ts < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz"))

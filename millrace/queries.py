@@ -389,3 +389,42 @@ def spec_validation(spark, sf_dir):
 def prompts(spark, sf_dir):
     odd = F.col("event_id") % 2 == 1
     return _events(spark, sf_dir).select("event_id", text.zero_trades_prompt(F.col("props"), F.when(odd, F.col("event_type")).otherwise("")).alias("zero"), text.execution_prompt(F.col("props"), F.lit("n"), F.when(odd, F.col("user_id").cast("string"))).alias("run"))
+
+
+@query("SELECT user_id, day, event_id, event_type FROM (SELECT user_id, ts::DATE AS day, event_id, event_type, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def last_submission(spark, sf_dir):
+    return revision.last_submission(_days(spark, sf_dir).select("user_id", "day", "event_id", "event_type"), ["user_id", "day"], "event_id")
+
+
+@query("SELECT user_id, value AS price FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_price(spark, sf_dir):
+    e = _events(spark, sf_dir).select("user_id", "ts", "event_id", F.col("value").alias("price"))
+    return catalog.last_wins(e, ["user_id"], ["ts", "event_id"]).select("user_id", "price")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-11'")
+def date_range(spark, sf_dir):
+    return _events(spark, sf_dir).where(schedule.between_days(F.col("ts"), "2024-01-05", "2024-01-10")).select("event_id")
+
+
+@query("SELECT o_custkey, count(*) AS trades, count(*) FILTER (o_orderpriority = '1-URGENT') > 0 AS urgent FROM orders GROUP BY o_custkey")
+def trade_count(spark, sf_dir):
+    return tables.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("trades"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+
+
+@query("SELECT event_id, strftime(ts - INTERVAL 5 HOUR, '%H:%M') AS clock FROM events WHERE ts < TIMESTAMP '2024-02-01'")
+def local_clock(spark, sf_dir):
+    e = _events(spark, sf_dir).where(F.col("ts") < F.lit("2024-02-01").cast("timestamp_ntz"))
+    return e.select("event_id", F.date_format(schedule.local_time(F.col("ts")), "HH:mm").alias("clock"))
+
+
+@query("SELECT event_id, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS held FROM events")
+def running_book(spark, sf_dir):
+    q = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    return _events(spark, sf_dir).select("event_id", schedule.running_position(["user_id"], ["ts", "event_id"], q).alias("held"))
+
+
+@query("""SELECT event_id, 'Write the algorithm for this specification:' || chr(10) || chr(10) || props AS code, 'The build failed with:' || chr(10) || '  - ' || CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'Unknown compile error' END || chr(10) || chr(10) || 'Repair this program:' || chr(10) || chr(10) || props AS retry FROM events""")
+def build_prompts(spark, sf_dir):
+    errors = F.when(F.col("event_id") % 2 == 0, F.array("event_type"))
+    return _events(spark, sf_dir).select("event_id", text.code_prompt(F.col("props")).alias("code"), text.retry_prompt(F.col("props"), errors).alias("retry"))
