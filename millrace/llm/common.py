@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import unicodedata
@@ -162,8 +163,29 @@ def shingles(tokens: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens.doc[last], acc[last]
 
 
+def release() -> None:
+    """Gives memory that this worker no longer uses back to its executor: workers are kept for tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow; at the end of a task its memory is released."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
-    """mapInArrow, batch by batch."""
+    """map_batches(), batch by batch."""
 
     def run(batches):
         for batch in batches:
@@ -172,4 +194,4 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                 continue
             yield from (out,) if isinstance(out, pa.RecordBatch) else out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

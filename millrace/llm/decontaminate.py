@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, chunks
+from .common import Tokens, chunks, map_batches
 
 #: Words of a phrase; shorter items are searched whole from MIN_WORDS on.
 PHRASE, MIN_WORDS = 8, 4
@@ -267,15 +267,17 @@ def _parts(benchmark: DataFrame, part_bytes: int) -> list[list[tuple[int, str]]]
 
 
 def with_spans(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS, part_bytes: int = PART_BYTES) -> DataFrame:
-    """docs with the column __spans, what the benchmark's phrases cover of text. No shuffle."""
-    out = docs.withColumn("__spans", F.lit(None).cast(SPANS))
-    for items in _parts(benchmark, part_bytes):
+    """docs with the columns __spans, what the benchmark's phrases cover of text (null: nothing), and __cut, the text without it. No shuffle."""
+    out = docs.selectExpr("*", f"CAST(NULL AS {SPANS}) AS __spans", "CAST(NULL AS STRING) AS __cut")
+    parts = _parts(benchmark, part_bytes)
+    for k, items in enumerate(parts):
         handle = docs.sparkSession.sparkContext.broadcast(items)
-        out = out.mapInArrow(_search(handle, docs.columns.index("text"), phrase, shard_chars), out.schema)
+        # The last pass also cuts: one more would take another Python worker.
+        out = map_batches(out, _search(handle, docs.columns.index("text"), phrase, shard_chars, k == len(parts) - 1), out.schema)
     return out
 
 
-def _search(handle, column: int, phrase: int, shard_chars: int):
+def _search(handle, column: int, phrase: int, shard_chars: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(handle.value, phrase)
         held: list[pa.RecordBatch] = []
@@ -284,12 +286,12 @@ def _search(handle, column: int, phrase: int, shard_chars: int):
             for piece in _pieces(batch, column, shard_chars):
                 n = piece.column(column).nbytes
                 if held and chars + n > shard_chars:
-                    yield from _flush(held, column, phrases)
+                    yield from _flush(held, column, phrases, last)
                     held, chars = [], 0
                 held.append(piece)
                 chars += n
         if held:
-            yield from _flush(held, column, phrases)
+            yield from _flush(held, column, phrases, last)
 
     return run
 
@@ -300,29 +302,19 @@ def _pieces(batch: pa.RecordBatch, column: int, shard_chars: int) -> Iterator[pa
         yield batch.slice(a, rows)
 
 
-def _flush(held: list[pa.RecordBatch], column: int, phrases: Phrases) -> Iterator[pa.RecordBatch]:
-    spans = find([t for b in held for t in b.column(column).to_pylist()], phrases)
-    at = 0
+def _flush(held: list[pa.RecordBatch], column: int, phrases: Phrases, last: bool) -> Iterator[pa.RecordBatch]:
+    texts = [t for b in held for t in b.column(column).to_pylist()]
+    found, at = find(texts, phrases), 0
     for b in held:
-        old = b.column(b.num_columns - 1).to_pylist()
-        new = []
-        for before, found in zip(old, spans[at : at + b.num_rows]):
-            both = merge([(s["start"], s["end"], s["items"]) for s in before or []] + found) if before else found
-            new.append([{"start": x, "end": y, "items": i} for x, y, i in both] or None)
+        here = slice(at, at + b.num_rows)
         at += b.num_rows
-        yield pa.record_batch([*b.columns[:-1], pa.array(new, _SPANS)], names=b.schema.names)
-
-
-def _cut_rows(docs: DataFrame) -> DataFrame:
-    """Rows with __spans, their text cut in the column __cut."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [cut(t, [(s["start"], s["end"], s["items"]) for s in spans]) if spans else t for t, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
-            yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "__cut"])
-
-    return docs.mapInArrow(run, docs.selectExpr("*", "'' AS __cut").schema)
+        before = b.column(b.num_columns - 2)
+        spans = found[here]
+        if before.null_count < b.num_rows:
+            spans = [merge([(s["start"], s["end"], s["items"]) for s in old or []] + new) if old else new for old, new in zip(before.to_pylist(), spans)]
+        rows = pa.array([[{"start": x, "end": y, "items": i} for x, y, i in s] or None for s in spans], _SPANS)
+        left = pa.array([cut(t, s) if s else None for t, s in zip(texts[here], spans)], pa.string()) if last else b.column(b.num_columns - 1)
+        yield pa.record_batch([*b.columns[:-2], rows, left], names=b.schema.names)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -> DataFrame:
@@ -333,7 +325,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) ->
     match nothing, nor do items with a null item_id; equal items are all named. Repeated rows each give a row. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _cut_rows(with_spans(docs, benchmark, phrase).where("__spans IS NOT NULL"))
+    found = with_spans(docs, benchmark, phrase).where("__spans IS NOT NULL")
     return found.select("doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("__spans", lambda s: s["items"])))).alias("items"), F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), F.col("__cut").alias("text"))
 
 
@@ -343,7 +335,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE)
     Rows without a phrase are as they were, null and empty texts too.
     """
     names = docs.columns
-    out = _cut_rows(with_spans(docs, benchmark, phrase))
+    out = with_spans(docs, benchmark, phrase)
     out = out.where(F.col("__spans").isNull() | F.col("__cut").rlike(r"[\p{L}\p{N}]"))
     changed = F.col("__spans").isNotNull()
     kinds = dict(docs.dtypes)

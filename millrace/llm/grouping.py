@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, stored
+from .common import map_batches, mix, stored
 
 #: Up to so many edges, one task's union-find takes them all; beyond, star contraction does the same in rounds.
 LOCAL_EDGES = 2_000_000
@@ -44,7 +44,7 @@ def _passing(pairs: DataFrame, sketches: DataFrame, dtype, size: int, estimate:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype).reshape(-1, size) for i in (2, 3))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(estimate(x, y) >= floor)], names=["a", "b", "ok"])
 
-    return both.mapInArrow(run, "a binary, b binary, ok boolean")
+    return map_batches(both, run, "a binary, b binary, ok boolean")
 
 
 def _verified(pairs: DataFrame, content: Callable[[DataFrame], DataFrame], exact: Callable[[bytes, bytes], float]) -> DataFrame:
@@ -58,7 +58,7 @@ def _verified(pairs: DataFrame, content: Callable[[DataFrame], DataFrame], exact
             score = [exact(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes()) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["a", "b", "score"])
 
-    return both.mapInArrow(run, "a binary, b binary, score double")
+    return map_batches(both, run, "a binary, b binary, score double")
 
 
 def _joining(sketch: np.ndarray, root: np.ndarray, estimate: Callable, floor: float) -> np.ndarray:
@@ -113,7 +113,7 @@ def _second_round(star: DataFrame, roots: DataFrame, sketches: DataFrame, dtype,
             yield _pairs(out)
         yield _pairs(flush(key, sketch, root))
 
-    return members.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "a binary, b binary").distinct()
+    return map_batches(members.repartition("band").sortWithinPartitions("band", "key"), run, "a binary, b binary").distinct()
 
 
 def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -182,7 +182,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     edges = stored(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"))
     if edges.count() <= local_edges:
         kind = dict(edges.dtypes)["a"]
-        tree = stored(edges.coalesce(1).mapInArrow(_forest, "a binary, b binary") if kind == "binary" else edges.coalesce(1).mapInPandas(_pandas_forest, edges.schema))
+        tree = stored(map_batches(edges.coalesce(1), _forest, "a binary, b binary") if kind == "binary" else edges.coalesce(1).mapInPandas(_pandas_forest, edges.schema))
     else:
         tree = _contract(edges)
     return tree.select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(tree.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, bounded_sample, chunks, mix, stored
+from .common import Tokens, bounded_sample, chunks, map_batches, mix, stored
 
 #: Buckets of the hashed words, word pairs and signs; added to each count.
 BUCKETS, SMOOTHING = 10_000, 1.0
@@ -21,14 +21,14 @@ CELLS, SORTED_ROWS = 4_096, 100_000
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text's index, bucket) of every word as it is written, every pair of neighbouring words and every sign with the character after it."""
+    """(text's index, bucket) of every word as it is written, every pair of neighbouring words and every sign with the one after it, if there is one."""
     t = Tokens(texts, fold=False)
     if not len(t.cp):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     together = t.doc[:-1] == t.doc[1:]
     pair = mix(t.hash[:-1] * np.uint64(0x100000001B3) + t.hash[1:])[together]
     sign = np.flatnonzero((t.inside == 0) & (t.cp > 32) & (t.cp != 0xA0))
-    after = np.append(np.where(t.inside[1:] != 0, 0, t.cp[1:]), 0)[sign]
+    after = np.append(np.where((t.inside[1:] != 0) | (t.cp[1:] <= 32), 0, t.cp[1:]), 0)[sign]
     marks = mix(t.cp[sign].astype(np.uint64) << np.uint64(32) | after.astype(np.uint64))
     doc = np.concatenate((t.doc, t.doc[:-1][together], np.searchsorted(t.offset, sign, side="right") - 1))
     return doc, (np.concatenate((t.hash, pair, marks)) % np.uint64(BUCKETS)).astype(np.int64)
@@ -47,7 +47,7 @@ def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 total[1] += np.bincount(bucket[target[first + doc]], minlength=BUCKETS)
         yield pa.record_batch([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], names=["bucket", "n", "good"])
 
-    rows = docs.mapInArrow(run, "bucket int, n bigint, good bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect()
+    rows = map_batches(docs, run, "bucket int, n bigint, good bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect()
     out = np.zeros((2, BUCKETS), np.int64)
     for r in rows:
         out[:, r.bucket] = r.n, r.good
@@ -84,7 +84,7 @@ def weighted(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(w, mask=np.isnan(w))], names=["doc_id", "noise_key", "log_weight"])
 
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("noise_key"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(run, "doc_id bigint, noise_key bigint, log_weight double")
+    return map_batches(keyed, run, "doc_id bigint, noise_key bigint, log_weight double")
 
 
 def gumbel(noise: str) -> Column:

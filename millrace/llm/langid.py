@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, map_batches
 
 #: Bounds of the fit: labelled documents of a language, and bytes of dictionary.
 SAMPLE_DOCUMENTS = 256
@@ -120,7 +120,7 @@ def accepted(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -
             keep = [coder.classify(t, margin)[2] for t in batch.column(names.index("text")).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, fields)
+    return map_batches(docs, run, fields)
 
 
 def _run(docs: DataFrame, model: dict[str, bytes], margin: float) -> DataFrame:

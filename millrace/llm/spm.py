@@ -26,10 +26,10 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 3, 4, 5, 6
 #: Characters handed to the encoder's threads at once, and threads of a worker (an executor's cores share the work already).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 THREADS = 2
 #: Words whose pieces a worker remembers; when there are more, it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Unseen words are handed to the library in texts of so many.
 JOINED = 256
 
