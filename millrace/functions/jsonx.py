@@ -15,7 +15,7 @@ from .text import NO_ERROR_TEXT, error_messages, ordered_distinct, with_default
 ID_PATHS = ("$.backtestId", "$.id", "$.backtest.backtestId", "$.result.backtestId")
 STATUS_PATHS = ("$.status", "$.state", "$.backtest.status", "$.backtest.state", "$.result.status")
 PROJECT_PATHS = ("$.projectId", "$.model.projectId")
-RESULT_KEYS = ("statistics", "totalTrades", "orders", "alpha", "charts", "result", "results")
+RESULT_KEYS = ("alpha", "charts", "orders", "result", "results", "statistics", "totalTrades")
 _FALSY = ("", "0", "0.0", "-0.0", "[]", "{}", "false", "null")
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 _SPACE = r"^[\s ﻿]+|[\s ﻿]+$"
 #: The dialect flags make dots, line ends and classes behave as in most scripting languages: only \n ends a line.
-_FENCED = r"(?sdU)```python\s*\n(.*?)```"
-_BARE = r"(?sdU)```\s*\n(.*?)```"
+_TICKS = "`{3}"
+_FENCED, _BARE = (rf"(?sdU){_TICKS}{tag}\s*\n(.*?){_TICKS}" for tag in ("python", ""))
 _FIRST_CODE_LINE = r"(?dmsU)^[^\S\n]*(?:from|import|class|def) [^\n]*\S.*"
-_ID = r"backtestId['\"]?\s*[:=]\s*['\"]([a-fA-F0-9]+)['\"]"
-_MESSAGES = (r"(?idU)error[:\s]+(.+?)(?:\n|$)", r"(?idU)(CS\d+[^\n]*)", r"(?idU)(line \d+[^\n]*)")
-CODE_HINTS = ("def ", "class ", "import ", "from ")
+_QUOTE = "[\"']"
+_ID = rf"backtestId{_QUOTE}?\s*(?:=|:)\s*{_QUOTE}(\p{{XDigit}}+){_QUOTE}"
+_MESSAGES = (r"(?idU)error[\s:]+([^\n]+)", r"(?idU)(CS\d+[^\n]*)", r"(?idU)(line \d+[^\n]*)")
+CODE_HINTS = ("import ", "from ", "def ", "class ")
 NO_ERROR_TEXT = "Compilation failed - no specific error extracted"
 NO_ERROR_LIST = "Unknown compile error"
 NO_INFO = "No additional info"

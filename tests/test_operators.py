@@ -33,6 +33,7 @@ def test_extract_code(spark):
         "Hi\nimport x\nclass A(Base): pass\n bye ": "import x\nclass A(Base): pass\n bye",
         "Hi\nimport x\nno marker": None,
         "importance\nBase": None,
+        f"{T}python\n{'x = 1; ' * 40_000}\n{T}": ("x = 1; " * 40_000).strip(),
         None: None,
     }
     assert each(spark, list(cases), lambda c: text.extract_code(c, ("Base",))) == list(cases.values())
