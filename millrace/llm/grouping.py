@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix, stored
+from .common import map_batches, mix, small, stored
 
 #: Up to so many edges, one task's union-find takes them all; beyond, star contraction does the same in rounds.
 LOCAL_EDGES = 2_000_000
@@ -51,7 +51,8 @@ def _verified(pairs: DataFrame, content: Callable[[DataFrame], DataFrame], exact
     """pairs (a, b) with score, by their contents."""
     keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     c = stored(content(keys))
-    both = pairs.join(c.withColumnsRenamed({"key": "a", "content": "ca"}), "a").join(c.withColumnsRenamed({"key": "b", "content": "cb"}), "b").select("a", "b", "ca", "cb")
+    # The contents are wide and the pairs narrow: while these are few, the first join leaves the contents where they are.
+    both = c.withColumnsRenamed({"key": "b", "content": "cb"}).join(small(pairs), "b").join(c.withColumnsRenamed({"key": "a", "content": "ca"}), "a").select("a", "b", "ca", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -366,7 +366,7 @@ def test_walks_map_edits_to_few_differences():
 def test_fingerprints_against_brute_force(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.where("length(text) < 4000").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs = [(a, b) for k, (a, s) in enumerate(rows) for b, t in rows[:k] if editembed.similarity(s.encode(), t.encode()) >= editembed.THRESHOLD]
+    pairs = [(a, b) for k, (a, s) in enumerate(rows) for b, t in rows[:k] if editembed.similarity(editembed.pack(s), editembed.pack(t)) >= editembed.THRESHOLD]
     group = {r.doc_id: r.group_id for r in editembed.fingerprint_groups(docs).collect()}
     assert pairs and sum(group.get(a, -1) == group.get(b, -2) for a, b in pairs) / len(pairs) >= 0.9
     sets = grouping.UnionFind()
