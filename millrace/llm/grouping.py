@@ -121,13 +121,27 @@ def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["a", "b"])
 
 
-def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable) -> DataFrame:
+def _members(sketches: DataFrame, dtype, size: int, rows: int) -> DataFrame:
+    """key, band: a row for each band of each sketch, made where it is needed rather than stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                band = bands(np.frombuffer(b"".join(part.column(1).to_pylist()), dtype).reshape(-1, size), rows)
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(band)), band.shape[1])))
+                yield pa.record_batch([keys, pa.array(band.astype(np.int64).ravel())], names=["key", "band"])
+
+    return map_batches(sketches.select("key", "sketch"), run, "key binary, band bigint")
+
+
+def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int = 1) -> DataFrame:
     """a, b, score: pairs that join all keys whose contents are alike, directly or through others.
 
-    sketches: key, bands, sketch, one row a key. content(keys): key, content of these keys. estimate(rows, rows) of
+    sketches: key, sketch and perhaps bands, one row a key; without bands runs of so many numbers of the sketch (rows) are banded. content(keys): key, content of these keys. estimate(rows, rows) of
     sketches and exact(content, content) measure; accept(score column) says which scores will do.
     """
-    member = sketches.select("key", F.explode("bands").alias("band"))
+    member = sketches.select("key", F.explode("bands").alias("band")) if "bands" in sketches.columns else _members(sketches, dtype, size, rows)
     star = stored(member.withColumn("pivot", F.min("key").over(Window.partitionBy("band"))).where("key <> pivot"))
     edges = star.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     checked = stored(_passing(edges, sketches, dtype, size, estimate, floor))
@@ -140,9 +154,9 @@ def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame
     return good.unionByName(_verified(more, content, exact).where(accept(F.col("score"))))
 
 
-def group_keys(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable) -> DataFrame:
+def group_keys(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int = 1) -> DataFrame:
     """key, root (the group's smallest key) of the keys that are in a group; see verified_edges()."""
-    return components(verified_edges(sketches, content, dtype, size, estimate, floor, exact, accept).select("a", "b"))
+    return components(verified_edges(sketches, content, dtype, size, estimate, floor, exact, accept, rows).select("a", "b"))
 
 
 class UnionFind:
