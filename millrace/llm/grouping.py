@@ -25,8 +25,10 @@ LOCAL_EDGES = 2_000_000
 BLOCK = 20_000
 
 
-def bands(sketch: np.ndarray, rows: int) -> np.ndarray:
-    """A hash of each run of so many columns (and of the run's place)."""
+def bands(sketch: np.ndarray, rows: int | np.ndarray) -> np.ndarray:
+    """A hash of each run of so many columns, or of the columns in each of these rows (and of the run's place)."""
+    if isinstance(rows, np.ndarray):
+        sketch, rows = sketch[:, rows.ravel()], rows.shape[1]
     n = sketch.shape[1] // rows
     acc = np.broadcast_to(mix(np.arange(1, n + 1, dtype=np.uint64)), (len(sketch), n)).copy()
     for k in range(rows):
@@ -121,7 +123,7 @@ def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["a", "b"])
 
 
-def _members(sketches: DataFrame, dtype, size: int, rows: int) -> DataFrame:
+def _members(sketches: DataFrame, dtype, size: int, rows: int | np.ndarray) -> DataFrame:
     """key, band: a row for each band of each sketch, made where it is needed rather than stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +137,10 @@ def _members(sketches: DataFrame, dtype, size: int, rows: int) -> DataFrame:
     return map_batches(sketches.select("key", "sketch"), run, "key binary, band bigint")
 
 
-def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int = 1) -> DataFrame:
+def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int | np.ndarray = 1) -> DataFrame:
     """a, b, score: pairs that join all keys whose contents are alike, directly or through others.
 
-    sketches: key, sketch and perhaps bands, one row a key; without bands runs of so many numbers of the sketch (rows) are banded. content(keys): key, content of these keys. estimate(rows, rows) of
+    sketches: key, sketch and perhaps bands, one row a key; without bands runs of so many numbers of the sketch, or the numbers at these places (rows), are banded. content(keys): key, content of these keys. estimate(rows, rows) of
     sketches and exact(content, content) measure; accept(score column) says which scores will do.
     """
     member = sketches.select("key", F.explode("bands").alias("band")) if "bands" in sketches.columns else _members(sketches, dtype, size, rows)
@@ -154,7 +156,7 @@ def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame
     return good.unionByName(_verified(more, content, exact).where(accept(F.col("score"))))
 
 
-def group_keys(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int = 1) -> DataFrame:
+def group_keys(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int | np.ndarray = 1) -> DataFrame:
     """key, root (the group's smallest key) of the keys that are in a group; see verified_edges()."""
     return components(verified_edges(sketches, content, dtype, size, estimate, floor, exact, accept, rows).select("a", "b"))
 
