@@ -2,13 +2,15 @@
 
 In a bucket every member is first paired with the bucket's smallest key only. Members
 that prove alike are joined through it, so their other pairs are settled. Where a bucket
-then still holds keys of several components, a second round compares the sketches of all its pairs
-across components and verifies the most promising pair of each key. So no candidate is dropped unseen,
+then still holds keys of several components, further rounds compare the sketches of all its pairs
+across components and verify the most promising ones of each key, more in each round, until no pair above the floor
+that joins two components is left unverified. Components are joined by verified pairs only. So no candidate is dropped unseen,
 and a bucket of n copies costs n comparisons, not n squared.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from .common import map_batches, mix, small, stored
 LOCAL_EDGES = 2_000_000
 #: Comparisons of sketches that are made at once.
 BLOCK = 20_000
+#: How many of a key's pairs in a bucket are verified in the rounds after the first; None: all.
+WIDTHS = (1, 8, 64, None)
 
 
 def bands(sketch: np.ndarray, rows: int | np.ndarray) -> np.ndarray:
@@ -64,63 +68,56 @@ def _verified(pairs: DataFrame, content: Callable[[DataFrame], DataFrame], exact
     return map_batches(both, run, "a binary, b binary, score double")
 
 
-def _joining(sketch: np.ndarray, root: np.ndarray, estimate: Callable, floor: float) -> np.ndarray:
-    """Pairs of rows that would join components: each key's best in another one, again and again while there are any."""
+def _joining(sketch: np.ndarray, root: np.ndarray, estimate: Callable, floor: float, width: int | None) -> tuple[np.ndarray, bool]:
+    """Pairs of rows of different components: each key's best (width of them) from the floor on; whether some key has more."""
     label = np.unique(root, return_inverse=True)[1]
-    few = np.flatnonzero(label != np.bincount(label).argmax())
-    score = np.empty((len(few), len(sketch)), np.float32)
-    for at in range(0, len(sketch), BLOCK):
-        y = sketch[at : at + BLOCK]
-        for row, i in enumerate(few):
-            score[row, at : at + BLOCK] = estimate(np.broadcast_to(sketch[i], y.shape), y)
-    out = []
-    while len(few):
-        score[label[few][:, None] == label[None, :]] = -1
-        best = score.argmax(axis=1)
-        good = score[np.arange(len(few)), best] >= floor
-        if not good.any():
-            break
-        few, best, score = few[good], best[good], score[good]
-        out.append(np.stack((few, best), axis=1))
-        sets = UnionFind()
-        for x, y in zip(label[few].tolist(), label[best].tolist()):
-            sets.union(x, y)
-        label = np.array([sets.find(x) for x in label.tolist()])
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
-def _second_round(star: DataFrame, roots: DataFrame, sketches: DataFrame, dtype, size: int, estimate: Callable, floor: float) -> DataFrame:
-    """Pairs (a, b), a < b, that are promising in a bucket, of members that roots (key, root) doesn't join."""
+    out, cut = [np.zeros((0, 2), np.int64)], False
+    # Each pair across components has a member outside of the largest one.
+    for i in np.flatnonzero(label != np.bincount(label).argmax()):
+        score = np.concatenate([estimate(np.broadcast_to(sketch[i], y.shape), y) for y in (sketch[at : at + BLOCK] for at in range(0, len(sketch), BLOCK))])
+        other = np.flatnonzero((label != label[i]) & (score >= floor))
+        if width is not None and len(other) > width:
+            other, cut = other[np.argsort(-score[other], kind="stable")[:width]], True
+        out.append(np.stack((np.full(len(other), i), other), axis=1))
+    return np.concatenate(out), cut
+
+
+def _next_round(star: DataFrame, roots: DataFrame, sketches: DataFrame, dtype, size: int, estimate: Callable, floor: float, width: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, that are promising in a bucket, of members that roots (key, root) doesn't join; a row with band only for each bucket that has more."""
     r = roots.select("key", "root")
     members = star.join(r, "key", "left").join(r.withColumnsRenamed({"key": "pivot", "root": "top"}), "pivot", "left").select("band", "key", F.coalesce("root", "key").alias("root"), F.coalesce("top", "pivot").alias("top"))
     open_buckets = members.where("root <> top").select("band").distinct()
+    # The pivot isn't among its bucket's members: its pairs were the first round.
     members = members.join(open_buckets, "band", "left_semi").join(sketches.select("key", "sketch"), "key").select("band", "key", "sketch", "root")
 
-    def flush(key: list[bytes], sketch: list[bytes], root: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def flush(band: int, key: list[bytes], sketch: list[bytes], root: list[bytes]) -> Iterator[pa.RecordBatch]:
         if len(set(root)) < 2:
-            return []
-        pairs = _joining(np.frombuffer(b"".join(sketch), dtype).reshape(-1, size), np.array(root, object), estimate, floor)
-        return [tuple(sorted((key[i], key[j]))) for i, j in pairs]
+            return
+        pairs, cut = _joining(np.frombuffer(b"".join(sketch), dtype).reshape(-1, size), np.array(root, object), estimate, floor, width)
+        for at in range(0, len(pairs), BLOCK):
+            yield _pairs([tuple(sorted((key[i], key[j]))) for i, j in pairs[at : at + BLOCK].tolist()], True)
+        if cut:
+            yield pa.record_batch([pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([band], pa.int64())], names=["a", "b", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, key, sketch, root = None, [], [], []
         for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
             for b, k, s, r in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != now:
-                    out += flush(key, sketch, root)
+                    yield from flush(now, key, sketch, root)
                     now, key, sketch, root = b, [], [], []
                 key.append(k)
                 sketch.append(s)
                 root.append(r)
-            yield _pairs(out)
-        yield _pairs(flush(key, sketch, root))
+        yield from flush(now, key, sketch, root)
 
-    return map_batches(members.repartition("band").sortWithinPartitions("band", "key"), run, "a binary, b binary").distinct()
+    return map_batches(members.repartition("band").sortWithinPartitions("band", "key"), run, "a binary, b binary, band bigint").distinct()
 
 
-def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["a", "b"])
+def _pairs(rows: list[tuple[bytes, bytes]], band: bool = False) -> pa.RecordBatch:
+    """Rows a, b; with a column band of nulls if asked for."""
+    columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
+    return pa.record_batch([*columns, pa.nulls(len(rows), pa.int64())] if band else columns, names=["a", "b", "band"] if band else ["a", "b"])
 
 
 def _members(sketches: DataFrame, dtype, size: int, rows: int | np.ndarray) -> DataFrame:
@@ -147,13 +144,20 @@ def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame
     star = stored(member.withColumn("pivot", F.min("key").over(Window.partitionBy("band"))).where("key <> pivot"))
     edges = star.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     checked = stored(_passing(edges, sketches, dtype, size, estimate, floor))
-    first = stored(_verified(checked.where("ok").drop("ok"), content, exact))
-    good = first.where(accept(F.col("score")))
-    roots = components(good.select("a", "b"))
-    more = stored(_second_round(star, roots, sketches, dtype, size, estimate, floor).join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return good
-    return good.unionByName(_verified(more, content, exact).where(accept(F.col("score"))))
+    verified = [stored(_verified(checked.where("ok").drop("ok"), content, exact))]
+    found = lambda: functools.reduce(DataFrame.unionByName, verified)
+    for width in WIDTHS:
+        roots = components(found().where(accept(F.col("score"))).select("a", "b"))
+        more = stored(_next_round(star, roots, sketches, dtype, size, estimate, floor, width))
+        new = stored(more.where("a IS NOT NULL").select("a", "b").join(found().select("a", "b"), ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            verified.append(stored(_verified(new, content, exact)))
+        left = more.where("band IS NOT NULL").select("band")
+        if left.isEmpty():
+            break
+        # Elsewhere all pairs above the floor across components are verified.
+        star = stored(star.join(small(left), "band", "left_semi"))
+    return found().where(accept(F.col("score")))
 
 
 def group_keys(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int | np.ndarray = 1) -> DataFrame:

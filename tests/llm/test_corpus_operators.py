@@ -262,6 +262,22 @@ def test_components_both_ways(spark):
     assert grouping.components(df.limit(0)).count() == 0
 
 
+def test_pairs_refused_at_first_do_not_hide_others(spark):
+    """Key 99 is alike only to the key of its bucket whose sketch promises least; 20 lookalikes in the same component come first."""
+    import pyarrow as pa
+
+    key = lambda i: bytes([i])
+    sketch = lambda i: np.array([7, *(1 if k < (8 if i == 99 else i % 8) else 100 * i + k for k in range(9))], np.uint16)
+    rows = [(key(i), sketch(i).tobytes()) for i in [*range(21), 99]]
+    sketches = common.stored(spark.createDataFrame(rows, "key binary, sketch binary"))
+    copy = lambda batch: pa.record_batch([batch.column(0), batch.column(0)], names=["key", "content"])
+    content = lambda keys: common.map_arrow(keys, copy, "key binary, content binary")
+    alike = lambda a, b: float(99 not in (a[0], b[0]) or {a[0], b[0]} == {99, 8})
+    edges = grouping.verified_edges(sketches, content, np.uint16, 10, minhash.estimate, 0.1, alike, lambda score: score >= 1)
+    assert {(r.a[0], r.b[0]) for r in edges.collect() if 99 in (r.a[0], r.b[0])} == {(8, 99)}
+    assert {r.root for r in grouping.components(edges.select("a", "b")).collect()} == {key(0)}
+
+
 # --- Importance
 
 
