@@ -417,6 +417,13 @@ def test_fingerprints_find_edits_of_characters(spark):
         assert all(editembed.similarity(editembed.pack(texts[i]), editembed.pack(copies[i])) >= editembed.THRESHOLD for i in alike)
 
 
+def test_walks_of_very_long_texts_stay_at_their_anchors():
+    """A word inserted early into a text of more than 2**20 words moves no walk to another place."""
+    words = [f"{i * 2654435761 % 2**32:x}" for i in range(2_500_000)]
+    copy = [*words[:40_000], "other", *words[40_000:]]
+    assert editembed.estimate(editembed.fingerprints([" ".join(words)]), editembed.fingerprints([" ".join(copy)]))[0] > 0.95
+
+
 def test_least_distance_is_at_most_the_distance():
     random.seed(8)
     for _ in range(300):
