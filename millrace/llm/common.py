@@ -40,13 +40,33 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables up to so many rows of a few dozen bytes are broadcast.
-SMALL_ROWS = 400_000
+#: Tables up to so many bytes, as a broadcast holds them, are broadcast.
+SMALL_BYTES = 32_000_000
+#: Bytes of a row's columns by type, texts being keys and names here; and of its header.
+_WIDTH = {"binary": 40, "string": 64, "bigint": 8, "int": 8, "double": 8, "boolean": 8}
+_ROW = 16
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, a stored table of narrow rows, marked for broadcast if its count allows that."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    """df, a stored table of narrow rows, marked for broadcast if its count times its width allows that."""
+    width = _ROW + sum(_WIDTH[kind] for _, kind in df.dtypes)
+    return F.broadcast(df) if df.count() * width <= SMALL_BYTES else df
+
+
+def quoted(*names: str) -> list[Column]:
+    """Columns of these very names, dots and ticks in them being no syntax."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores after it as no column of df (in whatever case) has."""
+    known, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in known:
+            n += "_"
+        known.add(n.lower())
+        out.append(n)
+    return out
 
 
 def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:

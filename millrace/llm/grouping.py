@@ -1,11 +1,13 @@
 """From banded sketches to groups: candidates, verification, connected components.
 
-In a bucket every member is first paired with the bucket's smallest key only. Members
+In a bucket every member is first linked with one key only, its pivot: the smallest key of the bucket in the same
+run of rows, and these with the smallest of all. So a bucket that many rows share is thinned before anything is shuffled, and
+n copies cost n links, not n squared. Of each key the pivot that shares most buckets with it is verified first. Members
 that prove alike are joined through it, so their other pairs are settled. Where a bucket
 then still holds keys of several components, further rounds compare the sketches of all its pairs
 across components and verify the most promising ones of each key, more in each round, until no pair above the floor
-that joins two components is left unverified. Components are joined by verified pairs only. So no candidate is dropped unseen,
-and a bucket of n copies costs n comparisons, not n squared.
+that joins two components is left unverified. Components are joined by verified pairs only. So no candidate is dropped unseen.
+A bucket of many such members is cut into blocks, and each pair of blocks is a group of its own: no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from .common import map_batches, mix, small, stored
 
 #: Up to so many edges, one task's union-find takes them all; beyond, star contraction does the same in rounds.
 LOCAL_EDGES = 2_000_000
-#: Comparisons of sketches that are made at once.
-BLOCK = 20_000
-#: How many of a key's pairs in a bucket are verified in the rounds after the first; None: all.
+#: Members of a block of a bucket, about; sketches that a batch bands at once.
+BLOCK, RUN = 2_000, 20_000
+#: How many of a key's pairs in a group are verified in the rounds after the first; None: all.
 WIDTHS = (1, 8, 64, None)
+#: Pairs in a batch.
+_BATCH = 20_000
 
 
 def bands(sketch: np.ndarray, rows: int | np.ndarray) -> np.ndarray:
@@ -40,25 +44,30 @@ def bands(sketch: np.ndarray, rows: int | np.ndarray) -> np.ndarray:
     return acc
 
 
+def _sketches_of(column: pa.Array, dtype, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, size)
+
+
 def _passing(pairs: DataFrame, sketches: DataFrame, dtype, size: int, estimate: Callable, floor: float) -> DataFrame:
-    """pairs (a, b) whose sketches are alike enough, with ok; the others with ok false."""
+    """The pairs (a, b) whose sketches are alike enough."""
     s = sketches.select("key", "sketch")
     both = pairs.join(s.withColumnsRenamed({"key": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"key": "b", "sketch": "sb"}), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype).reshape(-1, size) for i in (2, 3))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(estimate(x, y) >= floor)], names=["a", "b", "ok"])
+            x, y = (_sketches_of(batch.column(i), dtype, size) for i in (2, 3))
+            keep = pa.array(estimate(x, y) >= floor)
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return map_batches(both, run, "a binary, b binary, ok boolean")
+    return map_batches(both, run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, content: Callable[[DataFrame], DataFrame], exact: Callable[[bytes, bytes], float]) -> DataFrame:
-    """pairs (a, b) with score, by their contents."""
+    """pairs (a, b), a stored table, with score, by their contents."""
     keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     c = stored(content(keys))
-    # The contents are wide and the pairs narrow: while these are few, the first join leaves the contents where they are.
-    both = c.withColumnsRenamed({"key": "b", "content": "cb"}).join(small(pairs), "b").join(c.withColumnsRenamed({"key": "a", "content": "ca"}), "a").select("a", "b", "ca", "cb")
+    # The contents are wide and the pairs narrow: while these are few, the first join leaves the contents where they are. Contents are never broadcast.
+    both = c.withColumnsRenamed({"key": "b", "content": "cb"}).join(small(pairs), "b").join(c.withColumnsRenamed({"key": "a", "content": "ca"}).hint("merge"), "a").select("a", "b", "ca", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,50 +77,63 @@ def _verified(pairs: DataFrame, content: Callable[[DataFrame], DataFrame], exact
     return map_batches(both, run, "a binary, b binary, score double")
 
 
-def _joining(sketch: np.ndarray, root: np.ndarray, estimate: Callable, floor: float, width: int | None) -> tuple[np.ndarray, bool]:
-    """Pairs of rows of different components: each key's best (width of them) from the floor on; whether some key has more."""
+def _joining(sketch: np.ndarray, root: np.ndarray, estimate: Callable, floor: float, width: int | None, block: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """Pairs of rows of different components (and of different blocks, if these are told): each key's best (width of them) from the floor on; whether some key has more."""
     label = np.unique(root, return_inverse=True)[1]
     out, cut = [np.zeros((0, 2), np.int64)], False
     # Each pair across components has a member outside of the largest one.
     for i in np.flatnonzero(label != np.bincount(label).argmax()):
-        score = np.concatenate([estimate(np.broadcast_to(sketch[i], y.shape), y) for y in (sketch[at : at + BLOCK] for at in range(0, len(sketch), BLOCK))])
-        other = np.flatnonzero((label != label[i]) & (score >= floor))
+        there = label != label[i]
+        if block is not None:
+            there &= block != block[i]
+        at = np.flatnonzero(there)
+        score = estimate(np.broadcast_to(sketch[i], (len(at), sketch.shape[1])), sketch[at])
+        some = score >= floor
+        other, score = at[some], score[some]
         if width is not None and len(other) > width:
-            other, cut = other[np.argsort(-score[other], kind="stable")[:width]], True
+            other, cut = other[np.argsort(-score, kind="stable")[:width]], True
         out.append(np.stack((np.full(len(other), i), other), axis=1))
     return np.concatenate(out), cut
 
 
-def _next_round(star: DataFrame, roots: DataFrame, sketches: DataFrame, dtype, size: int, estimate: Callable, floor: float, width: int | None) -> DataFrame:
+def _next_round(star: DataFrame, roots: DataFrame, sketches: DataFrame, dtype, size: int, estimate: Callable, floor: float, width: int | None, most: int) -> DataFrame:
     """Pairs (a, b), a < b, that are promising in a bucket, of members that roots (key, root) doesn't join; a row with band only for each bucket that has more."""
     r = roots.select("key", "root")
-    members = star.join(r, "key", "left").join(r.withColumnsRenamed({"key": "pivot", "root": "top"}), "pivot", "left").select("band", "key", F.coalesce("root", "key").alias("root"), F.coalesce("top", "pivot").alias("top"))
-    open_buckets = members.where("root <> top").select("band").distinct()
-    # The pivot isn't among its bucket's members: its pairs were the first round.
-    members = members.join(open_buckets, "band", "left_semi").join(sketches.select("key", "sketch"), "key").select("band", "key", "sketch", "root")
-
-    def flush(band: int, key: list[bytes], sketch: list[bytes], root: list[bytes]) -> Iterator[pa.RecordBatch]:
+    links = star.join(r, "key", "left").join(r.withColumnsRenamed({"key": "pivot", "root": "top"}), "pivot", "left").select("band", "key", "pivot", F.coalesce("root", "key").alias("root"), F.coalesce("top", "pivot").alias("top"))
+    open_buckets = stored(links.where("root <> top").select("band").distinct())
+    ends = F.explode(F.array(F.struct("key", "root"), F.struct(F.col("pivot").alias("key"), F.col("top").alias("root")))).alias("m")
+    members = stored(links.join(open_buckets, "band", "left_semi").select("band", ends).select("band", "m.*").distinct())
+    # Of a bucket with n members the blocks; a member goes to each pair of blocks that has its own.
+    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = members.join(blocks, "band").select("*", own).select("*", other).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "root")
+    spread = spread.join(sketches.select("key", "sketch"), "key").select("band", "low", "high", "block", "key", "sketch", "root")
+
+    def flush(place: tuple, key: list[bytes], sketch: list[bytes], root: list[bytes], block: list[int]) -> Iterator[pa.RecordBatch]:
         if len(set(root)) < 2:
             return
-        pairs, cut = _joining(np.frombuffer(b"".join(sketch), dtype).reshape(-1, size), np.array(root, object), estimate, floor, width)
-        for at in range(0, len(pairs), BLOCK):
-            yield _pairs([tuple(sorted((key[i], key[j]))) for i, j in pairs[at : at + BLOCK].tolist()], True)
+        pairs, cut = _joining(np.frombuffer(b"".join(sketch), dtype).reshape(-1, size), np.array(root, object), estimate, floor, width, np.array(block) if place[1] != place[2] else None)
+        for at in range(0, len(pairs), _BATCH):
+            yield _pairs([tuple(sorted((key[i], key[j]))) for i, j in pairs[at : at + _BATCH].tolist()], True)
         if cut:
-            yield pa.record_batch([pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([band], pa.int64())], names=["a", "b", "band"])
+            yield pa.record_batch([pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([place[0]], pa.int64())], names=["a", "b", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, key, sketch, root = None, [], [], []
+        now, held = None, ([], [], [], [])
         for batch in batches:
-            for b, k, s, r in zip(*(c.to_pylist() for c in batch.columns)):
-                if b != now:
-                    yield from flush(now, key, sketch, root)
-                    now, key, sketch, root = b, [], [], []
-                key.append(k)
-                sketch.append(s)
-                root.append(r)
-        yield from flush(now, key, sketch, root)
+            for *place, block, k, s, r in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != now:
+                    if now:
+                        yield from flush(tuple(now), *held)
+                    now, held = place, ([], [], [], [])
+                for column, x in zip(held, (k, s, r, block)):
+                    column.append(x)
+        if now:
+            yield from flush(tuple(now), *held)
 
-    return map_batches(members.repartition("band").sortWithinPartitions("band", "key"), run, "a binary, b binary, band bigint").distinct()
+    place = ["band", "low", "high"]
+    return map_batches(spread.repartition(*place).sortWithinPartitions(*place, "key"), run, "a binary, b binary, band bigint").distinct()
 
 
 def _pairs(rows: list[tuple[bytes, bytes]], band: bool = False) -> pa.RecordBatch:
@@ -120,43 +142,68 @@ def _pairs(rows: list[tuple[bytes, bytes]], band: bool = False) -> pa.RecordBatc
     return pa.record_batch([*columns, pa.nulls(len(rows), pa.int64())] if band else columns, names=["a", "b", "band"] if band else ["a", "b"])
 
 
-def _members(sketches: DataFrame, dtype, size: int, rows: int | np.ndarray) -> DataFrame:
-    """key, band: a row for each band of each sketch, made where it is needed rather than stored."""
+def _links(sketches: DataFrame, dtype, size: int, rows: int | np.ndarray, near: bool) -> DataFrame:
+    """band, key, pivot of members of buckets within a run of rows. near: those that have a smaller key in the run, which is their pivot; else those that have none.
+
+    The sketch, or the bands where these are stored, are in the second column.
+    """
+    banded = "bands" in sketches.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                band = bands(np.frombuffer(b"".join(part.column(1).to_pylist()), dtype).reshape(-1, size), rows)
-                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(band)), band.shape[1])))
-                yield pa.record_batch([keys, pa.array(band.astype(np.int64).ravel())], names=["key", "band"])
-
-    return map_batches(sketches.select("key", "sketch"), run, "key binary, band bigint")
-
-
-def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int | np.ndarray = 1) -> DataFrame:
+            for at in range(0, batch.num_rows, RUN):
+                part = batch.slice(at, RUN)
+                key = part.column(0)
+                if banded:
+                    band = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    owner = np.repeat(np.arange(len(part)), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                else:
+                    found = bands(_sketches_of(part.column(1), dtype, size), rows).astype(np.int64)
+                    band, owner = found.ravel(), np.repeat(np.arange(len(found)), found.shape[1])
+                if not len(band):
+                    continue
+                place = np.empty(len(part), np.int64)
+                place[np.array(sorted(range(len(part)), key=key.to_pylist().__getitem__))] = np.arange(len(part))
+                order = np.lexsort((place[owner], band))
+                band, owner = band[order], owner[order]
+                begins = np.append(True, band[1:] != band[:-1])
+                first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+                take = np.flatnonzero((owner[first] != owner) if near else begins)
+                keys = key.take(pa.array(owner[take]))
+                pivot = key.take(pa.array(owner[first[take]])) if near else pa.nulls(len(take), pa.binary())
+                yield pa.record_batch([pa.array(band[take]), keys, pivot], names=["band", "key", "pivot"])
+
+    return map_batches(sketches.select("key", "bands" if banded else "sketch"), run, "band bigint, key binary, pivot binary")
+
+
+def _star(sketches: DataFrame, dtype, size: int, rows: int | np.ndarray) -> DataFrame:
+    """band, key, pivot: the links of every bucket with two members or more, which they connect."""
+    far = _links(sketches, dtype, size, rows, False).withColumn("pivot", F.min("key").over(Window.partitionBy("band"))).where("key <> pivot")
+    return _links(sketches, dtype, size, rows, True).unionByName(far)
+
+
+def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int | np.ndarray = 1, block: int = BLOCK) -> DataFrame:
     """a, b, score: pairs that join all keys whose contents are alike, directly or through others.
 
     sketches: key, sketch and perhaps bands, one row a key; without bands runs of so many numbers of the sketch, or the numbers at these places (rows), are banded. content(keys): key, content of these keys. estimate(rows, rows) of
-    sketches and exact(content, content) measure; accept(score column) says which scores will do.
+    sketches and exact(content, content) measure; accept(score column) says which scores will do. An empty table gives an empty one.
     """
-    member = sketches.select("key", F.explode("bands").alias("band")) if "bands" in sketches.columns else _members(sketches, dtype, size, rows)
-    star = stored(member.withColumn("pivot", F.min("key").over(Window.partitionBy("band"))).where("key <> pivot"))
-    edges = star.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    checked = stored(_passing(edges, sketches, dtype, size, estimate, floor))
-    verified = [stored(_verified(checked.where("ok").drop("ok"), content, exact))]
+    star = stored(_star(sketches, dtype, size, rows))
+    shared = star.groupBy("pivot", "key").agg(F.count("*").alias("n"))
+    first = shared.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+    verified = [stored(_verified(stored(_passing(first, sketches, dtype, size, estimate, floor)), content, exact))]
     found = lambda: functools.reduce(DataFrame.unionByName, verified)
     for width in WIDTHS:
         roots = components(found().where(accept(F.col("score"))).select("a", "b"))
-        more = stored(_next_round(star, roots, sketches, dtype, size, estimate, floor, width))
+        more = stored(_next_round(star, roots, sketches, dtype, size, estimate, floor, width, block))
         new = stored(more.where("a IS NOT NULL").select("a", "b").join(found().select("a", "b"), ["a", "b"], "left_anti"))
         if not new.isEmpty():
             verified.append(stored(_verified(new, content, exact)))
-        left = more.where("band IS NOT NULL").select("band")
+        left = more.where("band IS NOT NULL").select("band").distinct()
         if left.isEmpty():
             break
         # Elsewhere all pairs above the floor across components are verified.
-        star = stored(star.join(small(left), "band", "left_semi"))
+        star = stored(star.join(small(stored(left)), "band", "left_semi"))
     return found().where(accept(F.col("score")))
 
 
@@ -196,8 +243,6 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for r in rows if r[0] != r[1]]
     for i in range(0, len(rows), 50_000):
         yield _pairs(rows[i : i + 50_000])
-
-
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """key, root (smallest key of its connected component), for edges (a, b) in any order; loops and repeats do no harm."""
     edges = stored(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, chunks, map_arrow, mix, shingles, small, stored, text_key
+from .common import Tokens, chunks, free, map_arrow, mix, quoted, shingles, small, stored, text_key
 from .grouping import bands, group_keys
 
-#: Words of a shingle; components of a signature; components of a band; least Jaccard similarity.
-WIDTH, SIZE, ROWS, THRESHOLD = 3, 200, 4, 0.5
-#: Signatures estimate the similarity within 0.035 or so (one standard deviation at the threshold); below this the pair isn't looked at again.
-ESTIMATE_FLOOR = 0.37
+#: Words of a shingle; components of a signature; least Jaccard similarity.
+WIDTH, SIZE, THRESHOLD = 3, 200, 0.5
+#: Pairs at the threshold that bands must find, at least; standard deviations of the estimate below it from which on a pair isn't verified.
+SHARED, DEVIATIONS = 0.95, 4.0
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -59,14 +61,24 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return shingles(Tokens(texts), WIDTH)
 
 
-def _sketch(batch: pa.RecordBatch):
+def band_rows(threshold: float, size: int = SIZE) -> int:
+    """Components of a band: as many as still let pairs at the threshold share a band with probability SHARED (one, if none do)."""
+    return max([r for r in range(1, size + 1) if 1 - (1 - threshold**r) ** (size // r) >= SHARED], default=1)
+
+
+def estimate_floor(threshold: float, size: int = SIZE) -> float:
+    """The estimate that a pair at the threshold falls short of by no more than chance in some 30,000 (a signature's components being at worst independent)."""
+    return max(0.0, threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / size))
+
+
+def _sketch(batch: pa.RecordBatch, rows: int):
     texts = batch.column(1).to_pylist()
     for first, run in chunks(texts):
         doc, element = shingle_sets(run)
         signature = super_minhash(doc, element, len(run))
         some = np.isfinite(signature[:, 0])
         whole = mix(signature.view(np.uint64).reshape(signature.shape))
-        band = bands(whole, ROWS)
+        band = bands(whole, rows)
         short = (whole & np.uint64(0xFFFF)).astype(np.uint16)
         keep = np.flatnonzero(some)
         offsets = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * band.shape[1])
@@ -102,12 +114,13 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 def _roots(docs: DataFrame, threshold: float) -> DataFrame:
     """key, root of the texts that resemble another text."""
+    rows = band_rows(threshold)
     texts = docs.where("text IS NOT NULL").select(text_key().alias("key"), "text")
-    sketches = stored(map_arrow(texts, _sketch, "key binary, bands array<bigint>, sketch binary").dropDuplicates(["key"]))
+    sketches = stored(map_arrow(texts, lambda batch: _sketch(batch, rows), "key binary, bands array<bigint>, sketch binary").dropDuplicates(["key"]))
     return group_keys(
         sketches,
         lambda keys: map_arrow(texts.join(small(keys), "key", "left_semi").dropDuplicates(["key"]), _content, "key binary, content binary"),
-        np.uint16, SIZE, estimate, ESTIMATE_FLOOR, jaccard, lambda score: score >= threshold,
+        np.uint16, SIZE, estimate, estimate_floor(threshold), jaccard, lambda score: score >= threshold,
     )
 
 
@@ -117,32 +130,40 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     return ids.join(_roots(docs, threshold), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"), "n")
 
 
+def _members(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, key, n, group_id, keep of the distinct pairs of doc_id and text that are in a group."""
+    pair = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(_grouped(pair, threshold))
+    groups = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("kept"), F.sum("n").alias("size")).where("size > 1")
+    keep = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))
+    return rows.join(groups, "root").select("doc_id", "key", "n", F.col("kept.doc_id").alias("group_id"), keep.alias("keep"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, group_id, keep for each distinct document of a group of two or more rows; group_id is the group's smallest doc_id.
 
     Texts are alike from the threshold of Jaccard similarity of their sets of three-word shingles on (case and
-    punctuation don't count), and groups are the connected components. Equal texts, those without words among them,
-    are always one group; null texts are in none. Rows equal in doc_id and text give one row. keep marks the smallest
-    doc_id (null comes last), and of several texts with it, one. group_id is null where all doc_ids are. Other columns are ignored.
+    punctuation don't count), and groups are the connected components. Of pairs at the threshold itself, bands find at least SHARED (so
+    many of those that no third text joins), of more similar ones more. Equal texts, those without words (empty ones) among them,
+    are always one group; null texts are in none. Very long texts count whole. Rows equal in doc_id and text give one row. keep marks the smallest
+    doc_id (null comes last), and of several texts with it, the one with the least MD5. group_id is null where all doc_ids are. Other columns, whatever
+    their names, are ignored. An empty table gives an empty one.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(_grouped(docs, threshold))
-    groups = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("kept"), F.sum("n").alias("size")).where("size > 1")
-    return rows.join(groups, "root").select("doc_id", F.col("kept.doc_id").alias("group_id"), (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))).alias("keep"))
+    return _members(docs, threshold).select("doc_id", "group_id", "keep")
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, with one row of each group of near_duplicates(); rows with null text stay."""
-    pair = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(_grouped(pair, threshold))
-    groups = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("kept"), F.sum("n").alias("size")).where("size > 1")
-    kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))
-    action = rows.join(groups, "root").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), kept.alias("__kept"), F.col("n").alias("__n")).where("__n > 1 OR NOT __kept")
-    action = stored(action)
-    names = docs.columns
-    marked = docs.withColumn("__text", text_key()).join(small(action), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left")
-    out = marked.where("__kept IS NULL").select(*names)
-    if action.where("__kept").isEmpty():
+    """docs, all columns, with one row of each group of near_duplicates(): the one that is kept, of repeated rows any one.
+
+    Rows with null text stay. Other columns may have any names. An empty table gives an empty one.
+    """
+    by_id, by_key, row_key, n, keep = free(docs, "id", "key", "text_key", "n", "keep")
+    action = stored(_members(docs, threshold).where("n > 1 OR NOT keep").select(F.col("doc_id").alias(by_id), F.col("key").alias(by_key), F.col("keep").alias(keep), F.col("n").alias(n)))
+    names = quoted(*docs.columns)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(by_id)) & (F.col(row_key) == F.col(by_key))
+    marked = docs.withColumn(row_key, text_key(F.col("text").cast("string"))).join(small(action), same, "left")
+    out = marked.where(F.col(keep).isNull()).select(*names)
+    if action.where(F.col(keep)).isEmpty():
         return out
-    once = marked.where("__kept").dropDuplicates(["__id", "__key"]).select(*names)
+    once = marked.where(F.col(keep)).dropDuplicates([by_id, by_key]).select(*names)
     return out.unionByName(once)

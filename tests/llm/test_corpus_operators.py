@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import common, decontaminate, editembed, grouping, importance, minhash, pii, queries
 
@@ -245,6 +246,10 @@ def test_near_duplicates_odd_rows(spark, odd):
     out = minhash.without_near_duplicates(odd)
     assert out.columns == odd.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(["1", "3", "5", "None", "6", "8", "10"])
+    names = ["id", "key", "text_key", "N", "keep", "__text", "__id", "__key", "__n", "__kept", "a.b", "a`b"]
+    wide = odd.select("doc_id", "text", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    kept = minhash.without_near_duplicates(wide)
+    assert kept.columns == wide.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple(range(len(names)))} and kept.count() == 7
     assert minhash.near_duplicates(odd.limit(0)).count() == 0 and minhash.without_near_duplicates(odd.limit(0)).count() == 0
 
 
@@ -262,8 +267,9 @@ def test_components_both_ways(spark):
     assert grouping.components(df.limit(0)).count() == 0
 
 
-def test_pairs_refused_at_first_do_not_hide_others(spark):
-    """Key 99 is alike only to the key of its bucket whose sketch promises least; 20 lookalikes in the same component come first."""
+@pytest.mark.parametrize("block", [grouping.BLOCK, 4])
+def test_pairs_refused_at_first_do_not_hide_others(spark, block):
+    """Key 99 is alike only to the key of its bucket whose sketch promises least; 20 lookalikes in the same component come first. Blocks change nothing."""
     import pyarrow as pa
 
     key = lambda i: bytes([i])
@@ -273,11 +279,44 @@ def test_pairs_refused_at_first_do_not_hide_others(spark):
     copy = lambda batch: pa.record_batch([batch.column(0), batch.column(0)], names=["key", "content"])
     content = lambda keys: common.map_arrow(keys, copy, "key binary, content binary")
     alike = lambda a, b: float(99 not in (a[0], b[0]) or {a[0], b[0]} == {99, 8})
-    edges = grouping.verified_edges(sketches, content, np.uint16, 10, minhash.estimate, 0.1, alike, lambda score: score >= 1)
+    edges = grouping.verified_edges(sketches, content, np.uint16, 10, minhash.estimate, 0.1, alike, lambda score: score >= 1, block=block)
     assert {(r.a[0], r.b[0]) for r in edges.collect() if 99 in (r.a[0], r.b[0])} == {(8, 99)}
     assert {r.root for r in grouping.components(edges.select("a", "b")).collect()} == {key(0)}
 
 
+def test_low_thresholds_find_their_pairs(spark):
+    """Bands and floor follow the threshold: 60 pairs just above 0.3 are all found, and none below."""
+    random.seed(9)
+    rows = []
+    for i in range(120):
+        a = [f"p{i}w{k}" for k in range(200)]
+        cut = 101 if i < 60 else 85
+        b = a[:cut] + [f"q{i}w{k}" for k in range(200 - cut)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    pairs = set(_jaccard_pairs(rows, 0.3))
+    assert len(pairs) == 60
+    group = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.3).collect()}
+    assert sum(group.get(a, -1) == group.get(b, -2) for a, b in pairs) >= 59 and len(group) <= 120
+    assert minhash.band_rows(0.5) == 4 and minhash.band_rows(0.3) < 4 and minhash.estimate_floor(0.3) < 0.3
+
+
+def test_hot_bucket_of_unlike_texts(spark):
+    """A bucket of 3,000 unlike members is thinned within runs and compared in pairs of blocks of some 200; the one pair in it that is alike is found."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sketch = rng.integers(0, 2**16, (3000, 20)).astype(np.uint16)
+    sketch[:, 0] = 7
+    sketch[2999, :15] = sketch[1234, :15]
+    rows = [(int(i).to_bytes(4, "big"), s.tobytes()) for i, s in enumerate(sketch)]
+    sketches = common.stored(spark.createDataFrame(rows, "key binary, sketch binary").repartition(4))
+    copy = lambda batch: pa.record_batch([batch.column(0), batch.column(0)], names=["key", "content"])
+    content = lambda keys: common.map_arrow(keys, copy, "key binary, content binary")
+    alike = lambda a, b: float({int.from_bytes(a, "big"), int.from_bytes(b, "big")} == {1234, 2999})
+    edges = grouping.verified_edges(sketches, content, np.uint16, 20, minhash.estimate, 0.5, alike, lambda score: score >= 1, block=200).collect()
+    assert [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in edges] == [(1234, 2999)]
+
+
 # --- Importance
 
 
@@ -346,27 +385,56 @@ def _levenshtein(a, b):
 
 def test_edit_distance():
     random.seed(1)
-    for _ in range(300):
-        a = "".join(random.choice("abé") for _ in range(random.randrange(25)))
-        b = a[:3] + "x" + a[5:] if random.random() < 0.5 else "".join(random.choice("abé") for _ in range(random.randrange(25)))
-        assert editembed.edit_distance(a, b) == _levenshtein(a, b)
-        assert editembed.distance_bound(a, b) >= _levenshtein(a, b)
-    words = [f"w{random.randrange(500)}" for _ in range(120)]
-    other = [w if random.random() > 0.05 else "zz" for w in words]
-    a, b = " ".join(words), " ".join(other)
-    assert editembed.edit_distance(a, b) <= editembed.distance_bound(a, b) <= 2 * editembed.edit_distance(a, b)
+    for _ in range(600):
+        a = "".join(random.choice("abé") for _ in range(random.randrange(40)))
+        b = _with_character_edits(a, 0.1) if random.random() < 0.6 and a else "".join(random.choice("abé") for _ in range(random.randrange(40)))
+        d = _levenshtein(a, b)
+        assert editembed.edit_distance(a, b) == d
+        for most in (0, 1, 3, 7, 20):
+            assert editembed.edit_distance(a, b, most) == (d if d <= most else None)
+    words = [f"w{random.randrange(500)}" for _ in range(400)]
+    a, b = " ".join(words), " ".join(w if random.random() > 0.05 else "zz" for w in words)
+    assert editembed.edit_distance(a, b) == _levenshtein(a, b)
 
 
 def test_walks_step_by_step():
     text = "Some words that a walk goes over, again and again."
-    window = np.array([[ord(c) for c in text[k : k + editembed.SPAN]] for k in (0, 5)], np.uint16)
-    shown = editembed.walk(window)
-    for row, out in zip(window, shown):
-        at = 0
+    cp = np.array([ord(c) for c in text], np.uint32)
+    begin, stop = np.array([0, 5, 40]), np.array([len(text), 20, len(text)])
+    for place, end, out in zip(begin, stop, editembed.walk(cp, begin, stop)):
+        at = place
         for t in range(editembed.STEPS):
-            c = row[at] if at < len(row) else editembed._END
+            c = cp[at] if at < end else editembed._END
             assert out[t] == c
-            at = min(at + int(editembed._BITS[t][c & 63]), len(row))
+            at = min(at + int(editembed._BITS[t][c & 63]), end)
+
+
+def test_fingerprints_walk_every_segment(monkeypatch):
+    """A plain version walks from each anchor by itself; cutting texts into pieces changes nothing; each character is walked over."""
+    random.seed(5)
+    texts = ["".join(random.choice("abcde fé😀") for _ in range(n)) for n in (0, 1, 5, 8, 9, 300, 5000)]
+    want = np.zeros((len(texts), editembed.WALKS), np.uint32)
+    for i, text in enumerate(texts):
+        cp = np.array([ord(c) for c in text], np.uint32)
+        codes, passed = [], set()
+        for at in range(len(text)):
+            gram = editembed._grams(np.concatenate((cp[at : at + editembed.GRAM], np.zeros(editembed.GRAM, np.uint32)))[: editembed.GRAM], editembed.GRAM)[0]
+            if at and (at + editembed.GRAM > len(text) or gram >= 2**64 // editembed.DENSITY):
+                continue
+            place, shown = at, []
+            for t in range(editembed.STEPS):
+                c = int(cp[place]) if place < len(text) else 0
+                passed.add(place)
+                shown.append(c)
+                place = min(place + int(editembed._BITS[t][c & 63]), len(text))
+            codes.append([int(common.mix(gram * editembed._STEP + np.array([shown[t]], np.uint64))[0]) for t in editembed._COORDINATES])
+        for k in range(editembed.WALKS if codes else 0):
+            least = min(c[k % editembed.SAMPLES] * int(editembed._ORDERS[k]) % 2**64 for c in codes)
+            want[i, k] = int(common.mix(np.array([least], np.uint64))[0]) >> 32
+        assert len(passed & set(range(len(text)))) >= 0.85 * len(text)
+    assert (editembed.fingerprints(texts) == want).all()
+    monkeypatch.setattr(editembed, "PIECE", 100)
+    assert (editembed.fingerprints(texts) == want).all()
 
 
 def test_walks_map_edits_to_few_differences():
@@ -380,11 +448,17 @@ def test_walks_map_edits_to_few_differences():
 
 
 def test_fingerprints_against_brute_force(spark, documents):
-    rows = [(r.doc_id, r.text) for r in documents.where("length(text) < 4000").collect()]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs = [(a, b) for k, (a, s) in enumerate(rows) for b, t in rows[:k] if editembed.similarity(editembed.pack(s), editembed.pack(t)) >= editembed.THRESHOLD]
-    group = {r.doc_id: r.group_id for r in editembed.fingerprint_groups(docs).collect()}
-    assert pairs and sum(group.get(a, -1) == group.get(b, -2) for a, b in pairs) / len(pairs) >= 0.9
+    """Whole texts of whatever length; the distances of all pairs come from a full matrix where a text is short, else from the banded one with the widest band."""
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    pairs = []
+    for k, (a, s) in enumerate(rows):
+        for b, t in rows[:k]:
+            longer = max(len(s), len(t))
+            if abs(len(s) - len(t)) <= 0.1 * longer and editembed.least_distance(s, t) <= 0.1 * longer:
+                d = _levenshtein(s, t) if longer < 400 else editembed.edit_distance(s, t)
+                pairs += [(a, b)] if d <= 0.1 * longer + 1e-9 else []
+    group = {r.doc_id: r.group_id for r in editembed.fingerprint_groups(documents).collect()}
+    assert pairs and sum(group.get(a, -1) == group.get(b, -2) for a, b in pairs) / len(pairs) >= 0.95
     sets = grouping.UnionFind()
     for a, b in pairs:
         sets.union(a, b)
@@ -412,7 +486,7 @@ def test_fingerprints_find_edits_of_characters(spark):
         copies = [_with_character_edits(t, rate) for t in texts]
         alike = [i for i, (a, b) in enumerate(zip(texts, copies)) if 1 - editembed.edit_distance(a, b) / max(len(a), len(b)) >= editembed.THRESHOLD]
         a, b = editembed.fingerprints(texts), editembed.fingerprints(copies)
-        shared = (grouping.bands(a, editembed.BANDS) == grouping.bands(b, editembed.BANDS)).any(axis=1) & (editembed.estimate(a, b) >= editembed.FLOOR)
+        shared = (grouping.bands(a, editembed.BANDS) == grouping.bands(b, editembed.BANDS)).any(axis=1) & (editembed.estimate(a, b) >= editembed.estimate_floor(editembed.THRESHOLD))
         assert len(alike) > 40 and shared[alike].mean() >= 0.9
         assert all(editembed.similarity(editembed.pack(texts[i]), editembed.pack(copies[i])) >= editembed.THRESHOLD for i in alike)
 
