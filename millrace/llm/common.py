@@ -37,7 +37,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables as stored() returned them, of which nothing will be read any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Tables up to so many bytes, as a broadcast holds them, are broadcast.
@@ -77,6 +86,11 @@ def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.where(F.shiftrightunsigned(F.xxhash64(*by), 11) < int(rows / n * 2**53))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with a column number that tells them apart, as a stored table: numbers are drawn once."""
+    return stored(rows.withColumn("number", F.monotonically_increasing_id()))
+
+
 def text_key(column: str | Column = "text") -> Column:
     """16 bytes that stand for a text; null for a null text."""
     return F.unhex(F.md5(F.col(column) if isinstance(column, str) else column))

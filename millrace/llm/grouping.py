@@ -1,6 +1,6 @@
 """From banded sketches to groups: candidates, verification, connected components.
 
-In a bucket every member is first linked with one key only, its pivot: the smallest key of the bucket in the same
+A key is the number of a text. In a bucket every member is first linked with one key only, its pivot: the smallest key of the bucket in the same
 run of rows, and these with the smallest of all. So a bucket that many rows share is thinned before anything is shuffled, and
 n copies cost n links, not n squared. Of each key the pivot that shares most buckets with it is verified first. Members
 that prove alike are joined through it, so their other pairs are settled. Where a bucket
@@ -16,21 +16,18 @@ import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix, small, stored
+from .common import discard, map_batches, mix, small, stored
 
 #: Up to so many edges, one task's union-find takes them all; beyond, star contraction does the same in rounds.
 LOCAL_EDGES = 2_000_000
-#: Members of a block of a bucket, about; sketches that a batch bands at once.
-BLOCK, RUN = 2_000, 20_000
+#: Members of a block of a bucket, about.
+BLOCK = 2_000
 #: How many of a key's pairs in a group are verified in the rounds after the first; None: all.
 WIDTHS = (1, 8, 64, None)
-#: Pairs in a batch.
-_BATCH = 20_000
 
 
 def bands(sketch: np.ndarray, rows: int | np.ndarray) -> np.ndarray:
@@ -49,9 +46,10 @@ def _sketches_of(column: pa.Array, dtype, size: int) -> np.ndarray:
 
 
 def _passing(pairs: DataFrame, sketches: DataFrame, dtype, size: int, estimate: Callable, floor: float) -> DataFrame:
-    """The pairs (a, b) whose sketches are alike enough."""
+    """The pairs (a, b), a stored table, whose sketches are alike enough."""
     s = sketches.select("key", "sketch")
-    both = pairs.join(s.withColumnsRenamed({"key": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"key": "b", "sketch": "sb"}), "b").select("a", "b", "sa", "sb")
+    # The first join leaves the sketches where they are while the pairs are few.
+    both = s.withColumnsRenamed({"key": "b", "sketch": "sb"}).join(small(pairs), "b").join(s.withColumnsRenamed({"key": "a", "sketch": "sa"}).join(small(stored(pairs.select("a").distinct())), "a", "left_semi").hint("merge"), "a").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,22 +57,24 @@ def _passing(pairs: DataFrame, sketches: DataFrame, dtype, size: int, estimate:
             keep = pa.array(estimate(x, y) >= floor)
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return map_batches(both, run, "a binary, b binary")
+    return map_batches(both, run, _PAIR)
 
 
 def _verified(pairs: DataFrame, content: Callable[[DataFrame], DataFrame], exact: Callable[[bytes, bytes], float]) -> DataFrame:
-    """pairs (a, b), a stored table, with score, by their contents."""
+    """pairs (a, b), a stored table, with score, by their contents; a stored table."""
     keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    c = stored(content(keys))
+    c, left = stored(content(keys)), stored(pairs.select("a").distinct())
     # The contents are wide and the pairs narrow: while these are few, the first join leaves the contents where they are. Contents are never broadcast.
-    both = c.withColumnsRenamed({"key": "b", "content": "cb"}).join(small(pairs), "b").join(c.withColumnsRenamed({"key": "a", "content": "ca"}).hint("merge"), "a").select("a", "b", "ca", "cb")
+    both = c.withColumnsRenamed({"key": "b", "content": "cb"}).join(small(pairs), "b").join(c.withColumnsRenamed({"key": "a", "content": "ca"}).join(small(left), "a", "left_semi").hint("merge"), "a").select("a", "b", "ca", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = [exact(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes()) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["a", "b", "score"])
 
-    return map_batches(both, run, "a binary, b binary, score double")
+    out = stored(map_batches(both, run, f"{_PAIR}, score double"))
+    discard(keys, c, left)
+    return out
 
 
 def _joining(sketch: np.ndarray, root: np.ndarray, estimate: Callable, floor: float, width: int | None, block: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
@@ -100,46 +100,52 @@ def _next_round(star: DataFrame, roots: DataFrame, sketches: DataFrame, dtype, s
     """Pairs (a, b), a < b, that are promising in a bucket, of members that roots (key, root) doesn't join; a row with band only for each bucket that has more."""
     r = roots.select("key", "root")
     links = star.join(r, "key", "left").join(r.withColumnsRenamed({"key": "pivot", "root": "top"}), "pivot", "left").select("band", "key", "pivot", F.coalesce("root", "key").alias("root"), F.coalesce("top", "pivot").alias("top"))
+    links = stored(links)
     open_buckets = stored(links.where("root <> top").select("band").distinct())
     ends = F.explode(F.array(F.struct("key", "root"), F.struct(F.col("pivot").alias("key"), F.col("top").alias("root")))).alias("m")
-    members = stored(links.join(open_buckets, "band", "left_semi").select("band", ends).select("band", "m.*").distinct())
+    members = stored(links.join(small(open_buckets), "band", "left_semi").select("band", ends).select("band", "m.*").distinct())
     # Of a bucket with n members the blocks; a member goes to each pair of blocks that has its own.
-    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    blocks = stored(members.groupBy("band").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = members.join(blocks, "band").select("*", own).select("*", other).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "root")
-    spread = spread.join(sketches.select("key", "sketch"), "key").select("band", "low", "high", "block", "key", "sketch", "root")
+    spread = members.join(small(blocks), "band").select("*", own).select("*", other).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "root")
+    # The sketches stay where they are while those that are asked for are few.
+    spread = sketches.select("key", "sketch").join(small(stored(spread)), "key").select("band", "low", "high", "block", "key", "root", "sketch")
 
-    def flush(place: tuple, key: list[bytes], sketch: list[bytes], root: list[bytes], block: list[int]) -> Iterator[pa.RecordBatch]:
-        if len(set(root)) < 2:
+    def flush(place: tuple[int, int, int], held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        block, key, root = (np.concatenate([t.column(i).to_numpy(zero_copy_only=False) for t in held]) for i in (3, 4, 5))
+        if (root == root[0]).all():
             return
-        pairs, cut = _joining(np.frombuffer(b"".join(sketch), dtype).reshape(-1, size), np.array(root, object), estimate, floor, width, np.array(block) if place[1] != place[2] else None)
-        for at in range(0, len(pairs), _BATCH):
-            yield _pairs([tuple(sorted((key[i], key[j]))) for i, j in pairs[at : at + _BATCH].tolist()], True)
+        pairs, cut = _joining(np.concatenate([_sketches_of(t.column(6), dtype, size) for t in held]), root, estimate, floor, width, block if place[1] != place[2] else None)
+        ends = np.sort(key[pairs], axis=1)
+        yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.nulls(len(ends), pa.int64())], names=["a", "b", "band"])
         if cut:
-            yield pa.record_batch([pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([place[0]], pa.int64())], names=["a", "b", "band"])
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([place[0]], pa.int64())], names=["a", "b", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [], [])
+        now, held = None, []
         for batch in batches:
-            for *place, block, k, s, r in zip(*(c.to_pylist() for c in batch.columns)):
-                if place != now:
-                    if now:
-                        yield from flush(tuple(now), *held)
-                    now, held = place, ([], [], [], [])
-                for column, x in zip(held, (k, s, r, block)):
-                    column.append(x)
-        if now:
-            yield from flush(tuple(now), *held)
+            where = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            cuts = np.concatenate(([0], np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1, [len(where)]))
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                if a == b:
+                    continue
+                place = tuple(where[a].tolist())
+                if held and place != now:
+                    yield from flush(now, held)
+                    held = []
+                now = place
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from flush(now, held)
 
     place = ["band", "low", "high"]
-    return map_batches(spread.repartition(*place).sortWithinPartitions(*place, "key"), run, "a binary, b binary, band bigint").distinct()
+    out = stored(map_batches(spread.repartition(*place).sortWithinPartitions(*place, "key"), run, f"{_PAIR}, band bigint").distinct())
+    discard(links, open_buckets, members, blocks)
+    return out
 
 
-def _pairs(rows: list[tuple[bytes, bytes]], band: bool = False) -> pa.RecordBatch:
-    """Rows a, b; with a column band of nulls if asked for."""
-    columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
-    return pa.record_batch([*columns, pa.nulls(len(rows), pa.int64())] if band else columns, names=["a", "b", "band"] if band else ["a", "b"])
+_PAIR = "a bigint, b bigint"
 
 
 def _links(sketches: DataFrame, dtype, size: int, rows: int | np.ndarray, near: bool) -> DataFrame:
@@ -151,59 +157,60 @@ def _links(sketches: DataFrame, dtype, size: int, rows: int | np.ndarray, near:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, RUN):
-                part = batch.slice(at, RUN)
-                key = part.column(0)
-                if banded:
-                    band = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                    owner = np.repeat(np.arange(len(part)), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
-                else:
-                    found = bands(_sketches_of(part.column(1), dtype, size), rows).astype(np.int64)
-                    band, owner = found.ravel(), np.repeat(np.arange(len(found)), found.shape[1])
-                if not len(band):
-                    continue
-                place = np.empty(len(part), np.int64)
-                place[np.array(sorted(range(len(part)), key=key.to_pylist().__getitem__))] = np.arange(len(part))
-                order = np.lexsort((place[owner], band))
-                band, owner = band[order], owner[order]
-                begins = np.append(True, band[1:] != band[:-1])
-                first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-                take = np.flatnonzero((owner[first] != owner) if near else begins)
-                keys = key.take(pa.array(owner[take]))
-                pivot = key.take(pa.array(owner[first[take]])) if near else pa.nulls(len(take), pa.binary())
-                yield pa.record_batch([pa.array(band[take]), keys, pivot], names=["band", "key", "pivot"])
-
-    return map_batches(sketches.select("key", "bands" if banded else "sketch"), run, "band bigint, key binary, pivot binary")
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            if banded:
+                band = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                keys = np.repeat(key, batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            else:
+                found = bands(_sketches_of(batch.column(1), dtype, size), rows).astype(np.int64)
+                band, keys = found.ravel(), np.repeat(key, found.shape[1])
+            if not len(band):
+                continue
+            order = np.lexsort((keys, band))
+            band, keys = band[order], keys[order]
+            begins = np.append(True, band[1:] != band[:-1])
+            first = keys[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+            # A key may have a band twice.
+            take = np.flatnonzero(first != keys if near else begins)
+            yield pa.record_batch([pa.array(band[take]), pa.array(keys[take]), pa.array(first[take])], names=["band", "key", "pivot"])
+
+    return map_batches(sketches.select("key", "bands" if banded else "sketch"), run, "band bigint, key bigint, pivot bigint")
 
 
 def _star(sketches: DataFrame, dtype, size: int, rows: int | np.ndarray) -> DataFrame:
     """band, key, pivot: the links of every bucket with two members or more, which they connect."""
-    far = _links(sketches, dtype, size, rows, False).withColumn("pivot", F.min("key").over(Window.partitionBy("band"))).where("key <> pivot")
+    far = _links(sketches, dtype, size, rows, False).select("band", "key")
+    far = far.withColumn("pivot", F.min("key").over(Window.partitionBy("band"))).where("key <> pivot")
     return _links(sketches, dtype, size, rows, True).unionByName(far)
 
 
 def verified_edges(sketches: DataFrame, content: Callable[[DataFrame], DataFrame], dtype, size: int, estimate: Callable, floor: float, exact: Callable[[bytes, bytes], float], accept: Callable, rows: int | np.ndarray = 1, block: int = BLOCK) -> DataFrame:
     """a, b, score: pairs that join all keys whose contents are alike, directly or through others.
 
-    sketches: key, sketch and perhaps bands, one row a key; without bands runs of so many numbers of the sketch, or the numbers at these places (rows), are banded. content(keys): key, content of these keys. estimate(rows, rows) of
+    sketches: key (a number), sketch and perhaps bands, a stored table, one row a key; without bands runs of so many numbers of the sketch, or the numbers at these places (rows), are banded. content(keys): key, content of these keys. estimate(rows, rows) of
     sketches and exact(content, content) measure; accept(score column) says which scores will do. An empty table gives an empty one.
     """
     star = stored(_star(sketches, dtype, size, rows))
     shared = star.groupBy("pivot", "key").agg(F.count("*").alias("n"))
-    first = shared.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-    verified = [stored(_verified(stored(_passing(first, sketches, dtype, size, estimate, floor)), content, exact))]
+    first = stored(shared.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b")))
+    passing = stored(_passing(first, sketches, dtype, size, estimate, floor))
+    verified = [_verified(passing, content, exact)]
+    discard(first, passing)
     found = lambda: functools.reduce(DataFrame.unionByName, verified)
     for width in WIDTHS:
         roots = components(found().where(accept(F.col("score"))).select("a", "b"))
-        more = stored(_next_round(star, roots, sketches, dtype, size, estimate, floor, width, block))
+        more = _next_round(star, roots, sketches, dtype, size, estimate, floor, width, block)
         new = stored(more.where("a IS NOT NULL").select("a", "b").join(found().select("a", "b"), ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            verified.append(stored(_verified(new, content, exact)))
-        left = more.where("band IS NOT NULL").select("band").distinct()
+            verified.append(_verified(new, content, exact))
+        left = stored(more.where("band IS NOT NULL").select("band").distinct())
+        discard(more)
         if left.isEmpty():
             break
         # Elsewhere all pairs above the floor across components are verified.
-        star = stored(star.join(small(stored(left)), "band", "left_semi"))
+        before, star = star, stored(star.join(small(left), "band", "left_semi"))
+        discard(before)
+    discard(star)
     return found().where(accept(F.col("score")))
 
 
@@ -242,27 +249,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [(x, sets.find(x)) for x in list(sets.parent)]
     rows = [r for r in rows if r[0] != r[1]]
     for i in range(0, len(rows), 50_000):
-        yield _pairs(rows[i : i + 50_000])
+        yield pa.record_batch([pa.array([r[k] for r in rows[i : i + 50_000]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """key, root (smallest key of its connected component), for edges (a, b) in any order; loops and repeats do no harm."""
+    """key, root (smallest key of its connected component), for edges (a, b) of numbers in any order; loops and repeats do no harm."""
     edges = stored(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"))
-    if edges.count() <= local_edges:
-        kind = dict(edges.dtypes)["a"]
-        tree = stored(map_batches(edges.coalesce(1), _forest, "a binary, b binary") if kind == "binary" else edges.coalesce(1).mapInPandas(_pandas_forest, edges.schema))
-    else:
-        tree = _contract(edges)
+    tree = stored(map_batches(edges.coalesce(1), _forest, _PAIR)) if edges.count() <= local_edges else _contract(edges)
     return tree.select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(tree.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())
 
 
-def _pandas_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sets = UnionFind()
-    for f in frames:
-        for x, y in zip(f["a"], f["b"]):
-            sets.union(x, y)
-    rows = [(x, r) for x in list(sets.parent) if (r := sets.find(x)) != x]
-    yield pd.DataFrame(rows, columns=["a", "b"])
-
-
 def _contract(edges: DataFrame) -> DataFrame:
     """Alternating large-star and small-star rounds until nothing changes: (a, b) with b the root of a."""
     while True:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, chunks, free, map_arrow, mix, quoted, shingles, small, stored, text_key
+from .common import Tokens, chunks, free, map_arrow, mix, numbered, quoted, shingles, small, stored, text_key
 from .grouping import bands, group_keys
 
 #: Words of a shingle; components of a signature; least Jaccard similarity.
@@ -113,21 +113,27 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def _roots(docs: DataFrame, threshold: float) -> DataFrame:
-    """key, root of the texts that resemble another text."""
+    """key, root (a number) of the texts that resemble another text."""
     rows = band_rows(threshold)
     texts = docs.where("text IS NOT NULL").select(text_key().alias("key"), "text")
-    sketches = stored(map_arrow(texts, lambda batch: _sketch(batch, rows), "key binary, bands array<bigint>, sketch binary").dropDuplicates(["key"]))
-    return group_keys(
-        sketches,
-        lambda keys: map_arrow(texts.join(small(keys), "key", "left_semi").dropDuplicates(["key"]), _content, "key binary, content binary"),
-        np.uint16, SIZE, estimate, estimate_floor(threshold), jaccard, lambda score: score >= threshold,
-    )
+    known = numbered(map_arrow(texts, lambda batch: _sketch(batch, rows), "key binary, bands array<bigint>, sketch binary").dropDuplicates(["key"]))
+    sketches = known.select(F.col("number").alias("key"), "bands", "sketch")
+
+    def content(numbers: DataFrame) -> DataFrame:
+        asked = stored(known.select("key", "number").join(small(numbers.withColumnRenamed("key", "number")), "number"))
+        some = texts.join(small(asked), "key").select("number", "text").dropDuplicates(["number"])
+        return map_arrow(some, _content, "key bigint, content binary")
+
+    roots = group_keys(sketches, content, np.uint16, SIZE, estimate, estimate_floor(threshold), jaccard, lambda score: score >= threshold)
+    return known.select("key", "number").join(roots.withColumnRenamed("key", "number"), "number").select("key", "root")
 
 
 def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, key, root, n: the distinct pairs of doc_id and text with the text's group; n rows are such."""
     ids = stored(docs.where("text IS NOT NULL").select("doc_id", text_key().alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("n")))
-    return ids.join(_roots(docs, threshold), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"), "n")
+    # Texts that resemble no other are groups of their own.
+    own = F.struct(F.col("root"), F.when(F.col("root").isNull(), F.col("key")).alias("key"))
+    return ids.join(_roots(docs, threshold), "key", "left").select("doc_id", "key", own.alias("root"), "n")
 
 
 def _members(docs: DataFrame, threshold: float) -> DataFrame:

@@ -270,18 +270,14 @@ def test_components_both_ways(spark):
 @pytest.mark.parametrize("block", [grouping.BLOCK, 4])
 def test_pairs_refused_at_first_do_not_hide_others(spark, block):
     """Key 99 is alike only to the key of its bucket whose sketch promises least; 20 lookalikes in the same component come first. Blocks change nothing."""
-    import pyarrow as pa
-
-    key = lambda i: bytes([i])
     sketch = lambda i: np.array([7, *(1 if k < (8 if i == 99 else i % 8) else 100 * i + k for k in range(9))], np.uint16)
-    rows = [(key(i), sketch(i).tobytes()) for i in [*range(21), 99]]
-    sketches = common.stored(spark.createDataFrame(rows, "key binary, sketch binary"))
-    copy = lambda batch: pa.record_batch([batch.column(0), batch.column(0)], names=["key", "content"])
-    content = lambda keys: common.map_arrow(keys, copy, "key binary, content binary")
+    rows = [(i, sketch(i).tobytes()) for i in [*range(21), 99]]
+    sketches = common.stored(spark.createDataFrame(rows, "key long, sketch binary"))
+    content = lambda keys: keys.selectExpr("key", "CAST(char(key) AS BINARY) AS content")
     alike = lambda a, b: float(99 not in (a[0], b[0]) or {a[0], b[0]} == {99, 8})
     edges = grouping.verified_edges(sketches, content, np.uint16, 10, minhash.estimate, 0.1, alike, lambda score: score >= 1, block=block)
-    assert {(r.a[0], r.b[0]) for r in edges.collect() if 99 in (r.a[0], r.b[0])} == {(8, 99)}
-    assert {r.root for r in grouping.components(edges.select("a", "b")).collect()} == {key(0)}
+    assert {(r.a, r.b) for r in edges.collect() if 99 in (r.a, r.b)} == {(8, 99)}
+    assert {r.root for r in grouping.components(edges.select("a", "b")).collect()} == {0}
 
 
 def test_low_thresholds_find_their_pairs(spark):
@@ -302,19 +298,30 @@ def test_low_thresholds_find_their_pairs(spark):
 
 def test_hot_bucket_of_unlike_texts(spark):
     """A bucket of 3,000 unlike members is thinned within runs and compared in pairs of blocks of some 200; the one pair in it that is alike is found."""
-    import pyarrow as pa
-
     rng = np.random.default_rng(4)
     sketch = rng.integers(0, 2**16, (3000, 20)).astype(np.uint16)
     sketch[:, 0] = 7
     sketch[2999, :15] = sketch[1234, :15]
-    rows = [(int(i).to_bytes(4, "big"), s.tobytes()) for i, s in enumerate(sketch)]
-    sketches = common.stored(spark.createDataFrame(rows, "key binary, sketch binary").repartition(4))
-    copy = lambda batch: pa.record_batch([batch.column(0), batch.column(0)], names=["key", "content"])
-    content = lambda keys: common.map_arrow(keys, copy, "key binary, content binary")
-    alike = lambda a, b: float({int.from_bytes(a, "big"), int.from_bytes(b, "big")} == {1234, 2999})
+    rows = [(i, s.tobytes()) for i, s in enumerate(sketch)]
+    sketches = common.stored(spark.createDataFrame(rows, "key long, sketch binary").repartition(4))
+    content = lambda keys: keys.selectExpr("key", "CAST(CAST(key AS STRING) AS BINARY) AS content")
+    alike = lambda a, b: float({int(a), int(b)} == {1234, 2999})
     edges = grouping.verified_edges(sketches, content, np.uint16, 20, minhash.estimate, 0.5, alike, lambda score: score >= 1, block=200).collect()
-    assert [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in edges] == [(1234, 2999)]
+    assert [(r.a, r.b) for r in edges] == [(1234, 2999)]
+
+
+def test_anchor_weights_count_all_texts(spark, documents):
+    """Against a plain count; a run of characters that every text has weighs less, and copies are told by what is left."""
+    texts = [f"common opening {i} " + " ".join(f"w{i * 37 % 1009 + k}" for k in range(60)) for i in range(300)]
+    df = spark.createDataFrame([(t,) for t in [*texts, ""]], "text string")
+    total = np.zeros(editembed.COUNTERS)
+    for t in texts:
+        gram = editembed.segments([t], np.array([10**9]), np.array([True]))[4]
+        np.add.at(total, editembed._counter(gram), 1)
+    share = total / 301
+    weights = editembed.anchor_weights(df)
+    assert np.allclose(weights, np.maximum(1, (share - share.mean()) / editembed.SHARE)) and weights.max() > 20
+    assert (editembed.anchor_weights(df.limit(0)) == 1).all()
 
 
 # --- Importance
@@ -427,10 +434,10 @@ def test_fingerprints_walk_every_segment(monkeypatch):
                 passed.add(place)
                 shown.append(c)
                 place = min(place + int(editembed._BITS[t][c & 63]), len(text))
-            codes.append([int(common.mix(gram * editembed._STEP + np.array([shown[t]], np.uint64))[0]) for t in editembed._COORDINATES])
+            codes.append([int(common.mix(np.array([gram]) * editembed._STEP + np.array([shown[t]], np.uint64))[0]) for t in editembed._COORDINATES])
         for k in range(editembed.WALKS if codes else 0):
-            least = min(c[k % editembed.SAMPLES] * int(editembed._ORDERS[k]) % 2**64 for c in codes)
-            want[i, k] = int(common.mix(np.array([least], np.uint64))[0]) >> 32
+            least = min(float(c[k % editembed.SAMPLES] * int(editembed._ORDERS[k]) % 2**64) for c in codes)
+            want[i, k] = int(common.mix(np.array([least]).view(np.uint64))[0]) >> 32
         assert len(passed & set(range(len(text)))) >= 0.85 * len(text)
     assert (editembed.fingerprints(texts) == want).all()
     monkeypatch.setattr(editembed, "PIECE", 100)
@@ -481,11 +488,13 @@ def _with_character_edits(text, rate):
 def test_fingerprints_find_edits_of_characters(spark):
     """Edits of single characters, down to the threshold: of 60 documents of sf0.1, at least 90 % of copies are found at each rate."""
     random.seed(6)
-    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) BETWEEN 400 AND 4000").orderBy("doc_id").limit(60).collect()]
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    weights = editembed.anchor_weights(documents.select("text"))
+    texts = [r.text for r in documents.where("length(text) BETWEEN 400 AND 4000").orderBy("doc_id").limit(60).collect()]
     for rate in (0.03, 0.05, 0.07, 0.09):
         copies = [_with_character_edits(t, rate) for t in texts]
         alike = [i for i, (a, b) in enumerate(zip(texts, copies)) if 1 - editembed.edit_distance(a, b) / max(len(a), len(b)) >= editembed.THRESHOLD]
-        a, b = editembed.fingerprints(texts), editembed.fingerprints(copies)
+        a, b = editembed.fingerprints(texts, weights), editembed.fingerprints(copies, weights)
         shared = (grouping.bands(a, editembed.BANDS) == grouping.bands(b, editembed.BANDS)).any(axis=1) & (editembed.estimate(a, b) >= editembed.estimate_floor(editembed.THRESHOLD))
         assert len(alike) > 40 and shared[alike].mean() >= 0.9
         assert all(editembed.similarity(editembed.pack(texts[i]), editembed.pack(copies[i])) >= editembed.THRESHOLD for i in alike)
