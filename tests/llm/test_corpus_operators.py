@@ -316,7 +316,7 @@ def test_anchor_weights_count_all_texts(spark, documents):
     df = spark.createDataFrame([(t,) for t in [*texts, ""]], "text string")
     total = np.zeros(editembed.COUNTERS)
     for t in texts:
-        gram = editembed.segments([t], np.array([10**9]), np.array([True]))[4]
+        gram = editembed.segments([t], np.array([10**9]), np.array([True]))[3]
         np.add.at(total, editembed._counter(gram), 1)
     share = total / 301
     weights = editembed.anchor_weights(df)
@@ -396,31 +396,34 @@ def test_edit_distance():
         a = "".join(random.choice("abé") for _ in range(random.randrange(40)))
         b = _with_character_edits(a, 0.1) if random.random() < 0.6 and a else "".join(random.choice("abé") for _ in range(random.randrange(40)))
         d = _levenshtein(a, b)
-        assert editembed.edit_distance(a, b) == d
+        assert editembed.edit_distance(a, b) == d <= editembed.distance_bound(a, b)
         for most in (0, 1, 3, 7, 20):
             assert editembed.edit_distance(a, b, most) == (d if d <= most else None)
     words = [f"w{random.randrange(500)}" for _ in range(400)]
     a, b = " ".join(words), " ".join(w if random.random() > 0.05 else "zz" for w in words)
-    assert editembed.edit_distance(a, b) == _levenshtein(a, b)
+    assert editembed.edit_distance(a, b) == _levenshtein(a, b) <= editembed.distance_bound(a, b) <= 2 * _levenshtein(a, b)
 
 
 def test_walks_step_by_step():
     text = "Some words that a walk goes over, again and again."
-    cp = np.array([ord(c) for c in text], np.uint32)
-    begin, stop = np.array([0, 5, 40]), np.array([len(text), 20, len(text)])
-    for place, end, out in zip(begin, stop, editembed.walk(cp, begin, stop)):
-        at = place
-        for t in range(editembed.STEPS):
-            c = cp[at] if at < end else editembed._END
-            assert out[t] == c
-            at = min(at + int(editembed._BITS[t][c & 63]), end)
+    cp = np.array([ord(c) for c in text] + [0] * editembed.STEPS, np.uint32)
+    begin = np.array([0, 5, 40])
+    for some in (range(editembed.STEPS), (3, 17, 30)):
+        shown = editembed.walk(cp, begin, some)
+        for place, out in zip(begin, shown.T):
+            at, want = place, []
+            for t in range(editembed.STEPS):
+                want.append(cp[at])
+                at += int(editembed._BITS[t][cp[at] & 63])
+            assert out.tolist() == [want[t] for t in some]
 
 
 def test_fingerprints_walk_every_segment(monkeypatch):
     """A plain version walks from each anchor by itself; cutting texts into pieces changes nothing; each character is walked over."""
     random.seed(5)
     texts = ["".join(random.choice("abcde fé😀") for _ in range(n)) for n in (0, 1, 5, 8, 9, 300, 5000)]
-    want = np.zeros((len(texts), editembed.WALKS), np.uint32)
+    want = np.zeros((len(texts), editembed.WALKS + 1), np.uint32)
+    want[:, editembed.WALKS] = list(map(len, texts))
     for i, text in enumerate(texts):
         cp = np.array([ord(c) for c in text], np.uint32)
         codes, passed = [], set()
@@ -436,7 +439,7 @@ def test_fingerprints_walk_every_segment(monkeypatch):
                 place = min(place + int(editembed._BITS[t][c & 63]), len(text))
             codes.append([int(common.mix(np.array([gram]) * editembed._STEP + np.array([shown[t]], np.uint64))[0]) for t in editembed._COORDINATES])
         for k in range(editembed.WALKS if codes else 0):
-            least = min(float(c[k % editembed.SAMPLES] * int(editembed._ORDERS[k]) % 2**64) for c in codes)
+            least = min(float(c[k % editembed.SAMPLES] * int(editembed._ORDERS[k]) % 2**64 >> 1) for c in codes)
             want[i, k] = int(common.mix(np.array([least]).view(np.uint64))[0]) >> 32
         assert len(passed & set(range(len(text)))) >= 0.85 * len(text)
     assert (editembed.fingerprints(texts) == want).all()
