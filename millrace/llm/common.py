@@ -207,15 +207,16 @@ def release() -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow; at the end of a task its memory is released."""
+    """mapInArrow for columns of any names; at the end of a task its memory is released."""
+    names = df.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(b.rename_columns(names) for b in batches)
         finally:
             release()
 
-    return df.mapInArrow(task, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(task, schema)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 A surrogate is a keyed permutation of the entity within the strings of its own format, so
 equal entities get equal surrogates wherever they occur, and different ones different ones, without
-a look-up table. What a permutation can't rule out, a surrogate that is itself or is somebody else's real
-value, is checked over the whole corpus: such entities get another surrogate, which collides with none.
+a look-up table. Names go by their own spelling alone, not by the sentence they stand in: a person has one surrogate everywhere.
+A surname's ending that tells a gender stays, and its stem has one surrogate whatever the ending; a listed given name goes to one of its
+gender, another one keeps its last letter. What a permutation can't rule out, a surrogate that is itself or is somebody else's real
+value, is checked over the whole corpus, as is that no two entities share one: such entities get another surrogate, which collides with none.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -17,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, text_key
+from .common import free, map_arrow, quoted, stored, text_key
 
 #: For tests and demonstrations; a production run passes its own.
 DEMO_KEY = b"millrace demonstration key"
 #: Exceptions up to so many are handed to every task; more are joined to the documents.
 SMALL_EXCEPTIONS = 200_000
-#: Tries to find another surrogate for an entity whose first one is taken.
-TRIES = 4
+#: Tries to find another surrogate of the same length for a name whose first one is taken; later ones are longer by a syllable.
+SAME_LENGTH = 4
+#: Tries in a row that find nothing for any entity; a format of which no string is free is an error.
+VAIN = 40
 
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĻŁŃŅŇŌŐŒŘŚŞŠŢŤŪŮŰŲŹŻŽΑ-ΩА-ЯЁІЇЄ"
 _NAME = rf"[{_UP}][^\W\d_]+(?:['’-][{_UP}][^\W\d_]+)*"
@@ -63,8 +68,11 @@ for _word in (*_TITLES, *_LEXICON, "y name is", "e m'appelle", "e m’appelle",
     _NAMING.add_word(_word, 1)
 _NAMING.make_automaton()
 
-_LATIN = ("bcdfghjklmnpqrstvwxyz", "aeiou", "àâäáãåæèêëéìîïíòôöóõøœùûüú", "çñßý")
-_OTHER = ("αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψς", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "іїєґ")
+# Letters without a capital of their own (ß, final ς) and signs that change the letter before them (ъ, ь) stay where they are.
+_LATIN = ("bcdfghjklmnpqrstvwxyz", "aeiou", "àâäáãåæèêëéìîïíòôöóõøœùûüú", "çñý")
+_OTHER = ("αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "іїєґ")
+#: Endings of surnames, those of men and women; the rest of the name is the family's.
+_ENDINGS = sorted("ов ова ев ева ёв ёва ин ина ын ына ский ская цкий цкая ой ая ίδης ίδου άκης άκη ος ου ης η ας α".split(), key=len, reverse=True)
 _PRONOUNCED = (*_LATIN, *_OTHER)
 _FREE = ("abcdefghijklmnopqrstuvwxyz", *_LATIN[2:], *_OTHER)
 #: Letters of scripts without case, as (first, last) code points.
@@ -123,6 +131,20 @@ def _permute_text(text: str, alphabets: tuple[str, ...], key: bytes, label: str)
     return "".join(out)
 
 
+def ending(name: str) -> str:
+    """The ending of a surname that tells a gender; at least two letters are left before it."""
+    return next((e for e in _ENDINGS if name.endswith(e) and len(name) - len(e) >= 2), "")
+
+
+def _name(value: str, kept: int, key: bytes, label: str) -> str:
+    """value with another stem, its last letters kept; the result has the same ending as value, which makes this a permutation too."""
+    stem, rest, wanted = value[: len(value) - kept], value[len(value) - kept :], ending(value)
+    while True:
+        stem = _permute_text(stem, _PRONOUNCED, key, label)
+        if ending(stem + rest) == wanted:
+            return stem + rest
+
+
 def _luhn(digits: str) -> int:
     """The check digit that digits want."""
     total = 0
@@ -146,7 +168,7 @@ def canonical(kind: str, raw: str) -> str:
 
 
 def surrogate(kind: str, value: str, key: bytes, again: int = 0) -> str:
-    """Of a canonical value; again counts the tries. Of the same length, but for IP addresses and given names."""
+    """Of a canonical value; again counts the tries. Of the same length, but for IP addresses, listed given names and names tried often."""
     label = f"{kind}|{again}"
     if kind == "email":
         local, _, domain = value.partition("@")
@@ -174,8 +196,17 @@ def surrogate(kind: str, value: str, key: bytes, again: int = 0) -> str:
         if names:
             order = sorted(names, key=lambda n: hashlib.blake2b(f"{group}|{n}".encode(), key=key[:64]).digest())
             return order[(order.index(value) + 1 + again) % len(order)]
-        return _permute_text(value[:-1], _PRONOUNCED, key, label) + value[-1]  # endings tell genders
-    return _permute_text(value, _PRONOUNCED if kind == "surname" else ("",), key, label)
+        return _permute_text(_longer(value[:-1], again), _PRONOUNCED, key, label) + value[-1]  # endings tell genders
+    if kind == "surname":
+        kept = len(ending(value))
+        grown = _longer(value[: len(value) - kept], again) + value[len(value) - kept :]
+        return _name(grown, kept, key, label)
+    return _permute_text(value, ("",), key, label)
+
+
+def _longer(name: str, again: int) -> str:
+    """name, from some tries on with syllables more, in letters of its script; the permutation makes others of them."""
+    return name + max(0, again - SAME_LENGTH) * {"cyrillic": "на", "greek": "να", "latin": "na"}[script(name or "a")]
 
 
 def _ip(value: str, key: bytes, label: str) -> str:
@@ -215,11 +246,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for pattern, group in ((TITLED, 2), (INTRODUCED, 1), (LISTED, 1)) if next(_NAMING.iter(text), None) else ():
         for m in pattern.finditer(text):
             parts = m.group(group).split()
-            gender = _TITLES[m.group(1)] if group == 2 else _ANY
             if len(parts) > 1 or group == 1:
-                first = parts[0]
-                known = _LEXICON[first][0][1] if first in _LEXICON else gender
-                people.setdefault(first, f"given:{known}")
+                people.setdefault(parts[0], "given")
                 parts = parts[1:]
             for p in parts:
                 people.setdefault(p, "surname")
@@ -229,9 +257,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
     order = {"email": 0, "secret": 1}
     taken: list[tuple[int, int, str]] = []
     for span in sorted(found, key=lambda s: (order.get(s[2], 2), s[0])):
-        if all(span[1] <= a or span[0] >= b for a, b, _ in taken):
-            taken.append(span)
-    return sorted(taken)
+        # Those taken don't overlap, so only the neighbours on both sides can be in the way.
+        at = bisect.bisect_left(taken, span)
+        if (not at or taken[at - 1][1] <= span[0]) and (at == len(taken) or taken[at][0] >= span[1]):
+            taken.insert(at, span)
+    return taken
 
 
 _DIGIT = re.compile(r"\d")
@@ -257,78 +287,96 @@ def entities(docs: DataFrame) -> DataFrame:
         rows = [(k, kind, value) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for kind, value in {(kind, canonical(kind, t[a:b])) for a, b, kind in find(t)}]
         return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.string(), pa.string()))], names=["key", "kind", "value"])
 
-    return map_arrow(docs.where("text IS NOT NULL").select(text_key().alias("key"), F.col("text").cast("string").alias("text")), run, "key binary, kind string, value string")
+    texts = docs.where("text IS NOT NULL").select(F.col("text").cast("string").alias("text"))
+    return map_arrow(texts.select(text_key().alias("key"), "text"), run, "key binary, kind string, value string")
 
 
 def _surrogates(table: DataFrame, key: bytes, again: int) -> DataFrame:
+    """kind, value, new, listed (given names of the list, which go to one another)."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        new = [surrogate(k, v, key, again) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=["kind", "value", "new"])
+        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        new, listed = [surrogate(k, v, key, again) for k, v in rows], [k == "given" and v in _LEXICON for k, v in rows]
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(new, pa.string()), pa.array(listed, pa.bool_())], names=["kind", "value", "new", "listed"])
 
-    return map_arrow(table.select("kind", "value"), run, "kind string, value string, new string")
+    return map_arrow(table.select("kind", "value"), run, "kind string, value string, new string, listed boolean")
 
 
 def collisions(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """kind, value, new of the entities whose first surrogate is a real value of the corpus (their own, say), with another one.
+    """kind, value, new of the entities whose first surrogate is a real value of the corpus (their own, say) or another entity's surrogate too, with another one.
 
-    The new ones differ from all real values and all surrogates of their kind. Given names are left out: any one from the list is
-    somebody's. An entity for which TRIES tries find nothing, its format's strings being mostly taken, keeps its first surrogate.
+    The new ones differ from all real values and all surrogates of their kind. Given names from the list go to one another
+    and are left out, as any of them is somebody's; no other given name gets one of them. A format of which no string is free raises ValueError.
     """
-    real = stored(entities(docs).where(~F.col("kind").startswith("given")).select("kind", "value").distinct())
+    spark = docs.sparkSession
+    real = stored(entities(docs).select("kind", "value").distinct())
     first = stored(_surrogates(real, key, 0))
-    taken = real.unionByName(first.select("kind", F.col("new").alias("value")))
-    open_ = stored(first.join(real.select("kind", F.col("value").alias("new")), ["kind", "new"], "left_semi").select("kind", "value"))
-    out = None
-    for again in range(1, TRIES + 1):
-        if open_.isEmpty():
-            break
-        tried = _surrogates(open_, key, again).join(taken.select("kind", F.col("value").alias("new")), ["kind", "new"], "left_anti")
+    listed = spark.createDataFrame([("given", n) for n in _LEXICON], "kind string, value string")
+    known = real.unionByName(listed).withColumnRenamed("value", "new")
+    twice = first.groupBy("kind", "new").agg(F.count("*").alias("n")).where("n > 1")
+    bad = first.join(known, ["kind", "new"], "left_semi").unionByName(first.join(twice, ["kind", "new"], "left_semi"))
+    open_ = stored(bad.where("NOT listed").select("kind", "value").distinct())
+    taken = known.unionByName(first.select("kind", "new"))
+    out, again, vain = None, 0, 0
+    while not open_.isEmpty():
+        again += 1
+        tried = _surrogates(open_, key, again).join(taken, ["kind", "new"], "left_anti")
         found = stored(tried.groupBy("kind", "new").agg(F.min("value").alias("value")).select("kind", "value", "new"))
+        vain = vain + 1 if found.isEmpty() else 0
+        if vain == VAIN:
+            kind, value = open_.first()
+            raise ValueError(f"no free {kind} of the format of {surrogate(kind, value, key)}")
         out = found if out is None else out.unionByName(found)
-        taken = taken.unionByName(found.select("kind", F.col("new").alias("value")))
+        taken = taken.unionByName(found.select("kind", "new"))
         open_ = stored(open_.join(found, ["kind", "value"], "left_anti"))
-    return out if out is not None else docs.sparkSession.createDataFrame([], "kind string, value string, new string")
+    return out if out is not None else spark.createDataFrame([], "kind string, value string, new string")
 
 
-def _replaced(docs: DataFrame, key: bytes) -> DataFrame:
-    """docs with __text and __n: the new text and the number of surrogates in it."""
+def _replaced(docs: DataFrame, key: bytes) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the new text and the number of surrogates in it."""
     odd = stored(collisions(docs, key))
     many = odd.count()
     known = {} if many > SMALL_EXCEPTIONS else {(r[0], r[1]): r[2] for r in odd.collect()}
     handle = docs.sparkSession.sparkContext.broadcast(known)
-    source = docs.withColumn("__odd", F.lit(None).cast("array<struct<kind:string,value:string,new:string>>"))
+    text, count, own_odd, row_key = free(docs, "new_text", "replaced", "odd", "key")
+    names = quoted(*docs.columns)
+    source = docs.select(*names, F.lit(None).cast("array<struct<kind:string,value:string,new:string>>").alias(own_odd))
     if many > SMALL_EXCEPTIONS:
-        own = entities(docs).join(odd, ["kind", "value"]).groupBy("key").agg(F.collect_set(F.struct("kind", "value", "new")).alias("__odd"))
-        source = docs.withColumn("__key", text_key()).join(own.withColumnRenamed("key", "__key"), "__key", "left").select(*docs.columns, "__odd")
+        own = entities(docs).join(odd, ["kind", "value"]).groupBy("key").agg(F.collect_set(F.struct("kind", "value", "new")).alias(own_odd)).withColumnRenamed("key", row_key)
+        source = docs.withColumn(row_key, text_key(F.col("text").cast("string"))).join(own, row_key, "left").select(*names, own_odd)
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         odd_rows = batch.column(batch.num_columns - 1)
         own = odd_rows.to_pylist() if odd_rows.null_count < batch.num_rows else [None] * batch.num_rows
         new = [replace(t, key, {(o["kind"], o["value"]): o["new"] for o in x} if x else handle.value) if t is not None else (None, 0) for t, x in zip(batch.column(at).to_pylist(), own)]
-        yield pa.record_batch([*batch.columns[:-1], pa.array([n[0] for n in new], pa.string()), pa.array([n[1] for n in new], pa.int32())], names=[*batch.schema.names[:-1], "__text", "__n"])
+        yield pa.record_batch([*batch.columns[:-1], pa.array([n[0] for n in new], pa.string()), pa.array([n[1] for n in new], pa.int32())], names=[*batch.schema.names[:-1], text, count])
 
-    return map_arrow(source, run, source.selectExpr(*[f"`{c}`" for c in docs.columns], "CAST(NULL AS STRING) AS __text", "CAST(NULL AS INT) AS __n").schema)
+    out = map_arrow(source, run, docs.select(*names, F.lit(None).cast("string").alias(text), F.lit(None).cast("int").alias(count)).schema)
+    return out, text, count
 
 
 def replaced(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """doc_id, text with surrogates, n_replaced for each row of docs.
 
-    Null texts stay null with n_replaced 0; texts without entities stay as they are. Repeated rows get equal results.
+    Null texts stay null with n_replaced 0; texts without entities, empty ones too, stay as they are; very long ones are searched whole. Repeated rows get equal results.
     Entities are e-mail and IP addresses, telephone, card, social security and bank account numbers, secrets
     after a word that names them, and persons' names after a title or an introduction or with a known given name, with every
-    later mention in the same text. Numbers keep their separators and valid check digits, addresses their networks'
-    kind and the ends of their domains, names their script, case and gender. Other columns are ignored.
+    later mention in the same text. Of entities that overlap, e-mail addresses come first, then secrets, then what begins first. Numbers keep their separators and valid check digits, addresses their networks'
+    kind and the ends of their domains, names their script, case and gender. Other columns, whatever their names, are ignored. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _replaced(docs, key).select("doc_id", F.col("__text").alias("text"), F.col("__n").alias("n_replaced"))
+    out, text, count = _replaced(docs, key)
+    return out.select("doc_id", F.col(text).alias("text"), F.col(count).alias("n_replaced"))
 
 
 def anonymised(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """docs, all rows and columns, with surrogates in text and n_chars set anew where that changed."""
-    out = _replaced(docs, key)
-    kinds = dict(docs.dtypes)
-    new = {"text": F.col("__text")}
+    """docs, all rows and columns, with surrogates in text and n_chars (if there is such a column) set anew where that changed; see replaced().
+
+    Rows with null, empty or clean texts are as they were. Other columns may have any names. An empty table gives an empty one.
+    """
+    out, text, count = _replaced(docs, key)
+    new = {"text": F.col(text)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__n") > 0, F.length("__text").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col(count) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else quoted(c)[0] for c in docs.columns])
