@@ -1,9 +1,7 @@
 """Benchmark decontamination: an FM-index of each training shard, searched for the test items' phrases.
 
-A shard is a run of documents of a few million words. Its text is the sequence of word
-numbers, where a word that no phrase holds ends a segment, as a document's end does: no
-phrase goes across it. Segments shorter than the shortest phrase can't hold one and are left out,
-which changes no result.
+A shard is a run of documents of a few million characters, and all its words are indexed: its text is the sequence of the numbers its words
+have in the shard's own vocabulary, a document's end being an end that no phrase goes across.
 """
 
 from __future__ import annotations
@@ -15,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, chunks, map_batches
+from .common import Tokens, chunks, free, map_batches, quoted
 
-#: Words of a phrase; shorter items are searched whole from MIN_WORDS on.
-PHRASE, MIN_WORDS = 8, 4
+#: Words of a phrase; shorter items are searched whole, from MIN_WORDS on.
+PHRASE, MIN_WORDS = 8, 1
 #: Distance of sampled suffix positions; characters of a shard.
 SAMPLE, SHARD_CHARS = 16, 8_000_000
-#: Bytes of benchmark text that a task holds at once; a larger benchmark is searched in parts, each over all documents.
+#: Bytes of benchmark text that the driver and a task hold at once; a larger benchmark is searched in parts, each over all documents.
 PART_BYTES = 16_000_000
 _WORD = 64
 
@@ -74,30 +72,36 @@ class WaveletTree:
 def suffix_array(text: np.ndarray, final: np.ndarray) -> np.ndarray:
     """Order of the suffixes of text, where a position that is final ends a segment and sorts by its place, before all else.
 
-    Prefix doubling; in each round only suffixes that are still tied are sorted again.
+    The first symbols of a suffix, as many as fit a number, are sorted at once; then by prefix doubling only suffixes that are still tied.
     """
-    n = len(text)
-    rank = text.astype(np.int64) + n
-    rank[final] = np.arange(int(final.sum()))
-    order = np.argsort(rank, kind="stable")
+    n, ends = len(text), int(final.sum())
+    symbol = text.astype(np.int64) + ends
+    symbol[final] = np.arange(ends)
+    bits = max(1, int(symbol.max()).bit_length())
+    width = max(1, min(n, 62 // bits))
+    key = symbol.copy()
+    for k in range(1, width):
+        # What comes after an end doesn't matter: no two ends are equal.
+        key <<= bits
+        key[: n - k] |= symbol[k:]
+    order = np.argsort(key)
     fresh = np.ones(n, bool)
-    fresh[1:] = rank[order[1:]] != rank[order[:-1]]
-    group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank[order] = group
-    width = 1
+    sorted_keys = key[order]
+    fresh[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     while True:
-        last = np.append(fresh[1:], True)
-        tied = np.flatnonzero(~(fresh & last))
+        tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
         if not len(tied):
             return order
         at = order[tied]
         # A tied suffix has no end within width, so at + width is in the text.
-        by = np.lexsort((rank[at + width], rank[at]))
-        at = at[by]
+        pair = rank[at] * n + rank[at + width]
+        by = np.argsort(pair)
+        at, pair = at[by], pair[by]
         order[tied] = at
-        first, second = rank[at], rank[at + width]
         new = np.ones(len(at), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        new[1:] = pair[1:] != pair[:-1]
         fresh[tied] = new
         rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
         width *= 2
@@ -151,87 +155,70 @@ class FMIndex:
 
 
 class Phrases:
-    """Test items' phrases by length, in word numbers; item numbers of each."""
+    """Test items as arrays: the hashes of their words, one item after the other, and each item's number, begin and end."""
 
     def __init__(self, items: Iterable[tuple[int, str | None]], phrase: int = PHRASE, least: int = MIN_WORDS):
-        rows: dict[int, dict[bytes, set[int]]] = {}
-        for _, run in _runs(list(items)):
-            tokens = Tokens([t for _, t in run])
-            for i, (item, _) in enumerate(run):
-                words = tokens.hash[tokens.bounds[i] : tokens.bounds[i + 1]]
-                n = min(phrase, len(words))
-                if n >= least:
-                    for k in range(len(words) - n + 1):
-                        rows.setdefault(n, {}).setdefault(words[k : k + n].tobytes(), set()).add(item)
-        table = {n: np.frombuffer(b"".join(p), np.uint64).reshape(-1, n) for n, p in rows.items()}
-        #: word hashes, sorted; a word's number is its place here plus 1
-        self.words = np.unique(np.concatenate([t.ravel() for t in table.values()])) if table else np.zeros(0, np.uint64)
-        self.table = {n: (np.searchsorted(self.words, t) + 1, [sorted(s) for s in rows[n].values()]) for n, t in table.items()}
-        self.shortest = min(table, default=0)
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 1, 0)
-
-
-def _runs(items: list[tuple[int, str | None]]) -> Iterator[tuple[int, list[tuple[int, str]]]]:
-    for first, run in chunks([t for _, t in items]):
-        yield first, [(items[first + k][0], t) for k, t in enumerate(run)]
-
-
-def shard_text(parts: list[Tokens], phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of a shard, and for each symbol the number of its token in the shard (-1 for an end)."""
-    symbols, tokens, before = [], [], 0
+        self.phrase, items = phrase, list(items)
+        parts = [(first, Tokens(run)) for first, run in chunks([t for _, t in items])]
+        self.words = np.concatenate([np.zeros(0, np.uint64), *(t.hash for _, t in parts)])
+        count = np.concatenate([np.zeros(0, np.int64), *(np.bincount(t.doc, minlength=len(t.bounds) - 1) for _, t in parts)])[: len(items)]
+        end = np.cumsum(count)
+        some = count >= max(1, least)
+        self.items, self.begin, self.end = np.array([i for i, _ in items], np.int64)[some], (end - count)[some], end[some]
+
+    def rows(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words, phrases in these numbers of the words, item of each); phrases with a word of number 0, which a shard doesn't have, are left out."""
+        size = np.minimum(self.end - self.begin, self.phrase)
+        for n in np.unique(size).tolist():
+            of = np.flatnonzero(size == n)
+            many = self.end[of] - self.begin[of] - n + 1
+            first = np.repeat(self.begin[of], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            table, item = np.lib.stride_tricks.sliding_window_view(numbers, n)[first], np.repeat(self.items[of], many)
+            there = (table > 0).all(axis=1)
+            yield n, table[there], item[there]
+
+
+def shard_text(parts: list[Tokens]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a shard, a word's being its place in the vocabulary plus 1 and 0 a document's end; of each symbol its token (-1 for an end); the vocabulary, hashes in order."""
+    words = np.concatenate([t.hash for t in parts])
+    known, number = np.unique(words, return_inverse=True)
+    ends, before = [], 0
     for t in parts:
-        number = phrases.numbers(t.hash)
-        n = len(number)
-        if n:
-            known = number > 0
-            begins = known.copy()
-            begins[1:] &= ~known[:-1] | (t.doc[1:] != t.doc[:-1])
-            at = np.flatnonzero(known)
-            run = np.cumsum(begins)[at] - 1
-            length = np.bincount(run)
-            keep = length[run] >= phrases.shortest
-            at, run = at[keep], run[keep]
-            if len(at):
-                ends = np.flatnonzero(np.append(run[1:] != run[:-1], True)) + 1
-                symbols.append(np.insert(number[at], ends, 0))
-                tokens.append(np.insert(at + before, ends, -1))
-        before += n
-    if not symbols:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(symbols), np.concatenate(tokens)
+        last = t.bounds[1:][np.diff(t.bounds) > 0]
+        ends.append(last + before)
+        before += len(t.hash)
+    at = np.concatenate(ends)
+    return np.insert(number + 1, at, 0), np.insert(np.arange(len(words)), at, -1), known
 
 
 def find(texts: list[str | None], phrases: Phrases) -> list[list[tuple[int, int, list[int]]]]:
     """For each text of a shard the merged spans (start, end, items) that the phrases cover, in characters."""
     out: list[list[tuple[int, int, list[int]]]] = [[] for _ in texts]
     parts = [(first, Tokens(run)) for first, run in chunks(texts)]
-    text, token = shard_text([t for _, t in parts], phrases)
-    if not len(text):
+    if not sum(len(t.hash) for _, t in parts) or not len(phrases.items):
         return out
-    index = FMIndex(text, len(phrases.words) + 1)
+    text, token, known = shard_text([t for _, t in parts])
+    index = FMIndex(text, len(known) + 1)
+    place = np.minimum(np.searchsorted(known, phrases.words), len(known) - 1)
+    numbers = np.where(known[place] == phrases.words, place + 1, 0)
     doc, start, end = (np.concatenate([x + f if name == "doc" else x for f, t in parts for x in (getattr(t, name),)]) for name in ("doc", "start", "end"))
-    hits: list[tuple[int, int, int, list[int]]] = []
-    for n, (table, items) in phrases.table.items():
+    hits: list[tuple[int, int, int, int]] = []
+    for n, table, items in phrases.rows(numbers):
         low, high = index.ranges(table)
         some = np.flatnonzero(high > low)
         rows = np.concatenate([np.arange(low[p], high[p]) for p in some]) if len(some) else np.zeros(0, np.int64)
         which = np.repeat(some, (high - low)[some])
         first = token[index.locate(rows)]
-        hits += zip(doc[first].tolist(), start[first].tolist(), end[first + n - 1].tolist(), (items[p] for p in which))
-    hits.sort(key=lambda h: h[:3])
-    for d, a, b, found in hits:
+        hits += zip(doc[first].tolist(), start[first].tolist(), end[first + n - 1].tolist(), items[which].tolist())
+    for d, a, b, item in sorted(hits):
         spans = out[d]
         if spans and a <= spans[-1][1]:
             x, y, old = spans[-1]
-            spans[-1] = (x, max(y, b), sorted({*old, *found}))
+            old.add(item)
+            spans[-1] = (x, max(y, b), old)
         else:
-            spans.append((a, b, list(found)))
-    return out
+            spans.append((a, b, {item}))
+    return [[(a, b, sorted(items)) for a, b, items in spans] for spans in out]
 
 
 def cut(text: str, spans: list[tuple[int, int, list[int]]]) -> str:
@@ -258,40 +245,40 @@ SPANS = "array<struct<start:int,end:int,items:array<bigint>>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("items", pa.list_(pa.int64()))]))
 
 
-def _parts(benchmark: DataFrame, part_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items, in lists of so many bytes each or a single item."""
+def _parts(benchmark: DataFrame, part_bytes: int, phrase: int) -> Iterator[Phrases]:
+    """The items, in parts of so many bytes each or a single item; one part is with the driver at a time."""
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // part_bytes))
-    return [[(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield Phrases([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()], phrase)
 
 
-def with_spans(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS, part_bytes: int = PART_BYTES) -> DataFrame:
-    """docs with the columns __spans, what the benchmark's phrases cover of text (null: nothing), and __cut, the text without it. No shuffle."""
-    out = docs.selectExpr("*", f"CAST(NULL AS {SPANS}) AS __spans", "CAST(NULL AS STRING) AS __cut")
-    parts = _parts(benchmark, part_bytes)
-    for k, items in enumerate(parts):
-        handle = docs.sparkSession.sparkContext.broadcast(items)
-        # The last pass also cuts: one more would take another Python worker.
-        out = map_batches(out, _search(handle, docs.columns.index("text"), phrase, shard_chars, k == len(parts) - 1), out.schema)
-    return out
+def with_spans(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: what the benchmark's phrases cover of text (null: nothing), and the text without it. No shuffle."""
+    spans, left = free(docs, "spans", "cut")
+    out = docs.select(*quoted(*docs.columns), F.lit(None).cast(SPANS).alias(spans), F.lit(None).cast("string").alias(left))
+    for phrases in _parts(benchmark, part_bytes, phrase):
+        handle = docs.sparkSession.sparkContext.broadcast(phrases)
+        out = map_batches(out, _search(handle, docs.columns.index("text"), shard_chars), out.schema)
+    return out, spans, left
 
 
-def _search(handle, column: int, phrase: int, shard_chars: int, last: bool):
+def _search(handle, column: int, shard_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(handle.value, phrase)
+        phrases = handle.value
         held: list[pa.RecordBatch] = []
         chars = 0
         for batch in batches:
             for piece in _pieces(batch, column, shard_chars):
                 n = piece.column(column).nbytes
                 if held and chars + n > shard_chars:
-                    yield from _flush(held, column, phrases, last)
+                    yield from _flush(held, column, phrases)
                     held, chars = [], 0
                 held.append(piece)
                 chars += n
         if held:
-            yield from _flush(held, column, phrases, last)
+            yield from _flush(held, column, phrases)
 
     return run
 
@@ -302,7 +289,7 @@ def _pieces(batch: pa.RecordBatch, column: int, shard_chars: int) -> Iterator[pa
         yield batch.slice(a, rows)
 
 
-def _flush(held: list[pa.RecordBatch], column: int, phrases: Phrases, last: bool) -> Iterator[pa.RecordBatch]:
+def _flush(held: list[pa.RecordBatch], column: int, phrases: Phrases) -> Iterator[pa.RecordBatch]:
     texts = [t for b in held for t in b.column(column).to_pylist()]
     found, at = find(texts, phrases), 0
     for b in held:
@@ -313,33 +300,33 @@ def _flush(held: list[pa.RecordBatch], column: int, phrases: Phrases, last: bool
         if before.null_count < b.num_rows:
             spans = [merge([(s["start"], s["end"], s["items"]) for s in old or []] + new) if old else new for old, new in zip(before.to_pylist(), spans)]
         rows = pa.array([[{"start": x, "end": y, "items": i} for x, y, i in s] or None for s in spans], _SPANS)
-        left = pa.array([cut(t, s) if s else None for t, s in zip(texts[here], spans)], pa.string()) if last else b.column(b.num_columns - 1)
+        left = pa.array([cut(t, s) if s else None for t, s in zip(texts[here], spans)], pa.string())
         yield pa.record_batch([*b.columns[:-2], rows, left], names=b.schema.names)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -> DataFrame:
     """doc_id, items, spans and text (what is left) of each row of docs that holds a phrase of the benchmark.
 
-    A phrase is a run of `phrase` words of an item, or a whole item of fewer words but MIN_WORDS at least; case and what
+    A phrase is a run of `phrase` words of an item, or a whole item of fewer words, MIN_WORDS at least; case and what
     stands between words don't count. Overlapping and touching spans are one. Null and empty texts and items
-    match nothing, nor do items with a null item_id; equal items are all named. Repeated rows each give a row. Other columns are ignored.
+    match nothing, nor do items with a null item_id; equal items are all named. Very long texts are a shard of their own. Repeated rows each give a row. Other columns, whatever
+    their names, are ignored. An empty table, of documents or of items, gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = with_spans(docs, benchmark, phrase).where("__spans IS NOT NULL")
-    return found.select("doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("__spans", lambda s: s["items"])))).alias("items"), F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), F.col("__cut").alias("text"))
+    out, spans, left = with_spans(docs, benchmark, phrase)
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: s["items"]))))
+    return out.where(F.col(spans).isNotNull()).select("doc_id", items.alias("items"), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), F.col(left).alias("text"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -> DataFrame:
-    """docs, all columns, with the benchmark's phrases cut from text and n_chars set anew; rows of which no word is left go.
+    """docs, all columns, with the benchmark's phrases cut from text and n_chars (if there is such a column) set anew; rows of which no word is left go. See contaminated().
 
-    Rows without a phrase are as they were, null and empty texts too.
+    Rows without a phrase are as they were, null and empty texts too. Other columns may have any names. An empty table gives an empty one.
     """
-    names = docs.columns
-    out = with_spans(docs, benchmark, phrase)
-    out = out.where(F.col("__spans").isNull() | F.col("__cut").rlike(r"[\p{L}\p{N}]"))
-    changed = F.col("__spans").isNotNull()
-    kinds = dict(docs.dtypes)
-    new = {"text": F.when(changed, F.col("__cut")).otherwise(F.col("text"))}
-    if "n_chars" in names:
-        new["n_chars"] = F.when(changed, F.length("__cut").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in names])
+    out, spans, left = with_spans(docs, benchmark, phrase)
+    out = out.where(F.col(spans).isNull() | F.col(left).rlike(r"[\p{L}\p{N}]"))
+    changed = F.col(spans).isNotNull()
+    new = {"text": F.when(changed, F.col(left)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else quoted(c)[0] for c in docs.columns])

@@ -216,11 +216,27 @@ def test_decontamination_against_brute_force(spark):
 
 def test_decontamination_in_parts_is_the_same(spark, documents):
     bench = spark.read.parquet(f"{TESTDATA}/benchmark.parquet")
-    spans = lambda **k: sorted(map(str, decontaminate.with_spans(documents, bench, **k).select("doc_id", "__spans").collect()))
+    spans = lambda **k: sorted(map(str, decontaminate.with_spans(documents, bench, **k)[0].select("doc_id", "spans").collect()))
     whole = spans()
     assert spans(part_bytes=2000) == whole and spans(shard_chars=5000) == whole
 
 
+def test_index_holds_every_word_of_a_shard(documents):
+    texts = [r.text for r in documents.collect()]
+    parts = [common.Tokens(run) for _, run in common.chunks(texts)]
+    text, token, known = decontaminate.shard_text(parts)
+    words = sum(len(re.findall(r"[^\W_]+", t)) for t in texts)
+    assert (text > 0).sum() == words == (token >= 0).sum() and (text == 0).sum() == sum(bool(re.search(r"[^\W_]", t)) for t in texts)
+    assert (known[text[text > 0] - 1] == np.concatenate([t.hash for t in parts])).all() and text[-1] == 0
+
+
+def test_decontamination_of_short_items_and_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "Yes, a single word", 1, 2), (2, "no such", 1, 2), (3, "two words here; two, WORDS.", 1, 2)], "doc_id long, text string, spans int, Cut int").withColumn("a.b", F.lit(7))
+    bench = spark.createDataFrame([(1, "yes"), (2, "two words"), (3, "?!"), (4, "no such item anywhere")], "item_id long, text string")
+    out = {r.doc_id: r for r in decontaminate.decontaminated(docs, bench).collect()}
+    assert [out[i].text for i in (1, 2, 3)] == [", a single word", "no such", " here; ."] and all(tuple(r)[2:] == (1, 2, 7) for r in out.values())
+
+
 def test_decontamination_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "ONE two, three four five six seven eight nine"), (1, "ONE two, three four five six seven eight nine"), (2, None), (None, "lonely words here now"), (3, ""), (4, "a b"), (5, "lonely, words here NOW")], "item_id long, text string")
     rows = decontaminate.contaminated(odd, bench).collect()
