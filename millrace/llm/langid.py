@@ -20,41 +20,33 @@ OVERSAMPLE = 2
 BLOCK_BYTES = 4_096
 #: The runner-up must be longer by this share; frames' headers don't count.
 MARGIN = 0.005
-#: Sizes are whole bytes, too coarse for a few words; where texts up to this length are undecided, the sizes of all their suffixes are added up, each four times in a row (fewer bytes than that aren't compressed at all).
-SHORT_BYTES = 256
-#: Short matches tell languages apart, so both coders take them; the second, slower one decides where the first is undecided.
-FAST = {"window_log": 17, "chain_log": 16, "hash_log": 15, "search_log": 2, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY}
-THOROUGH = {"window_log": 17, "chain_log": 17, "hash_log": 16, "search_log": 6, "min_match": 3, "target_length": 64, "strategy": zstandard.STRATEGY_BTULTRA}
+#: Short matches tell languages apart.
+CODER = {"window_log": 17, "chain_log": 17, "hash_log": 16, "search_log": 4, "min_match": 3, "target_length": 32, "strategy": zstandard.STRATEGY_BTLAZY2}
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 SCHEMA = "doc_id bigint, language string, margin double, accepted boolean"
 
 
 def fit(docs: DataFrame, languages: list[str] | None = None, sample: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw dictionary by language, from the sample documents of each label in lang whose hash is smallest.
+    """Raw dictionary by language, from the sample distinct texts of each label in lang whose hash is smallest.
 
-    Rows without label or text are passed over. Each of a language's sampled documents gives the
-    same share of the dictionary at most, so that one long text doesn't fill it.
+    Each gives a window of the same length, at a place of the whole text that a hash chooses, so that neither one long text nor what many
+    texts begin with fills the dictionary. Rows without label or text are passed over; repeated texts count once. An empty table gives no dictionary.
     """
-    docs = docs.select("lang", "text").where("lang IS NOT NULL AND length(trim(text)) > 0")
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect() if languages is None or r[0] in languages}
+    docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND length(trim(text)) > 0")
+    counts = {r[0]: max(1, r[1]) for r in docs.groupBy("lang").agg(F.approx_count_distinct("text")).collect() if languages is None or r[0] in languages}
     # Hashes below a bound that some OVERSAMPLE times the sample passes: what comes to the driver doesn't grow with the table.
-    bound = {lang: int(min(1.0, OVERSAMPLE * sample / n) * 2**53) for lang, n in counts.items()}
-    passes = F.lit(False)
-    for lang, most in bound.items():
-        passes = passes | ((F.col("lang") == lang) & (F.col("h") <= most))
-    picked = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 11)).where(passes).select("lang", "h", F.substring("text", 1, size).alias("text")).collect()
+    passes, share = F.lit(False), F.lit(0)
+    for lang, n in counts.items():
+        here = F.col("lang") == lang
+        passes = passes | here & (F.col("h") <= int(min(1.0, OVERSAMPLE * sample / n) * 2**53))
+        share = F.when(here, max(1, size // min(sample, n))).otherwise(share)
+    room = F.greatest(F.length("text") - share, F.lit(0)) + 1
+    window = F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(1), "text"), room) + 1).cast("int"), share)
+    picked = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 11)).where(passes).select("lang", "h", window.alias("window")).distinct().collect()
     model = {}
     for lang in sorted(counts):
-        rows = sorted((r.h, r.text) for r in picked if r.lang == lang)[:sample]
-        share = max(1, size // max(1, len(rows)))
-        texts = [_NOT_LETTERS.sub(" ", t.lower()).encode("utf-8", "replace") for _, t in rows]
-        parts = [t[:share] for t in texts]
-        spare = size - sum(map(len, parts))
-        for t in texts:  # what short documents leave over
-            rest = t[share : share + max(0, spare)]
-            parts.append(rest)
-            spare -= len(rest)
-        if data := b" ".join(parts):
+        rows = sorted((r.h, r.window) for r in picked if r.lang == lang)[:sample]
+        if data := b" ".join(_NOT_LETTERS.sub(" ", t.lower()).encode("utf-8", "replace") for _, t in rows)[:size]:
             model[lang] = data
     return model
 
@@ -64,7 +56,7 @@ class Classifier:
 
     def __init__(self, model: dict[str, bytes]):
         self.languages = sorted(model)
-        self.fast, self.thorough = ([self._coder(model[x], p) for x in self.languages] for p in (FAST, THOROUGH))
+        self.coders = [self._coder(model[x], CODER) for x in self.languages]
 
     @staticmethod
     def _coder(raw: bytes, settings: dict) -> zstandard.ZstdCompressor:
@@ -91,11 +83,7 @@ class Classifier:
         blocks = self.blocks(text or "")
         if not blocks or not self.languages:
             return None, None, False
-        best, gap = self._best(self.fast, blocks)
-        if gap < max(margin, 1e-9):
-            best, gap = self._best(self.thorough, blocks)
-        if gap < max(margin, 1e-9) and len(blocks) == 1 and len(blocks[0]) <= SHORT_BYTES:
-            best, gap = self._best(self.thorough, [(blocks[0][i:] + b" ") * 4 for i in range(len(blocks[0]))])
+        best, gap = self._best(self.coders, blocks)
         sure = gap > 0 and gap >= margin
         return self.languages[best] if sure else None, gap, sure
 
@@ -103,15 +91,18 @@ class Classifier:
 def classify(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """doc_id, language, margin and accepted for each row of docs.
 
-    A text is lower-cased, runs of anything but letters become blanks, and the whole of it is compressed in blocks.
-    language is null and accepted false for null texts and those without letters (margin null then), for ties and for narrow margins.
-    Repeated rows get equal results; other columns are ignored. An empty table gives an empty one.
+    A text is lower-cased, runs of anything but letters become blanks, and the whole of it, however long, is compressed in blocks.
+    language is null and accepted false for null texts, empty ones and those without letters (margin null then), for ties and for narrow margins, which a few
+    words have more often than a long text. Repeated rows get equal results; other columns, whatever their names, are ignored. An empty table gives an empty one, a model without dictionaries accepts nothing.
     """
     return _run(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), model, margin)
 
 
 def accepted(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """The rows of docs, all columns, whose language is accepted."""
+    """The rows of docs, all columns, whose language is accepted; see classify(). So rows with null or empty text go.
+
+    Repeated rows stay or go together. Other columns may have any names. An empty table gives an empty one.
+    """
     fields, names = docs.schema, docs.columns
 
     def run(batches):

@@ -75,11 +75,48 @@ def test_language_odd_rows(spark, odd, documents):
     rows = langid.classify(odd, model).collect()
     assert len(rows) == 8
     assert all(r.language is None and not r.accepted and r.margin is None for r in rows if r.doc_id in (2, 3, 5))
-    assert langid.accepted(odd, model).columns == odd.columns
+    wide = odd.withColumn("a.b", odd.doc_id).withColumn("__text", odd.lang)
+    assert langid.accepted(wide, model).columns == wide.columns
+    kept = {r.doc_id for r in rows if r.accepted}
+    assert {r.doc_id for r in langid.accepted(odd, model).collect()} == kept and not kept & {2, 3, 5}
     assert langid.fit(odd.limit(0)) == {} and langid.classify(odd, {}).where("accepted").count() == 0
     assert langid.classify(odd.limit(0), model).count() == 0
 
 
+def test_language_query_against_brute_force(spark):
+    """The query's result is that of plain zstandard calls for every document of sf0.01, and no size of text is treated otherwise."""
+    import zstandard
+
+    from millrace.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in queries.op4_language(spark, folder).collect()}
+    wrong = 0
+    for r in docs.select("doc_id", "text").collect():
+        data = re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).strip().encode()
+        cost = {}
+        for lang, raw in model.items():
+            known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **langid.CODER)
+            known.precompute_compress(compression_params=params)
+            coder = zstandard.ZstdCompressor(dict_data=known, compression_params=params)
+            cost[lang] = sum(len(coder.compress(data[i : i + langid.BLOCK_BYTES])) - 3 for i in range(0, len(data), langid.BLOCK_BYTES))
+        best, second = sorted(cost.values())[:2]
+        sure = bool(data) and best < second and 1 - best / second >= langid.MARGIN
+        want = min(cost, key=cost.get) if sure else None
+        wrong += (got[r.doc_id].language, got[r.doc_id].accepted) != (want, sure)
+    assert len(got) == docs.count() and wrong == 0
+
+
+def test_language_dictionaries_are_windows_of_distinct_texts(spark):
+    opening = "the same opening in every text of this source " * 20
+    rows = [("en", opening + " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + i // 26)}" for k in range(600))) for i in range(60)] + [("en", "repeated text " * 50)] * 500
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), sample=40, size=8_000)
+    assert len(model["en"]) <= 8_000 and model["en"].count(b"opening") < 60 and model["en"].count(b"repeated text") < 20
+
+
 def test_language_ties_are_rejected():
     same = langid.Classifier({"a": b"one two three", "b": b"one two three"})
     assert same.classify("one two three four") == (None, 0.0, False)
