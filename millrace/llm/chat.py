@@ -48,13 +48,8 @@ MARKERS, OTHER = 6, 4
 _LENGTHS = (1, 20, 60, 150, 400)
 
 
-def raw_transcripts(conversations: DataFrame) -> DataFrame:
-    """conv_id, transcript of conversations (conv_id, turn, role, text), as chats come that were saved as text.
-
-    Turns are in the order of turn, role, text (nulls first), repeated rows repeated, each after a speaker marker and with an empty line
-    between two. The style of the markers goes by a hash of conv_id; one in LOSS turns, also by a hash, and turns with an unknown role
-    have none. A null text is empty; rows with a null conv_id are left out.
-    """
+def _turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, turns (turn, role, text, line: the text after its marker), in the order of turn, role, text."""
     c = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     lost = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(LOSS)) == 0
@@ -62,8 +57,17 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
     marker: Column = F.when(lost | F.col("role").isNull() | (place == 0), "").otherwise(F.try_element_at(F.get(marks, style), place.cast("int")))
     line = F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit("")))
-    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("turns"))
-    return turns.select("conv_id", F.array_join(F.transform("turns", lambda t: t["line"]), "\n\n").alias("transcript"))
+    return c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("turns"))
+
+
+def raw_transcripts(conversations: DataFrame) -> DataFrame:
+    """conv_id, transcript of conversations (conv_id, turn, role, text), as chats come that were saved as text.
+
+    Turns are in the order of turn, role, text (nulls first), repeated rows repeated, each after a speaker marker and with an empty line
+    between two. The style of the markers goes by a hash of conv_id; one in LOSS turns, also by a hash, and turns with an unknown role
+    have none. A null text is empty; rows with a null conv_id are left out. Other columns, whatever their names, are ignored; an empty table gives an empty one.
+    """
+    return _turns(conversations).select("conv_id", F.array_join(F.transform("turns", lambda t: t["line"]), "\n\n").alias("transcript"))
 
 
 def marker_of(line: str) -> tuple[str | None, int]:
@@ -77,25 +81,35 @@ def marker_of(line: str) -> tuple[str | None, int]:
     return name, m.end()
 
 
-def observe(transcript: str) -> tuple[list[str], list[int], np.ndarray]:
-    """Lines with text, where each one's text begins, and its features: marker class, empty line before, length, question.
+def _speakers(found: list[tuple[str | None, int]], after_gap: list[bool]) -> list[str]:
+    """Names that no list has and that are speakers all the same, in the order in which they come.
 
-    A name that no list has counts as a marker if it begins two lines or more.
+    They are if no line has a listed name, two or more of them begin three lines or more, each after an empty line, and take turns as a rule. A label within
+    a turn ("Note:") is none then.
     """
-    lines, after_gap, gap = [], [], True
+    lines = [(name, gap) for (name, _), gap in zip(found, after_gap) if name]
+    if any(name in _NAMES for name, _ in lines):
+        return []
+    inside = {name for name, gap in lines if not gap}
+    order = [name for name, _ in lines if name not in inside]
+    changes = sum(a != b for a, b in zip(order, order[1:]))
+    names = list(dict.fromkeys(order))
+    return names if len(names) > 1 and len(order) > 2 and 3 * changes >= 2 * (len(order) - 1) and max(map(order.count, names)) > 1 else []
+
+
+def observe(transcript: str) -> tuple[list[str], list[int], list[int], np.ndarray]:
+    """Lines with text, where each one's text begins, how many empty lines come before it, and its features: marker class, empty line before, length, question."""
+    lines, gaps, gap = [], [], 0
     for line in transcript.split("\n"):
         if line.strip():
             lines.append(line)
-            after_gap.append(gap)
-            gap = False
+            gaps.append(gap)
+            gap = 0
         else:
-            gap = True
+            gap += 1
     found = [marker_of(x) for x in lines]
-    seen: dict[str, int] = {}
-    for name, _ in found:
-        if name and name not in _NAMES:
-            seen[name] = seen.get(name, 0) + 1
-    others = [n for n, k in seen.items() if k > 1]
+    after_gap = [not i or g > 0 for i, g in enumerate(gaps)]
+    others = _speakers(found, after_gap)
     begins, rows = [], np.zeros((len(lines), 4), np.int64)
     for i, (line, (name, at)) in enumerate(zip(lines, found)):
         if name in _NAMES:
@@ -107,7 +121,7 @@ def observe(transcript: str) -> tuple[list[str], list[int], np.ndarray]:
         begins.append(at)
         n = len(line) - at
         rows[i] = kind, after_gap[i], sum(n >= x for x in _LENGTHS), line.rstrip().endswith("?")
-    return lines, begins, rows
+    return lines, begins, gaps, rows
 
 
 @dataclass
@@ -155,36 +169,41 @@ class HMM:
         return states
 
 
-def labelled_sequence(transcript: str, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray] | None:
-    """States and features of a raw transcript whose turns (role, text) are known; None if its lines are not those of the turns."""
-    lines, _, rows = observe(transcript)
+def labelled_sequence(turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """States and features of a raw transcript of these turns (role, text after its marker). A turn without any text has no line and no state."""
     states = []
-    for role, text in turns:
-        n = sum(bool(x.strip()) for x in text.split("\n"))
+    for role, line in turns:
+        n = sum(bool(x.strip()) for x in line.split("\n"))
         states += [2 * ROLES.index(role) + (k > 0) for k in range(n)]
-    return (np.array(states, np.int64), rows) if len(states) == len(lines) else None
+    return np.array(states, np.int64), observe("\n\n".join(line for _, line in turns))[3]
 
 
 def fit(conversations: DataFrame, most: int = FIT_CONVERSATIONS) -> HMM:
-    """A model from a bounded number of labelled conversations."""
+    """A model from a bounded number of labelled conversations; those with an unknown role are passed over. An empty table gives a model that knows no more than the smoothing."""
     known = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
     some = bounded_sample(known.select("conv_id").distinct(), most, "conv_id")
-    known = known.join(F.broadcast(some), "conv_id", "left_semi")
-    turns = known.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    rows = raw_transcripts(known).join(turns, "conv_id").collect()
-    found = [labelled_sequence(r.transcript, [(t.role, t.text or "") for t in r.turns]) for r in rows if all(t.role in ROLES for t in r.turns)]
-    return HMM.fit([f for f in found if f is not None])
+    rows = _turns(known.join(F.broadcast(some), "conv_id", "left_semi")).collect()
+    return HMM.fit([labelled_sequence([(t.role, t.line) for t in r.turns]) for r in rows if all(t.role in ROLES for t in r.turns)])
 
 
 def parse(transcript: str, model: HMM) -> list[tuple[str, str]]:
-    """Turns (role, text) of a raw transcript."""
-    lines, begins, rows = observe(transcript)
+    """Turns (role, text) of a raw transcript. Speaker markers at their begins and one empty line between two go, all else stays.
+
+    Of several empty lines between two turns the first ones belong to the earlier turn, those before the first turn to that one, those after the last line to the last.
+    """
+    lines, begins, gaps, rows = observe(transcript)
     turns: list[tuple[str, list[str]]] = []
-    for line, at, state in zip(lines, begins, model.viterbi(rows).tolist()):
-        if state % 2 == 0 or not turns:
+    for line, at, gap, state in zip(lines, begins, gaps, model.viterbi(rows).tolist()):
+        if not turns:
+            turns.append((ROLES[state // 2], [""] * gap + [line[at:]]))
+        elif state % 2 == 0:
+            turns[-1][1].extend([""] * max(0, gap - 1))
             turns.append((ROLES[state // 2], [line[at:]]))
         else:
-            turns[-1][1].append(line)
+            turns[-1][1].extend([""] * gap + [line])
+    if turns:
+        parts = transcript.split("\n")
+        turns[-1][1].extend([""] * next(k for k, x in enumerate(reversed(parts)) if x.strip()))
     return [(role, "\n".join(text)) for role, text in turns]
 
 
@@ -196,8 +215,9 @@ def render(turns: list[tuple[str, str]]) -> str:
 def formatted(transcripts: DataFrame, model: HMM) -> DataFrame:
     """conv_id, roles, n_turns, text (rendered) of each row of transcripts (conv_id, transcript).
 
-    A null transcript gives nulls and 0 turns, a blank one no turns and an empty text. Empty lines part turns at most and aren't kept. Repeated
-    rows get equal results; other columns are ignored.
+    A null transcript gives nulls and 0 turns, a blank one no turns and an empty text; very long ones are read whole. Equally likely roles go to the
+    first of ROLES. Empty lines within a turn stay (as such, without their blanks), the one between two turns goes. Repeated
+    rows get equal results; other columns, whatever their names, are ignored. An empty table gives an empty one.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -20,16 +20,17 @@ FEATURES = ("words before", "links before", "words", "links", "words after", "li
 #: Depth of the tree, and labelled blocks in a leaf at least.
 DEPTH, LEAF = 6, 2
 
-#: The labelled table: a page a line, its blocks in order as words/linked words; + is main text, - is not.
+#: The labelled table: a page a line, its blocks in order as words/linked words; + is main text, - is not. News, blogs, shops, forums,
+#: manuals, lists of links and pages without any frame; with and without navigation, bylines, advertisements, captions, related links and footers.
 LABELLED = """
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 9/0- 10/0+ 84/0+ 3/0+ 61/0+ 12/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 12/0- 9/0+ 45/0+ 8/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 6/0- 11/0+ 130/0+ 4/0+ 7/0+ 90/0+ 5/0+ 22/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 14/0- 7/0+ 66/0+ 2/0+ 2/0+ 14/0+ 40/0+ 15/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 8/0- 10/0+ 23/0+ 9/0+ 18/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 4/0- 12/0+ 160/0+ 31/0+ 6/0+ 11/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 16/0- 8/0+ 30/0+ 5/0+ 52/0+ 3/0+ 25/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 10/0- 1/0+ 12/0+ 10/0-
+1/1- 1/1- 1/1- 1/1- 9/0- 10/0+ 84/0+ 3/0+ 61/0+ 12/0-
+2/2- 1/1- 1/1- 12/0- 9/0+ 45/0+ 8/0-
+1/1- 3/3- 1/1- 2/2- 1/1- 6/0- 11/0+ 130/0+ 4/0+ 7/0+ 90/0+ 5/0+ 22/0-
+1/1- 1/1- 14/0- 7/0+ 66/0+ 2/0+ 2/0+ 14/0+ 40/0+ 15/0-
+1/1- 1/1- 2/2- 1/1- 1/1- 1/1- 1/1- 8/0- 10/0+ 23/0+ 9/0+ 18/0-
+4/4- 1/1- 4/0- 12/0+ 160/0+ 31/0+ 6/0+ 11/0-
+1/1- 1/1- 1/1- 16/0- 8/0+ 30/0+ 5/0+ 52/0+ 3/0+ 25/0-
+2/2- 2/2- 1/1- 1/1- 10/0- 1/0+ 12/0+ 10/0-
 1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 7/0- 3/0+ 6/0+ 4/0+ 9/0-
 2/2- 3/3- 1/1- 2/2- 8/0+ 70/2+ 55/0+ 48/1+ 12/12- 9/9- 6/6-
 1/1- 2/2- 1/1- 3/3- 2/2- 9/0+ 110/4+ 95/0+ 4/4- 3/3- 20/8-
@@ -44,14 +45,20 @@ LABELLED = """
 9/0+ 58/0+ 6/0+ 77/0+
 11/0+ 140/0+
 45/0+
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 11/0- 9/0+ 72/0+ 13/0+ 1/0+ 28/0+ 13/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 13/0- 10/0+ 250/0+ 7/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 5/0- 11/0+ 19/0+ 2/0+ 17/0-
-1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 9/0- 9/0+ 38/0+ 21/0+ 4/0+ 16/0+ 14/0-
+2/2- 1/1- 1/1- 3/3- 11/0- 9/0+ 72/0+ 13/0+ 1/0+ 28/0+ 13/0-
+1/1- 1/1- 13/0- 10/0+ 250/0+ 7/0-
+1/1- 2/2- 2/2- 1/1- 5/0- 11/0+ 19/0+ 2/0+ 17/0-
+3/3- 1/1- 1/1- 1/1- 9/0- 9/0+ 38/0+ 21/0+ 4/0+ 16/0+ 14/0-
+3/3- 2/2- 4/4- 10/0+ 5/2- 90/3+ 66/2+ 8/8- 9/9- 7/7-
+6/6- 4/4- 12/0+ 7/3- 140/5+ 14/0+ 118/2+ 22/9- 5/5- 4/4-
+2/2- 5/5- 3/3- 2/2- 9/0+ 15/0+ 22/1+ 18/0+ 27/0+ 3/3- 6/6- 12/12-
+1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 6/0+ 54/8+ 61/10+ 47/6+ 1/1- 1/1-
+8/8- 7/7- 9/9- 13/0+ 210/12+ 180/9+ 40/30- 35/28-
+2/2- 2/2- 14/14- 6/6- 13/13- 5/5- 15/15- 7/7- 10/2-
 """
 
 _GONE = "head|script|style|noscript|template|svg|iframe|object|textarea|select"
-_TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({_GONE})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9]*)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)")
+_TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({_GONE})\b(?:=\s*(?:\"[^\"<]*\"|'[^'<]*')|[^>])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9]*)\b(?:=\s*(?:\"[^\"<]*\"|'[^'<]*')|[^>])*+(?:>|\Z)|<[!?/][^>]*(?:>|\Z)")
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _WORD = re.compile(r"\w+(?:['’.-]\w+)*")
 
@@ -167,9 +174,10 @@ def main_text(page: str | None, tree: Tree) -> tuple[str | None, int, int]:
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     """page_id, text, n_blocks, n_kept for each row of pages (page_id, html).
 
-    A null page gives a null text and no blocks, an empty page or one without words an empty text. What is in head, scripts,
-    styles and the like is no text; an unclosed tag, comment or script goes on to the end. Repeated rows
-    get equal results; other columns are ignored. The tree is by default grown on the labelled table of this module.
+    A null page gives a null text and no blocks, an empty page or one without words an empty text; very long ones are read whole. What is in head, scripts,
+    styles and the like is no text; an unclosed comment or script goes on to the end. Quotes count after an equals sign only and hold no <, so that a tag
+    with an unclosed quote ends at the next >. Repeated rows
+    get equal results; other columns, whatever their names, are ignored. An empty table gives an empty one. The tree is by default grown on the labelled table of this module.
     """
     chosen = default_tree() if tree is None else tree
 

@@ -139,6 +139,69 @@ def test_html_blocks_by_hand():
     assert [(b.text, b.words, b.linked) for b in html_blocks.blocks(page)] == [("Home page", 2, 2), ("One & two three four", 4, 0), ("five", 1, 0)]
 
 
+def test_html_tolerates_odd_attributes():
+    for page in ('<p title="oops>Hello there</p>', "<div class=it's>Hello there</div>", '<p title="a > b">Hello there', "<p data-x='<'>Hello there", "<p =>Hello there</p>", "<p title=\"oops>Hello there <a href='x'></a>"):
+        text = " ".join(b.text for b in html_blocks.blocks(page))
+        assert text.endswith("Hello there") and "oops" not in text and "class" not in text, (page, text)
+
+
+def test_html_query_against_brute_force(spark):
+    """Blocks by the standard library's parser, features and tree by hand, for all pages of sf0.01."""
+    from html.parser import HTMLParser
+
+    from millrace.llm import queries
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.now, self.linked, self.link, self.gone = [], "", 0, False, []
+
+        def close_block(self):
+            n = len(re.findall(r"\w+(?:['’.-]\w+)*", self.now))
+            if n:
+                self.out.append((" ".join(self.now.split()), n, self.linked))
+            self.now, self.linked = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_blocks._GONE.split("|"):
+                self.gone.append(tag)
+            elif tag in html_blocks._BLOCK:
+                self.close_block()
+            self.link = self.link or tag == "a"
+            self.now += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            if self.gone and tag == self.gone[-1]:
+                self.gone.pop()
+            elif tag in html_blocks._BLOCK:
+                self.close_block()
+            self.link = self.link and tag != "a"
+
+        def handle_data(self, data):
+            if not self.gone:
+                self.now += data
+                self.linked += len(re.findall(r"\w+(?:['’.-]\w+)*", data)) if self.link else 0
+
+    def judge(tree, x):
+        while not isinstance(tree, bool):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    folder, tree = "/root/testdata/sf0.01", html_blocks.default_tree()
+    got = {r.page_id: r for r in queries.op5_html(spark, folder).collect()}
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    same = 0
+    for r in pages:
+        plain = Plain()
+        plain.feed(r.html)
+        plain.close()
+        plain.close_block()
+        around = [("", 0, 0), *plain.out, ("", 0, 0)]
+        kept = [b[0] for a, b, c in zip(around, around[1:], around[2:]) if judge(tree, [v for _, n, k in (a, b, c) for v in (n, k / max(n, 1))])]
+        same += (got[r.page_id].text, got[r.page_id].n_blocks, got[r.page_id].n_kept) == ("\n".join(kept), len(plain.out), len(kept))
+    assert len(got) == len(pages) and same == len(pages)
+
+
 def test_html_tree_is_that_of_brute_force():
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, 4, (60, 3)).astype(float), rng.random(60) < 0.4
@@ -171,6 +234,56 @@ def test_chat_marked_transcripts_exactly(spark):
     assert chat.render([("user", "Bye <|im_end|>")]) == "<|im_start|>user\nBye < |im_end|><|im_end|>\n"
 
 
+def test_chat_loses_no_text(spark):
+    """Each turn's text is the source's where the roles are right, and all turns' texts together are the source's in every conversation whose markers are kept or are none."""
+    folder = "/root/testdata/sf0.01"
+    c = spark.read.parquet(f"{folder}/conversations.parquet")
+    model = chat.fit(c)
+    turns = {r.conv_id: r.turns for r in chat._turns(c).collect()}
+    whole = 0
+    for i, known in turns.items():
+        raw = "\n\n".join(t.line for t in known)
+        got = chat.parse(raw, model)
+        # What goes are markers and what separates turns, nothing else.
+        strip = lambda texts: re.sub(r"\s", "", "".join(texts))
+        lost = len(strip([raw])) - len(strip(t for _, t in got))
+        assert lost <= sum(len(re.sub(r"\s", "", t.line)) - len(re.sub(r"\s", "", t.text)) for t in known)
+        whole += [t for _, t in got] == [t.text for t in known]
+    assert whole / len(turns) > 0.85
+
+
+def test_chat_keeps_gaps_and_labels(spark):
+    model = chat.fit(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    code = "Look:\n\ndef f():\n\n\n    return 1\n\nNote: done.\n\nNote: really."
+    got = chat.parse(f"User: Write f.\n\nAssistant: {code}\n\n\nUser: Thanks!\n", model)
+    # Turns that are put together again, an empty line between two, give all but the markers, empty lines and indents too.
+    assert "\n\n".join(t for _, t in got) == f"Write f.\n\n{code}\n\n\nThanks!\n"
+    for text in ("Summary: be brief.\n\nSummary: be clear.", "Summary: be brief.\n\nNote: x.", "Note: a.\nTip: b.\nNote: c.\nTip: d."):
+        assert re.sub(r"\s", "", "".join(t for _, t in chat.parse(text, model))) == re.sub(r"\s", "", text)
+    story = "Fine, thank you, and you? It is a long story, and I will tell it another time."
+    named = chat.parse(f"Alex: How are you?\n\nRobin: {story}\n\nAlex: Tell me more, please, I have time.\n\nRobin: {story}", model)
+    assert [t for _, t in named] == ["How are you?", story, "Tell me more, please, I have time.", story]
+
+
+def test_chat_query_against_brute_force(spark):
+    """Viterbi by plain dictionaries over all transcripts of sf0.001 gives the query's roles; equal scores go to the lower state."""
+    from millrace.llm import queries
+
+    c = spark.read.parquet(f"{TESTDATA}/conversations.parquet")
+    model = chat.fit(c)
+    got = {r.conv_id: r for r in queries.op8_chat(spark, TESTDATA).collect()}
+    raw = {r.conv_id: r.transcript for r in chat.raw_transcripts(c).collect()}
+    assert set(got) == set(raw)
+    for i, transcript in raw.items():
+        rows = chat.observe(transcript)[3]
+        best = {s: (model.start[s] + sum(t[s, rows[0][f]] for f, t in enumerate(model.emit)), [s]) for s in range(6)} if len(rows) else {}
+        for row in rows[1:]:
+            best = {s: max(((best[p][0] + model.move[p, s] + sum(t[s, row[f]] for f, t in enumerate(model.emit)), [*best[p][1], s]) for p in range(6)), key=lambda x: (x[0], [-v for v in x[1]])) for s in range(6)}
+        path = max(best.values(), key=lambda x: (x[0], [-v for v in x[1]]))[1]
+        roles = [chat.ROLES[s // 2] for k, s in enumerate(path) if s % 2 == 0 or not k]
+        assert list(got[i].roles) == roles and got[i].n_turns == len(roles)
+
+
 def test_chat_held_out(spark):
     c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     model, hold = chat.fit(c.where("conv_id % 3 <> 0")), c.where("conv_id % 3 = 0")
