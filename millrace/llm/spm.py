@@ -22,6 +22,9 @@ from .common import map_arrow
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id bigint, ids array<int>, n_tokens int"
+ROUND_TRIP = f"{SCHEMA}, text string, same boolean"
+#: Texts on which a model's ids must be those of the sentencepiece library before it is used.
+PROBES = ("", " ", "Hello, world!", "two  blanks ", " front", "line\none\ttab", "Größe, été, año, Привет, γεια", "日本語 テスト", "😀 \u200b \x00", "<s></s><unk><0x0A>", "▁ a▁b", "3.14159 42 1,000", "camelCase snake_case", "é", "a" * 300, "word " * 50)
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 3, 4, 5, 6
@@ -150,6 +153,13 @@ class Coder:
             self.words = Tokenizer(self.tokenizer.model)
             self.words.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
             self.opens = np.array([p.startswith(MARK) for p, _, _ in parse(data).pieces])
+        m = parse(data)
+        # What each id stands for in a text; none for those whose decoding is the library's business.
+        plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind == 1 else None for p, _, kind in m.pieces]
+        self.strip, self.plain = m.dummy_prefix, np.array([x is not None for x in plain])
+        self.size = np.array([len(x or b"") for x in plain], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(x or b"" for x in plain), np.uint8)
 
     def _learn(self, words: list[str]) -> None:
         """Adds words to known: marked and joined into long texts; each opens with the only marked piece it has."""
@@ -207,6 +217,32 @@ class Coder:
         return ids, sizes
 
 
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Texts of ids, of which each has so many: the pieces' bytes one after the other, or where these are not a text's, what the library makes of them."""
+        stop = np.cumsum(sizes)
+        size = self.size[ids]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        data = self.bytes[np.arange(total) + np.repeat(self.at[ids] - (end - size), size)].tobytes()
+        cuts = np.concatenate(([0], end))[np.concatenate(([0], stop))]
+        odd = np.concatenate(([0], np.cumsum(~self.plain[ids])))
+        out = []
+        for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+            begin = int(stop[k] - sizes[k])
+            text = None
+            if odd[stop[k]] == odd[begin]:
+                try:
+                    text = data[a:b].decode()
+                except UnicodeDecodeError:
+                    pass  # bytes that make no character
+            if text is None:
+                text = self.tokenizer.decode(ids[begin : stop[k]].tolist(), skip_special_tokens=False)
+            elif self.strip and text[:1] == " ":
+                text = text[1:]
+            out.append(text)
+        return out
+
+
 _built: dict[str, Coder] = {}
 
 
@@ -239,28 +275,62 @@ def _encode_column(coder: Coder, texts: list[str | None]) -> Iterator[tuple[int,
         yield a, b, pa.ListArray.from_arrays(offsets, pa.array(ids))
 
 
+def verify(model: str, texts: tuple[str, ...] = PROBES) -> None:
+    """ValueError if the ids of texts, or the texts of these ids, are not those of the sentencepiece library."""
+    import sentencepiece
+
+    coder, other = load(model), sentencepiece.SentencePieceProcessor(model_file=model)
+    ids, sizes = coder.encode(list(texts))
+    want = other.encode(list(texts))
+    if [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] != want or coder.decode(ids, sizes) != other.decode(want):
+        raise ValueError(f"{model} can't be run as the sentencepiece library runs it")
+
+
+def _input(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids and n_tokens for each row of docs; the whole text, no special tokens.
+    """doc_id, ids and n_tokens for each row of docs; the whole text, however long, no special tokens.
 
     A null text has null ids and n_tokens; an empty one has no ids. Text that looks like a control piece is ordinary text.
-    Repeated rows get equal results; other columns are ignored. model is a path that all executors can read.
+    Repeated rows get equal results; other columns, whatever their names, are ignored. An empty table gives an empty one. model is a path that the driver and all executors
+    can read; it is verified first.
     """
+    verify(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         coder = load(model)
         for a, b, ids in _encode_column(coder, batch.column(1).to_pylist()):
             yield pa.record_batch([batch.column(0).slice(a, b - a), ids, ids.value_lengths()], names=["doc_id", "ids", "n_tokens"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA)
+    return map_arrow(_input(docs), run, SCHEMA)
+
+
+def _decode_column(coder: Coder, ids: pa.ListArray) -> pa.Array:
+    size = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = coder.decode(ids.flatten().to_numpy(zero_copy_only=False), size)
+    return pa.array([t if there else None for t, there in zip(texts, ids.is_valid().to_pylist())], pa.string())
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id and text for each row of encode()'s result; null ids give a null text."""
+    """doc_id and text for each row of encode()'s result (doc_id, ids); null ids give a null text, no ids an empty one. Repeated rows get equal results; other columns are ignored."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = load(model).tokenizer
-        ids = batch.column(1).to_pylist()
-        texts = t.decode_batch([x or [] for x in ids], skip_special_tokens=False)
-        return pa.record_batch([batch.column(0), pa.array([None if x is None else y for x, y in zip(ids, texts)], pa.string())], names=["doc_id", "text"])
+        return pa.record_batch([batch.column(0), _decode_column(load(model), batch.column(1))], names=["doc_id", "text"])
+
+    return map_arrow(tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), run, "doc_id bigint, text string")
+
+
+def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """encode()'s columns and text, what decode() makes of the ids, and same, whether that is the text (metaspace markers in a text count as blanks). A null text has nulls."""
+    verify(model)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        coder, texts = load(model), batch.column(1).to_pylist()
+        for a, b, ids in _encode_column(coder, texts):
+            back = _decode_column(coder, ids)
+            same = [None if t is None else t.replace(MARK, " ") == u for t, u in zip(texts[a:b], back.to_pylist())]
+            yield pa.record_batch([batch.column(0).slice(a, b - a), ids, ids.value_lengths(), back, pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "text", "same"])
 
-    return map_arrow(tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids"), run, "doc_id bigint, text string")
+    return map_arrow(_input(docs), run, ROUND_TRIP)

@@ -330,7 +330,13 @@ def test_sentencepiece_parity_and_round_trip(documents):
         ids, sizes = coder.encode(texts)
         got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
         assert got == other.encode(texts)
-    back = coder.tokenizer.decode_batch(got, skip_special_tokens=False)
+    sizes = np.array([len(x) for x in got])
+    back = coder.decode(np.array([i for x in got for i in x], np.int32), sizes)
+    assert coder.tokenizer.decode_batch(got, skip_special_tokens=False) == back
+    # Ids in any order, bytes that make no character and control pieces among them.
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 400, 3000).astype(np.int32)
+    assert coder.decode(ids, np.full(300, 10)) == coder.tokenizer.decode_batch(ids.reshape(300, 10).tolist(), skip_special_tokens=False)
     assert back == other.decode(got) == [t.replace("▁", " ") for t in texts]
 
 
@@ -369,7 +375,22 @@ def test_sentencepiece_unigram_model():
         assert coder.encode([t])[0].tolist() == other.encode(t), t
 
 
+def test_sentencepiece_query_round_trip(spark, monkeypatch):
+    from millrace.llm import queries
+
+    other = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()}
+    rows = queries.op10_sentencepiece(spark, TESTDATA).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    assert all(r.same and r.text == texts[r.doc_id].replace("▁", " ") and list(r.ids) == other.encode(texts[r.doc_id]) for r in rows)
+    monkeypatch.setattr(spm.Coder, "encode", lambda self, texts: (np.zeros(0, np.int32), np.zeros(len(texts), np.int64)))
+    with pytest.raises(ValueError, match="can't be run"):
+        spm.verify(spm.MODEL)
+
+
 def test_sentencepiece_odd_rows(spark, odd):
+    trip = {r.doc_id: r for r in spm.round_trip(odd.where("doc_id IS NOT NULL")).collect()}
+    assert trip[3].ids is None and trip[3].text is None and trip[3].same is None and trip[2].text == "" and trip[2].same and trip[4].same
     rows = spm.encode(odd).collect()
     assert len(rows) == 8
     assert all(r.ids is None and r.n_tokens is None for r in rows if r.doc_id == 3) and all(r.ids == [] for r in rows if r.doc_id == 2)
