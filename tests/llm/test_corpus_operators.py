@@ -620,5 +620,35 @@ def test_pipeline_stage_by_stage(spark):
     assert sum(got[i] != other.encode(t) for i, t in texts.items()) == 0
 
 
+CLASHES = ["__text", "__id", "__key", "__n", "__kept", "__spans", "__cut", "id", "key", "N", "keep", "spans", "new_text", "number", "root", "a.b", "a`b"]
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ties and clashing names through run() and through each stage by itself; empty tables."""
+    import corpus_pipeline
+
+    random.seed(12)
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    known = docs.where("length(text) > 300").orderBy("doc_id").limit(60).collect()
+    long = " ".join(r.text for r in known if r.lang == "en") * 12
+    rows = [(r.doc_id, r.text, r.lang) for r in known] + [(known[0].doc_id, known[0].text, known[0].lang)] * 2 + [(5000, None, "en"), (None, None, None), (5001, "", "en"), (5002, "12 34 !", None), (None, long, None), (5003, long, "en"), (5003, long, "en")]
+    wide = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None, *range(len(CLASHES))) for r in rows], ", ".join(["doc_id long, text string, lang string, n_chars int", *[f"`{c.replace('`', '``')}` int" for c in CLASHES]]))
+    for name, table in (("full", wide), ("empty", wide.limit(0))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        bench = spark.read.parquet(f"{TESTDATA}/benchmark.parquet")
+        (bench if name == "full" else bench.limit(0)).write.parquet(f"{folder}/benchmark.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            out = function(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert out.columns == wide.columns and out.dtypes == wide.dtypes, stage
+            values = {tuple(r)[4:] for r in out.collect()}
+            assert values == ({tuple(range(len(CLASHES)))} if name == "full" else set()), stage
+    got = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    ids = [r.doc_id for r in got]
+    assert len(ids) == len(set(ids)) and not {5000, 5001, 5002} & set(ids) and 5003 in ids and all(r.same and r.n_tokens == len(r.ids) for r in got)
+    assert {i for i in ids if i != 5003} <= {r.doc_id for r in known} and len(ids) > 20
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_every_operator_has_a_query():
     assert sorted({int(re.match(r"op(\d+)_", q).group(1)) for q in queries.QUERIES}) == list(range(1, 11))
