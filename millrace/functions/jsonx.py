@@ -1,9 +1,13 @@
-"""Tolerant JSON: responses of any shape, looked up at several paths, where empty values count as missing."""
+"""Tolerant JSON: responses of any shape, looked up at several paths, where empty values count as missing.
+
+A text is parsed once, to a variant, from which fields are then read; let() keeps it that way within an expression.
+"""
 
 from __future__ import annotations
 
 import ast
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,50 +19,100 @@ from .text import NO_ERROR_TEXT, error_messages, ordered_distinct, with_default
 ID_PATHS = ("$.backtestId", "$.id", "$.backtest.backtestId", "$.result.backtestId")
 STATUS_PATHS = ("$.status", "$.state", "$.backtest.status", "$.backtest.state", "$.result.status")
 PROJECT_PATHS = ("$.projectId", "$.model.projectId")
+TRADE_PATHS = ("$.totalTrades", "$.backtest.totalTrades", "$.result.totalTrades")
 RESULT_KEYS = ("alpha", "charts", "orders", "result", "results", "statistics", "totalTrades")
-_FALSY = ("", "0", "0.0", "-0.0", "[]", "{}", "false", "null")
+#: JSON texts of values that count as nothing.
+_FALSY = r'^(?:""|\[\]|\{\}|false|null|-?0(?:\.0*)?(?:[eE][+-]?\d+)?)$'
+_NONE = "array<string>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def parsed(raw: Column) -> Column:
+    """The variant of a JSON text; null for other texts."""
+    return F.try_parse_json(raw)
+
+
+def token(v: Column, path: str) -> Column:
+    """The JSON text of what a variant has at a path, null being 'null'; null where there is nothing."""
+    return F.to_json(F.try_variant_get(v, path, "variant"))
 
 
 def truthy(value: Column) -> Column:
-    """Whether the text of a JSON value is that of a value that counts as something; false for null."""
-    return F.coalesce(~value.isin(*_FALSY), F.lit(False))
+    """Whether a JSON text is that of a value that counts as something, as any text but the empty one does; false for null."""
+    return F.coalesce(~value.rlike(_FALSY), F.lit(False))
+
+
+def lookup(v: Column, paths: tuple[str, ...]) -> Column:
+    """failed, value, is_text of the first of the paths whose value counts as something; null if none does.
+
+    failed: what a path goes through is there and is no object, and no earlier path had a value.
+    """
+    fields = lambda failed, value, is_text: F.struct(failed.alias("failed"), value.alias("value"), is_text.alias("is_text"))
+    out = F.lit(None).cast("struct<failed: boolean, value: string, is_text: boolean>")
+    for path in reversed(paths):
+        at, parent = token(v, path), path.rpartition(".")[0]
+        out = F.when(truthy(at), fields(F.lit(False), F.try_variant_get(v, path, "string"), at.startswith('"'))).otherwise(out)
+        if parent != "$":
+            out = F.when(~token(v, parent).startswith("{"), fields(F.lit(True), F.lit(None).cast("string"), F.lit(False))).otherwise(out)
+    return out
 
 
 def first_truthy(raw: Column, paths: tuple[str, ...]) -> Column:
-    """The first value of raw, a JSON text, at one of the paths that counts as something; null if none does."""
-    return F.coalesce(*[F.when(truthy(v), v) for v in (F.get_json_object(raw, p) for p in paths)])
+    """The first value of raw, a JSON text, at one of the paths that counts as something; null if none does or the lookup fails."""
+    return let(parsed(raw), lambda v: lookup(v, paths)["value"])
+
+
+def lookup_fails(raw: Column, paths: tuple[str, ...]) -> Column:
+    """Whether something that isn't an object is in the way."""
+    return F.coalesce(let(parsed(raw), lambda v: lookup(v, paths)["failed"]), F.lit(False))
 
 
 def kind(raw: Column) -> Column:
     """object, array, scalar, invalid or empty."""
-    shape = F.schema_of_variant(F.try_parse_json(raw))
     return (
-        F.when(F.coalesce(raw, F.lit("")) == "", "empty").when(shape.isNull(), "invalid")
-        .when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("scalar")
+        F.when(F.coalesce(raw, F.lit("")) == "", "empty").when(parsed(raw).isNull(), "invalid").when(raw.rlike(r"(?s)^\s*\{.*\}\s*$"), "object")
+        .when(raw.rlike(r"(?s)^\s*\[.*\]\s*$"), "array").when(raw.rlike(r'(?s)^\s*(?:".*"|[^\s"{\[]+)\s*$'), "scalar").otherwise("invalid")
     )
 
 
-@F.pandas_udf(T.StringType())
-def _literal_object(raw: pd.Series) -> pd.Series:
-    def one(text: str | None) -> str:
+def _object(text: str) -> str:
+    for read in (json.loads, ast.literal_eval):
         try:
-            value = ast.literal_eval(text)
-            return json.dumps(value) if isinstance(value, dict) else "{}"
+            value = read(text)
         except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            continue
+        try:
+            return json.dumps(value) if isinstance(value, dict) else "{}"
+        except (ValueError, TypeError, RecursionError):
             return "{}"
+    return "{}"
 
-    return raw.map(one)
+
+@F.pandas_udf(T.StringType())
+def _literal_object(raw: pd.Series) -> pd.Series:
+    out, some = pd.Series("{}", index=raw.index, dtype=object), raw.notna()
+    out[some] = raw[some].map(_object)
+    return out
 
 
 def safe_object(raw: Column, literals: bool = True) -> Column:
-    """raw if it is a JSON object; the object that raw writes as a Python literal, if literals and raw isn't JSON; else {}."""
+    """raw if it is a JSON object; the object that raw writes as a Python literal, if literals and raw isn't JSON; else {}.
+
+    Only texts that Spark's parser refuses (repeated keys and text after an object among them) go through Python.
+    """
     k = kind(raw)
-    other = _literal_object(raw) if literals else F.lit("{}")
-    return F.when(k == "object", raw).when(k == "invalid", other).otherwise("{}")
+    odd = (k == "invalid") | (k == "object") & raw.rlike(r"\}\s*\{")
+    other = _literal_object(F.when(odd, raw)) if literals else F.lit("{}")
+    return F.when(odd, other).when(k == "object", raw).otherwise("{}")
 
 
 def resolved_backtest_id(raw: Column, pattern: Column) -> Column:
-    return F.coalesce(first_truthy(raw, ID_PATHS), pattern)
+    """The id at one of ID_PATHS, else what the pattern found; null where the lookup fails."""
+    return let(let(parsed(raw), lambda v: lookup(v, ID_PATHS)), lambda found: F.when(F.coalesce(found["failed"], F.lit(False)), None).otherwise(F.coalesce(found["value"], pattern)))
 
 
 def status(raw: Column) -> Column:
@@ -69,47 +123,66 @@ def project_id(arguments: Column) -> Column:
     return first_truthy(arguments, PROJECT_PATHS)
 
 
+def total_trades(raw: Column) -> Column:
+    """Number of trades that a result tells; 0 if it tells none."""
+    return F.coalesce(first_truthy(raw, TRADE_PATHS).try_cast("int"), F.lit(0))
+
+
+def keys(raw: Column) -> Column:
+    """Names of an object's fields, sorted; null for anything else."""
+    return F.array_sort(F.json_object_keys(F.when(kind(raw) == "object", raw)))
+
+
+def get(raw: Column, path: str, default: Column) -> Column:
+    """What is at a path, texts as they are and other values as JSON, or the default where there is nothing; JSON's null is a value, and null."""
+    return let(parsed(raw), lambda v: F.when(token(v, path).isNull(), default).otherwise(F.try_variant_get(v, path, "string")))
+
+
 def argument_error(arguments: Column) -> Column:
     """Null for an empty text or an object; else what is wrong."""
-    k = kind(arguments)
-    return F.when(k == "invalid", "arguments are not JSON").when(k.isin("array", "scalar"), "arguments are not an object")
+    return let(kind(arguments), lambda k: F.when(k == "invalid", "arguments are not JSON").when(k.isin("array", "scalar"), "arguments are not an object"))
 
 
-_RUN = "completed boolean, finished boolean, " + ", ".join(f"{k} string" for k in RESULT_KEYS)
-_RESPONSE = f"{_RUN}, backtest struct<{_RUN}>"
+def complete(v: Column) -> Column:
+    """Whether a variant is a finished run's: completed or finished is true itself (not a text that says so), or a
+    result key holds something, at the top or under backtest, where this is an object."""
+    out = F.lit(False)
+    for at in ("$", "$.backtest"):
+        for k in ("completed", "finished"):
+            out = out | F.coalesce(token(v, f"{at}.{k}") == "true", F.lit(False))
+        for k in RESULT_KEYS:
+            out = out | truthy(token(v, f"{at}.{k}"))
+    return out
 
 
 def looks_complete(raw: Column) -> Column:
-    """Whether a response is that of a finished run: completed or finished is true itself (not a text that says so), or a
-    result key holds something, at the top or under backtest. One parse gives all fields; what isn't an object has none."""
-    parsed = F.from_json(raw, _RESPONSE)
+    """complete() of a JSON text; false for what isn't an object."""
+    return F.coalesce(let(parsed(raw), complete), F.lit(False))
 
-    def at(run: Column) -> Column:
-        some = F.coalesce(run["completed"], F.lit(False)) | F.coalesce(run["finished"], F.lit(False))
-        for k in RESULT_KEYS:
-            some = some | truthy(run[k])
-        return some
 
-    return at(parsed) | at(parsed["backtest"])
+def _said(v: Column) -> Column:
+    """What a variant says as text: null, true and false by Python's names, other values that aren't texts as JSON."""
+    return let(F.to_json(v), lambda t: F.when(t == "null", "None").when(t == "true", "True").when(t == "false", "False").otherwise(v.cast("string")))
+
 
+def compile_errors(raw: Column) -> Column:
+    """Errors of a build response: those listed under errors (or its one text), compile.logs, error, whatever it is, and where the state tells of an
+    error, message; of a text that isn't JSON, what the patterns find. Logs that are a single text count as one error."""
+    none = F.array().cast(_NONE)
 
-def _strings(raw: Column, path: str) -> Column:
-    """An array's items, or a single text, as texts; none if neither is there."""
-    value = F.get_json_object(raw, path)
-    listed = F.from_json(value, "array<string>")
-    none = F.array().cast("array<string>")
-    return F.when(~truthy(value), none).when(value.startswith("["), F.coalesce(listed, none)).otherwise(F.array(value))
+    def one(v: Column, path: str) -> Column:
+        return let(F.try_variant_get(v, path, "variant"), lambda at: F.when(at.isNull(), none).otherwise(F.array(_said(at))))
 
+    def many(v: Column, path: str) -> Column:
+        items = F.transform(F.try_variant_get(v, path, "array<variant>"), _said)
+        return F.when(token(v, path).startswith("["), items).when(token(v, path).startswith('"'), one(v, path)).otherwise(none)
 
-def compile_errors(raw: Column) -> Column:
-    """Errors of a build response: those listed under errors, compile.logs, error and, where the state tells of an error, message; of a
-    text that isn't JSON, what the patterns find. Logs that are a single text count as one error."""
-    state = F.lower(F.coalesce(F.get_json_object(raw, "$.state"), F.lit("")))
-    message = F.when(state.contains("error"), _strings(raw, "$.message")).otherwise(F.array().cast("array<string>"))
-    listed = F.concat(_strings(raw, "$.errors"), _strings(raw, "$.compile.logs"), _strings(raw, "$.error"), message)
-    k = kind(raw)
-    none = F.array().cast("array<string>")
-    return with_default(F.when(k == "object", ordered_distinct(listed)).when(k == "invalid", error_messages(raw)).otherwise(none), NO_ERROR_TEXT)
+    def listed(v: Column) -> Column:
+        failed = F.lower(F.coalesce(F.try_variant_get(v, "$.state", "string"), F.lit(""))).contains("error")
+        return F.concat(many(v, "$.errors"), many(v, "$.compile.logs"), one(v, "$.error"), F.when(failed, one(v, "$.message")).otherwise(none))
+
+    found = let(parsed(raw), lambda v: F.when(v.isNotNull(), ordered_distinct(listed(v))))
+    return let(F.coalesce(found, error_messages(raw), none), lambda items: with_default(items, NO_ERROR_TEXT))
 
 
 def flatten_blocks(blocks: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: Moneyness (share of the price) up to which a band's delta range holds; the cut-offs lie between the three known points and are parameters.
@@ -35,3 +35,13 @@ def fee(kind: Column, quantity: Column, rate: float = 0.65, per_contract: bool =
 def profit_percent(price: Column, average: Column, quantity: Column) -> Column:
     """Unrealised profit of a position in relation to its average price."""
     return F.try_divide(price - average, average) * F.signum(quantity)
+
+
+def running_equity(keys: list[str], order: list[str], flow: Column, cash: float = 100_000.0) -> Column:
+    """Cash at the start and all flows so far."""
+    return F.lit(cash) + F.sum(flow).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def margin_allows(margin: Column, equity: Column, least: float = 0.0) -> Column:
+    """Whether an order's margin is at least a share of the equity (0: every order will do), and no more than it."""
+    return F.coalesce((margin >= equity * F.lit(least)) & (margin <= equity), F.lit(False))

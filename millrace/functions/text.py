@@ -12,7 +12,8 @@ _FENCED, _BARE = (rf"(?sdU){_TICKS}{tag}\s*\n(.*?){_TICKS}" for tag in ("python"
 _FIRST_CODE_LINE = r"(?dmsU)^[^\S\n]*(?:from|import|class|def) [^\n]*\S.*"
 _QUOTE = "[\"']"
 _ID = rf"backtestId{_QUOTE}?\s*(?:=|:)\s*{_QUOTE}(\p{{XDigit}}+){_QUOTE}"
-_MESSAGES = (r"(?idU)error[\s:]+([^\n]+)", r"(?idU)(CS\d+[^\n]*)", r"(?idU)(line \d+[^\n]*)")
+#: A message is what follows such a mark and blanks or colons, up to the end of the line.
+_MESSAGES = tuple(rf"(?idU){mark}[\s:]+([^\n]+)" for mark in ("error", r"CS\d+", r"line \d+"))
 CODE_HINTS = ("import ", "from ", "def ", "class ")
 NO_ERROR_TEXT = "Compilation failed - no specific error extracted"
 NO_ERROR_LIST = "Unknown compile error"
@@ -59,8 +60,7 @@ def ordered_distinct(items: Column) -> Column:
 
 def error_messages(text: Column) -> Column:
     """Messages that the patterns find, pattern by pattern; overlapping finds stay."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in _MESSAGES]
-    return ordered_distinct(F.concat(found[0], found[0], *found[1:]))
+    return ordered_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in _MESSAGES]))
 
 
 def with_default(items: Column, message: str) -> Column:
@@ -78,16 +78,32 @@ def preview(items: Column, most: int = 3) -> Column:
     return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(F.size(items) > most, "...").otherwise(""))
 
 
-def code_prompt(spec: Column) -> Column:
-    return F.concat(F.lit("Write the algorithm for this specification:\n\n"), spec)
+def shortened(text: Column, most: int, dots: str = "...") -> Column:
+    """The first characters of a text, with dots if there are more; an empty text for null."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.concat(F.substring(whole, 1, most), F.when(F.length(whole) > most, dots).otherwise(""))
 
 
-def retry_prompt(code: Column, errors: Column) -> Column:
-    return F.concat(F.lit("The build failed with:\n"), bullets(with_default(errors, NO_ERROR_LIST)), F.lit("\n\nRepair this program:\n\n"), code)
+def section(title: str, lines: tuple[str, ...]) -> str:
+    """A titled, numbered list and an empty line; nothing if there are no lines."""
+    return "".join([f"{title}:\n", *[f"{i}. {line}\n" for i, line in enumerate(lines, 1)], "\n"]) if lines else ""
 
 
-def zero_trades_prompt(code: Column, info: Column) -> Column:
-    return F.concat(F.lit("The program made no trades. Run report:\n"), F.coalesce(F.nullif(info, F.lit("")), F.lit(NO_INFO)), F.lit("\n\nRevise this program:\n\n"), code)
+def code_prompt(spec: Column, reference: str = "") -> Column:
+    """reference: a text on the programming interface, which goes before the specification, if there is one."""
+    return F.concat(F.lit(section("Interface", (reference,) if reference else ()) + "Write the algorithm for this specification:\n\n"), spec)
+
+
+def retry_prompt(code: Column, errors: Column, reference: str = "", fixes: tuple[str, ...] = ()) -> Column:
+    """The first errors, the program, and what is known about the interface and common fixes, where that is given."""
+    known = section("\n\nInterface", (reference,) if reference else ()) + section("\n\nCommon fixes", fixes)
+    return F.concat(F.lit("The build failed with:\n"), bullets(with_default(errors, NO_ERROR_LIST)), F.lit("\n\nRepair this program:\n\n"), code, F.lit(known))
+
+
+def zero_trades_prompt(code: Column, info: Column, causes: tuple[str, ...] = (), fixes: tuple[str, ...] = ()) -> Column:
+    """The report, the program, and likely causes and needed fixes, where these are given."""
+    head = "The program made no trades. " + section("Likely causes", causes) + "Run report:\n"
+    return F.concat(F.lit(head), F.coalesce(F.nullif(info, F.lit("")), F.lit(NO_INFO)), F.lit("\n\nRevise this program:\n\n"), code, F.lit(section("\n\nNeeded", fixes)))
 
 
 def execution_prompt(code: Column, name: Column, project_id: Column) -> Column:

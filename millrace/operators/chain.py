@@ -49,11 +49,34 @@ def last_non_empty(day: list[str], ts: list[str], snapshot: Column) -> Column:
 
 
 def as_of(fires: DataFrame, snapshots: DataFrame, keys: list[str], fire_ts: str, ts: str, ties: list[str]) -> DataFrame:
-    """fires with the last row of snapshots of the same keys that isn't later; fires without one have nulls. fires must be unique in keys and fire_ts.
+    """fires with the last row of snapshots of the same keys that isn't later; fires without one, and those with a null key or time, have nulls.
 
-    An equi-join on the keys (a day is one of them, which bounds a key's rows), then an aggregation that keeps one row a fire.
+    Both go by time in one pass for each key, a day being one of the keys, which bounds a key's rows: a shuffle and a sort, no pairs.
     """
     rest = [c for c in snapshots.columns if c not in keys]
-    both = fires.join(snapshots.select(*keys, F.struct(*rest).alias("__s")), keys, "left")
-    last = F.max_by(F.when(F.col(f"__s.{ts}") <= F.col(fire_ts), F.col("__s")), F.when(F.col(f"__s.{ts}") <= F.col(fire_ts), F.struct(F.col(f"__s.{ts}"), *[F.col(f"__s.{c}") for c in ties])))
-    return both.groupBy(*fires.columns).agg(last.alias("s")).select(*fires.columns, *[F.col(f"s.{c}").alias(c) for c in rest])
+    fire, snap = F.struct(*fires.columns), F.struct(*rest)
+    tie = F.struct(*[F.col(c) for c in ties])
+    usable = snapshots.where(F.col(ts).isNotNull()).dropna(subset=keys)
+    right = usable.select(*keys, F.col(ts).alias("__t"), F.lit(0).alias("__fire"), tie.alias("__tie"), snap.alias("__s"))
+    kinds = dict((f.name, f.dataType) for f in right.schema)
+    left = fires.select(*keys, F.col(fire_ts).alias("__t"), F.lit(1).alias("__fire"), F.lit(None).cast(kinds["__tie"]).alias("__tie"), F.lit(None).cast(kinds["__s"]).alias("__s"), fire.alias("__f"))
+    w = Window.partitionBy(*keys).orderBy("__t", "__fire", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("__s", F.last("__s", ignorenulls=True).over(w))
+    return both.where("__fire = 1").select("__f.*", *[F.col(f"__s.{c}").alias(c) for c in rest])
+
+
+def expires_within(expiry: Column, ts: Column, first: int = 0, last: int = 0) -> Column:
+    """Whether a contract expires so many days after ts, both ends included."""
+    return F.datediff(expiry, ts).between(first, last)
+
+
+def pick(contracts: DataFrame, groups: list[str], method: Column, strike: str, price: Column, share: Column, delta: Column, target: Column, ties: list[str]) -> DataFrame:
+    """Of each group the contract that a strike method asks for: at the price (ATM), a share beyond it (OTM), or (delta) of the nearest absolute delta.
+
+    A group of the delta method in which no contract has a delta goes by the share. Ties go to the lower strike, then by the tie columns.
+    """
+    rest = [c for c in contracts.columns if c not in groups]
+    by_delta = F.when(method == "delta", F.abs(F.abs(delta) - target))
+    by_strike = F.abs(F.col(strike) - F.when(method == "ATM", price).otherwise(price * (1 + share)))
+    order = F.struct(by_delta.isNull(), F.coalesce(by_delta, by_strike), F.col(strike), *[F.col(c) for c in ties])
+    return contracts.where(F.col(strike).isNotNull()).groupBy(*groups).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*groups, "r.*")

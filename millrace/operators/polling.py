@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import jsonx
+from ..functions import jsonx, text
 
 MAX_POLLS = 60
 FAILED_CALL = "Error executing tool read_backtest"
@@ -27,12 +27,45 @@ def classify_build(state: Column) -> Column:
     return F.when(state == "BuildSuccess", "ok").when(state == "BuildError", "fail")
 
 
-def classify_response(raw: Column) -> Column:
-    """ok, fail or null of a polled response: a failed call, an error, the status, a result, in this order."""
+def classify_response(raw: Column, literals: bool = True) -> Column:
+    """ok, fail or null of a polled response, an object as JSON or, if literals, as a Python literal: a failed call, a status that can't be
+    looked up or is no text, an error, the status, a result, in this order. The object is parsed once."""
+
+    def verdict(v: Column) -> Column:
+        return jsonx.let(
+            jsonx.lookup(v, jsonx.STATUS_PATHS),
+            lambda s: F.when(s["failed"] | ~s["is_text"], "fail").when(jsonx.truthy(jsonx.token(v, "$.error")), "fail").otherwise(F.coalesce(classify_status(s["value"]), F.when(jsonx.complete(v), "ok"))),
+        )
+
+    return F.when(raw.startswith(FAILED_CALL), "fail").otherwise(jsonx.let(jsonx.parsed(jsonx.safe_object(raw, literals)), verdict))
+
+
+def envelope(tool: Column, arguments: Column, raw: Column, available: Column, polled: Column, report: Column, start: str = "create_backtest") -> Column:
+    """ok, error, data, raw, available of a call. What fails first counts: a tool that isn't available, arguments, and where the tool starts a run, no id
+    of the run, no project, the outcome of its polling (ok, fail, timeout; null: it goes on, and so is ok).
+
+    data is the object of the response, or that of the last poll (report) where the run ended.
+    """
+    none = F.lit(None).cast("string")
+
+    def answer(ok, error=none, data=none, raw=none, available=F.lit(None).cast("array<string>")) -> Column:
+        return F.struct(F.lit(ok).cast("boolean").alias("ok"), error.alias("error"), data.alias("data"), raw.alias("raw"), available.alias("available"))
+
+    found, wrong = jsonx.safe_object(raw), jsonx.argument_error(arguments)
+    bad = jsonx.lookup_fails(found, jsonx.ID_PATHS) | jsonx.lookup_fails(arguments, jsonx.PROJECT_PATHS)
+    run, project = jsonx.resolved_backtest_id(found, text.backtest_id(raw)), jsonx.project_id(arguments)
+    told = F.coalesce(jsonx.first_truthy(report, ("$.error",)), jsonx.status(report), report)
     return (
-        F.when(raw.startswith(FAILED_CALL), "fail")
-        .when(jsonx.truthy(F.get_json_object(raw, "$.error")), "fail")
-        .otherwise(F.coalesce(classify_status(jsonx.status(raw)), F.when(jsonx.looks_complete(raw), "ok")))
+        F.when(~F.array_contains(available, tool), answer(False, F.concat(F.lit("Tool '"), tool, F.lit("' not in list")), available=available))
+        .when(wrong.isNotNull(), answer(False, wrong))
+        .when(tool != start, answer(True, data=found))
+        .when(bad, answer(False, F.lit("response is of another shape")))
+        .when(run.isNull(), answer(False, F.lit("No backtestId"), found, raw))
+        .when(project.isNull(), answer(False, F.lit("No projectId"), found))
+        .when(polled == "timeout", answer(False, F.lit("Backtest timeout")))
+        .when(polled == "fail", answer(False, told, report))
+        .when(polled == "ok", answer(True, data=report))
+        .otherwise(answer(None, data=found))
     )
 
 

@@ -15,8 +15,8 @@ def succeeded(compile_ok: Column, backtest_ok: Column, trades: Column) -> Column
 
 
 def fingerprint(errors: Column) -> Column:
-    """Equal for equal bags of messages, in whatever order."""
-    return F.array_join(F.sort_array(errors), "\n")
+    """Equal for equal bags of messages, in whatever order, and for these only: the sorted messages themselves, nulls among them."""
+    return F.sort_array(errors)
 
 
 def last_submission(results: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -45,7 +45,7 @@ def fold(attempts: DataFrame, run: str, max_attempts: int = MAX_ATTEMPTS, max_re
     revisions, repeated or exhausted; only the first three have a final_attempt.
     """
     rows = F.slice(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ATTEMPT]))), 1, max_attempts)
-    start = F.struct(F.lit("").alias("outcome"), F.lit(None).cast("int").alias("final"), F.lit(0).alias("revisions"), F.lit("").alias("project"), F.array().cast("array<string>").alias("seen"))
+    start = F.struct(F.lit("").alias("outcome"), F.lit(None).cast("int").alias("final"), F.lit(0).alias("revisions"), F.lit("").alias("project"), F.array().cast("array<array<string>>").alias("seen"))
 
     def step(s: Column, a: Column) -> Column:
         def state(outcome=None, final=None, revisions=None, seen=None, project=True) -> Column:
@@ -64,7 +64,7 @@ def fold(attempts: DataFrame, run: str, max_attempts: int = MAX_ATTEMPTS, max_re
             .when(s["revisions"] >= max_revisions, state("revisions", a["attempt"]))
             .when(~a["compile_ok"] & F.array_contains(s["seen"], print_), state("repeated", a["attempt"]))
             .when(~a["compile_ok"], state(revisions=more, seen=F.array_append(s["seen"], print_)))
-            .when(a["trades"] == 0, state(revisions=more, seen=F.when(a["changed"], F.array().cast("array<string>")).otherwise(s["seen"])))
+            .when(a["trades"] == 0, state(revisions=more, seen=F.when(a["changed"], F.array().cast("array<array<string>>")).otherwise(s["seen"])))
             .otherwise(state())
         )
 

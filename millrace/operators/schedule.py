@@ -35,15 +35,27 @@ def calm_days(rows: DataFrame, day: str, value: str, most: float) -> DataFrame:
     return rows.groupBy(day).agg(F.max(value).alias("high")).where(F.col("high") <= most)
 
 
+def volatile_days(rows: DataFrame, day: str, value: str, above: float) -> DataFrame:
+    """Days with a value above the bound."""
+    return rows.groupBy(day).agg(F.max(value).alias("high")).where(F.col("high") > above)
+
+
 def one_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def gate(done: Column, invested: Column, can_trade: Column, cached: Column) -> Column:
-    """What becomes of an entry: the first reason against it, or enter."""
-    return F.when(done, "done").when(invested, "invested").when(~can_trade, "not allowed").when(F.coalesce(cached, F.lit(0)) == 0, "empty cache").otherwise("enter")
+def gate(done: Column, invested: Column, can_trade: Column, cached: Column, contract: Column | None = None) -> Column:
+    """What becomes of an entry: the first reason against it, or enter. contract, where it is told, is the one to trade."""
+    out = F.when(done, "done").when(invested, "invested").when(~can_trade, "not allowed").when(F.coalesce(cached, F.lit(0)) == 0, "empty cache")
+    return (out if contract is None else out.when(contract.isNull(), "no contract")).otherwise("enter")
+
+
+def orders(held: Column, wanted: Column, limit: Column) -> Column:
+    """kind, quantity of the order from a position to another: market, or limit where there is a limit price; null if none is needed."""
+    quantity = wanted - held
+    return F.when(quantity != 0, F.struct(F.when(limit.isNull(), "market").otherwise("limit").alias("kind"), quantity.alias("quantity")))
 
 
 def first_exit(rows: DataFrame, keys: list[str], ts: str, conditions: dict[str, Column]) -> DataFrame:
@@ -71,8 +83,12 @@ def closing_orders(held: DataFrame, tag: str = "End of day") -> DataFrame:
     return held.where("quantity <> 0").withColumn("quantity", -F.col("quantity")).withColumn("tag", F.lit(tag))
 
 
-def valid_spec(strategy: Column, conditions: Column, known: tuple[str, ...] = STRATEGIES) -> Column:
-    return strategy.isin(*known) & (F.coalesce(F.size(conditions), F.lit(0)) <= 2)
+def valid_spec(strategy: Column, conditions: Column, known: tuple[str, ...] = STRATEGIES, filters: Column | None = None, exit_time: Column | None = None, latest: str = "15:50") -> Column:
+    """Whether a strategy is a known one with two conditions at most, and, where these are told, one filter at most and an exit (HH:mm) before the latest."""
+    ok = strategy.isin(*known) & (F.coalesce(F.size(conditions), F.lit(0)) <= 2)
+    if filters is not None:
+        ok = ok & (F.coalesce(F.size(filters), F.lit(0)) <= 1)
+    return ok if exit_time is None else ok & (exit_time < latest)
 
 
 def strike_target(method: Column, price: Column, share: Column) -> Column:

@@ -13,8 +13,8 @@ from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Marks of the platform that an unfenced program must show, in these queries.
-MARKERS = ("AlgorithmBase", "import ")
+#: What an unfenced program must show, in these queries.
+MARKERS = ("AlgorithmBase",)
 ALLOWED = ["PROMO", "STANDARD", "NO SUCH TYPE", "PROMO"]
 
 
@@ -74,54 +74,119 @@ def build_states(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("user_id").agg(F.max(v).alias("best"), F.count_if(v.isNull()).alias("waiting"))
 
 
-_RESPONSE = """CASE event_id % 8 WHEN 0 THEN 'Error executing tool read_backtest: ' || event_type WHEN 1 THEN '{"error": "' || event_type || '"}' WHEN 2 THEN '{"status": "Completed", "n": 1}'
-WHEN 3 THEN '{"backtest": {"status": "Failed"}}' WHEN 4 THEN '{"completed": true}' WHEN 5 THEN '{"statistics": {"a": 1}}' WHEN 6 THEN '{"status": "Running", "error": ""}' ELSE '{"backtest": {"totalTrades": 0, "charts": [1]}}' END"""
+@query(_POLL.format(limit=60).replace("'purchase', 'error'", "'purchase', 'error', 'signup'").replace("WHEN 'error' THEN 'fail'", "WHEN 'signup' THEN 'ok' WHEN 'error' THEN 'fail'"))
+def build_poll(spark, sf_dir):
+    state = F.when(F.col("event_type").isin("purchase", "signup"), "BuildSuccess").when(F.col("event_type") == "error", "BuildError").otherwise("InQueue")
+    return polling.poll_until_terminal(_events(spark, sf_dir), "user_id", ["ts", "event_id"], polling.classify_build(state)).drop("ts")
 
 
-@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'fail' WHEN 1 THEN 'fail' WHEN 2 THEN 'ok' WHEN 3 THEN 'fail' WHEN 4 THEN 'ok' WHEN 5 THEN 'ok' WHEN 7 THEN 'ok' END AS verdict FROM events")
+_RESPONSE = """CASE event_id % 12 WHEN 0 THEN 'Error executing tool read_backtest: ' || event_type WHEN 1 THEN '{"error": "' || event_type || '"}' WHEN 2 THEN '{"status": "' || event_type || ' Completed", "p": ' || props || '}'
+WHEN 3 THEN '{"backtest": {"status": "' || event_type || '"}, "totalTrades": ' || (user_id % 3) || '}' WHEN 4 THEN '{"completed": ' || CASE WHEN value > 20 THEN 'true' ELSE '"true"' END || '}' WHEN 5 THEN '{"statistics": ' || props || '}' WHEN 6 THEN '{"status": "Running", "error": ""}'
+WHEN 7 THEN '{"status": ' || (user_id % 2) || ', "charts": [1]}' WHEN 8 THEN '{"backtest": null, "error": ' || CASE WHEN value > 20 THEN 'null' ELSE '"false"' END || '}' WHEN 9 THEN '{"status": 0, "error": "0"}' WHEN 10 THEN '["Completed"]'
+ELSE '{"state": "", "backtest": {"totalTrades": ' || (user_id % 2) || ', "state": "' || event_type || '"}}' END"""
+#: The rules on a JSON value, in DuckDB.
+_DUCK_TRUE = "coalesce(CASE json_type({0}) WHEN 'NULL' THEN false WHEN 'BOOLEAN' THEN ({0})::VARCHAR = 'true' WHEN 'VARCHAR' THEN ({0})->>'$' <> '' WHEN 'ARRAY' THEN json_array_length({0}) > 0 WHEN 'OBJECT' THEN len(json_keys({0})) > 0 ELSE ({0})::DOUBLE <> 0 END, false)"
+
+
+def _duck_true(path: str, of: str = "j") -> str:
+    return _DUCK_TRUE.format(f"json_extract({of}, '{path}')")
+
+
+def _duck_lookup(paths: tuple[str, ...], of: str = "j") -> str:
+    """The first value that counts, as JSON; 'broken' (no JSON of an object's field) where the lookup fails."""
+    cases = []
+    for path in paths:
+        parent = path.rpartition(".")[0]
+        if parent != "$":
+            cases.append(f"WHEN json_type(json_extract({of}, '{parent}')) <> 'OBJECT' THEN 'broken'")
+        cases.append(f"WHEN {_duck_true(path, of)} THEN json_extract({of}, '{path}')::VARCHAR")
+    return f"CASE {' '.join(cases)} END"
+
+
+_DUCK_DONE = " OR ".join([f"coalesce(json_extract(j, '{at}.{k}')::VARCHAR = 'true', false)" for at in ("$", "$.backtest") for k in ("completed", "finished")] + [_duck_true(f"{at}.{k}") for at in ("$", "$.backtest") for k in jsonx.RESULT_KEYS])
+
+
+@query(f"""WITH r AS (SELECT event_id, {_RESPONSE} AS raw FROM events), p AS (SELECT *, CASE WHEN raw[1] = '{{' THEN raw ELSE '{{}}' END::JSON AS j FROM r), s AS (SELECT *, {_duck_lookup(jsonx.STATUS_PATHS)} AS status FROM p)
+SELECT event_id, CASE WHEN starts_with(raw, 'Error executing tool read_backtest') THEN 'fail' WHEN status = 'broken' OR status[1] <> '"' THEN 'fail' WHEN {_duck_true("$.error")} THEN 'fail'
+WHEN regexp_matches(lower(status), 'complete|finished|success') THEN 'ok' WHEN regexp_matches(lower(status), 'error|failed|cancel') THEN 'fail' WHEN {_DUCK_DONE} THEN 'ok' END AS verdict FROM s""")
 def response_classify(spark, sf_dir):
-    return _events(spark, sf_dir).select("event_id", polling.classify_response(F.expr(_RESPONSE)).alias("verdict"))
-
-
-def _wrapped(spark, sf_dir) -> DataFrame:
-    t = F.concat(F.lit("x = "), F.length("text").cast("string"), F.lit("\n"), F.lit("def run(): pass"))
-    fence = F.lit("```")
-    return tables.read(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Here:\n"), fence, F.lit("python\n"), t, F.lit("\n"), fence, F.lit("\nDone")))
-        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Here:\n"), fence, F.lit("\n"), t, F.lit("\n"), fence))
-        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("Sure\nimport base\n"), t, F.lit("\nclass A(AlgorithmBase): pass  ")))
-        .otherwise(F.concat(F.lit("Nothing "), F.col("source"))).alias("reply"),
-    )
+    return _events(spark, sf_dir).select("event_id", F.expr(_RESPONSE).alias("raw")).select("event_id", polling.classify_response(F.col("raw"), literals=False).alias("verdict"))
+
+
+_REPLY = """CASE doc_id % 6 WHEN 0 THEN 'Here:\\n```python\\n' || text || '\\n```\\nDone' WHEN 1 THEN 'Here:\\n```\\ndef run(): pass\\n' || text || '\\n```' WHEN 2 THEN 'Sure\\nimport base\\n' || text || '\\nclass A(AlgorithmBase): pass  '
+WHEN 3 THEN 'Sure\\nimport base\\n' || text WHEN 4 THEN 'Here:\\n```\\n' || text || '\\n```\\n' ELSE text END"""
+_DUCK_SPACE = "'^[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}\\x1c-\\x1f]+'"
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN 'import base' || chr(10) || c || chr(10) || 'class A(AlgorithmBase): pass' END AS code
-FROM (SELECT doc_id, 'x = ' || length(text) || chr(10) || 'def run(): pass' AS c FROM documents)""")
+def _duck_strip(of: str) -> str:
+    return f"regexp_replace(regexp_replace({of}, {_DUCK_SPACE}, '', 'g'), {_DUCK_SPACE.replace(chr(39) + '^', chr(39)).replace(']+' + chr(39), ']+$' + chr(39))}, '', 'g')"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_REPLY.replace("'Here", "E'Here").replace("'Sure", "E'Sure").replace("|| '", "|| E'")} AS reply FROM documents),
+p AS (SELECT *, {_duck_strip("regexp_extract(reply, '```python\\s*\\n(.*?)```', 1, 's')")} AS fenced, {_duck_strip("regexp_extract(reply, '```\\s*\\n(.*?)```', 1, 's')")} AS bare, {_duck_strip("regexp_extract(reply, '(?ms)^[ \\t]*(?:from|import|class|def) [^\\n]*[^\\s].*')")} AS loose FROM r)
+SELECT doc_id, CASE WHEN regexp_matches(reply, '```python\\s*\\n(.*?)```', 's') THEN fenced WHEN regexp_matches(reply, '```\\s*\\n(.*?)```', 's') AND regexp_matches(bare, '(import|from|def|class) ') THEN bare WHEN contains(loose, 'AlgorithmBase') THEN loose END AS code FROM p""")
 def extract_code(spark, sf_dir):
-    return _wrapped(spark, sf_dir).select("doc_id", text.extract_code(F.col("reply"), MARKERS).alias("code"))
+    reply = tables.read(spark, sf_dir, "documents").select("doc_id", F.expr(_REPLY).alias("reply"))
+    return reply.select("doc_id", text.extract_code(F.col("reply"), MARKERS).alias("code"))
+
 
+_BUILD_LOG = "text || CASE doc_id % 4 WHEN 0 THEN '\\nError: boom ' || source || '\\nat line ' || doc_id || ': bad\\nERROR\\tboom ' || source WHEN 1 THEN '\\nbuild: CS' || doc_id || ': gone ' || lang || '\\nCS12 ' || lang WHEN 2 THEN '\\nerror:\\n\\n next ' || lang ELSE '' END"
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['boom ' || event_type, 'line ' || user_id || ' bad', 'line ' || user_id || ' bad'][1:2] WHEN 1 THEN ['CS' || event_id || ' ' || event_type] ELSE ['Compilation failed - no specific error extracted'] END AS errors FROM events")
+
+def _distinct(items: str) -> str:
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i AND x <> '')"
+
+
+_FOUND = " || ".join(f"regexp_extract_all(raw, '(?i){mark}[\\s:]+([^\\n]+)', 1)" for mark in ("error", "CS[0-9]+", "line [0-9]+"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_BUILD_LOG.replace("'" + chr(92) + "n", "E'" + chr(92) + "n").replace("': bad", "E': bad").replace("': gone", "E': gone")} AS raw FROM documents),
+f AS (SELECT doc_id, list_transform({_FOUND}, lambda x: {_duck_strip("x")}) AS found FROM r), d AS (SELECT doc_id, {_distinct("found")} AS found FROM f)
+SELECT doc_id, CASE WHEN len(found) > 0 THEN found ELSE ['Compilation failed - no specific error extracted'] END AS errors FROM d""")
 def extract_errors(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Error: boom "), "event_type", F.lit("\nat line "), "user_id", F.lit(" bad"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("build: CS"), "event_id", F.lit(" "), "event_type")).otherwise(F.lit("all quiet"))
-    return e.select("event_id", text.with_default(text.error_messages(raw), text.NO_ERROR_TEXT).alias("errors"))
+    raw = tables.read(spark, sf_dir, "documents").select("doc_id", F.expr(_BUILD_LOG).alias("raw"))
+    return raw.select("doc_id", text.error_messages(F.col("raw")).alias("found")).select("doc_id", text.with_default(F.col("found"), text.NO_ERROR_TEXT).alias("errors"))
+
 
+_SHAPES = """CASE event_id % 7 WHEN 0 THEN '{"backtestId": "b' || user_id || '"}' WHEN 1 THEN '{"backtestId": "", "id": "i' || user_id || '"}' WHEN 2 THEN '{"backtest": {"backtestId": "n' || user_id || '", "status": "Running"}}'
+WHEN 3 THEN '{"result": {"backtestId": ' || user_id || '}, "state": "' || event_type || '"}' WHEN 4 THEN '{"id": 0, "backtest": "' || event_type || '", "status": ""}' WHEN 5 THEN '{"id": "0", "status": false}' ELSE 'text backtestId = "ab12' || user_id || '" end' END"""
 
-_SHAPES = """CASE event_id % 5 WHEN 0 THEN '{"backtestId": "b' || user_id || '"}' WHEN 1 THEN '{"backtestId": "", "id": "i' || user_id || '"}' WHEN 2 THEN '{"backtest": {"backtestId": "n' || user_id || '", "status": "Running"}}'
-WHEN 3 THEN '{"result": {"backtestId": "r' || user_id || '"}, "state": "' || event_type || '"}' ELSE 'text backtestId = "ab12' || user_id || '" end' END"""
 
+def _plain(of: str) -> str:
+    return f"CASE WHEN {of} = 'broken' THEN NULL WHEN {of}[1] = '\"' THEN ({of})::JSON->>'$' ELSE {of} END"
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'b' WHEN 1 THEN 'i' WHEN 2 THEN 'n' WHEN 3 THEN 'r' ELSE 'ab12' END || user_id AS id, CASE event_id % 5 WHEN 2 THEN 'Running' WHEN 3 THEN event_type END AS status FROM events""")
+
+@query(f"""WITH r AS (SELECT event_id, {_SHAPES} AS raw FROM events), p AS (SELECT *, CASE WHEN raw[1] = '{{' THEN raw END::JSON AS j FROM r), f AS (SELECT *, {_duck_lookup(jsonx.ID_PATHS)} AS a, {_duck_lookup(jsonx.STATUS_PATHS)} AS b FROM p)
+SELECT event_id, CASE WHEN a = 'broken' THEN NULL ELSE coalesce({_plain("a")}, nullif(regexp_extract(raw, 'backtestId["'']?\\s*[:=]\\s*["'']([0-9a-fA-F]+)["'']', 1), '')) END AS id, {_plain("b")} AS status FROM f""")
 def id_coalesce(spark, sf_dir):
-    raw = F.expr(_SHAPES)
-    return _events(spark, sf_dir).select("event_id", jsonx.resolved_backtest_id(raw, text.backtest_id(raw)).alias("id"), jsonx.status(raw).alias("status"))
+    e = _events(spark, sf_dir).select("event_id", F.expr(_SHAPES).alias("raw"))
+    return e.select("event_id", jsonx.resolved_backtest_id(F.col("raw"), text.backtest_id(F.col("raw"))).alias("id"), jsonx.status(F.col("raw")).alias("status"))
+
 
+_ARGUMENTS = """CASE event_id % 5 WHEN 0 THEN '{"projectId": "p' || user_id || '"}' WHEN 1 THEN '{"projectId": 0, "model": {"projectId": "m' || user_id || '"}}' WHEN 2 THEN '{"model": ' || props || '}' WHEN 3 THEN '{"model": ' || user_id || '}' ELSE '[' || props END"""
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'p' || user_id WHEN event_id % 3 = 1 THEN 'm' || user_id END AS project_id FROM events")
+
+@query(f"""WITH f AS (SELECT event_id, {_duck_lookup(jsonx.PROJECT_PATHS)} AS a FROM (SELECT event_id, CASE WHEN json_valid(raw) THEN raw END::JSON AS j FROM (SELECT event_id, {_ARGUMENTS} AS raw FROM events))) SELECT event_id, {_plain("a")} AS project_id FROM f""")
 def project_from_arguments(spark, sf_dir):
-    raw = F.expr("""CASE event_id % 3 WHEN 0 THEN '{"projectId": "p' || user_id || '"}' WHEN 1 THEN '{"projectId": 0, "model": {"projectId": "m' || user_id || '"}}' ELSE '{"model": {}}' END""")
-    return _events(spark, sf_dir).select("event_id", jsonx.project_id(raw).alias("project_id"))
+    return _events(spark, sf_dir).select("event_id", jsonx.project_id(F.expr(_ARGUMENTS)).alias("project_id"))
+
+
+_CALL = """CASE event_type WHEN 'error' THEN 'create_backtest' WHEN 'click' THEN 'create_backtest' WHEN 'signup' THEN 'delete_all' ELSE 'read_file' END"""
+
+
+@query(f"""WITH r AS (SELECT event_id, {_CALL} AS tool, {_ARGUMENTS} AS arguments, {_SHAPES} AS raw, {_RESPONSE} AS report, CASE user_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'fail' WHEN 2 THEN 'timeout' END AS polled FROM events),
+p AS (SELECT *, CASE WHEN raw[1] = '{{' THEN raw ELSE '{{}}' END::JSON AS j, CASE WHEN json_valid(arguments) THEN arguments END::JSON AS g, CASE WHEN json_valid(report) THEN report END::JSON AS t FROM r),
+f AS (SELECT *, {_duck_lookup(jsonx.ID_PATHS)} AS a, {_duck_lookup(jsonx.PROJECT_PATHS, "g")} AS b, {_duck_lookup(("$.error",), "t")} AS c, {_duck_lookup(jsonx.STATUS_PATHS, "t")} AS d FROM p),
+h AS (SELECT *, CASE WHEN tool = 'delete_all' THEN 1 WHEN g IS NULL THEN 2 WHEN tool <> 'create_backtest' THEN 3 WHEN coalesce(a, '') = 'broken' OR coalesce(b, '') = 'broken' THEN 4
+WHEN coalesce({_plain("a")}, nullif(regexp_extract(raw, 'backtestId["'']?\\s*[:=]\\s*["'']([0-9a-fA-F]+)["'']', 1), '')) IS NULL THEN 5 WHEN b IS NULL THEN 6 WHEN polled = 'timeout' THEN 7 WHEN polled = 'fail' THEN 8 WHEN polled = 'ok' THEN 9 ELSE 10 END AS n FROM f)
+SELECT event_id, CASE WHEN n IN (3, 9) THEN true WHEN n < 10 THEN false END AS ok, CASE n WHEN 1 THEN 'Tool ''delete_all'' not in list' WHEN 2 THEN 'arguments are not JSON' WHEN 4 THEN 'response is of another shape' WHEN 5 THEN 'No backtestId' WHEN 6 THEN 'No projectId' WHEN 7 THEN 'Backtest timeout'
+WHEN 8 THEN coalesce({_plain("c")}, {_plain("d")}, report) END AS error, CASE WHEN n IN (3, 5, 6, 10) THEN j::VARCHAR WHEN n IN (8, 9) THEN report END AS data, CASE n WHEN 5 THEN raw END AS raw, CASE n WHEN 1 THEN 2 END AS available FROM h""")
+def call_envelope(spark, sf_dir):
+    polled = F.when(F.col("user_id") % 4 == 0, "ok").when(F.col("user_id") % 4 == 1, "fail").when(F.col("user_id") % 4 == 2, "timeout")
+    e = _events(spark, sf_dir).select("event_id", *[F.expr(x).alias(n) for n, x in (("tool", _CALL), ("arguments", _ARGUMENTS), ("raw", _SHAPES), ("report", _RESPONSE))], polled.alias("polled"))
+    names = F.array(F.lit("create_backtest"), F.lit("read_file"))
+    answer = polling.envelope(*[F.col(c) for c in ("tool", "arguments", "raw")], names, F.col("polled"), F.col("report"))
+    return e.select("event_id", answer.alias("e")).select("event_id", "e.ok", "e.error", "e.data", "e.raw", F.when(F.col("e.available").isNotNull(), F.size("e.available")).alias("available"))
 
 
 _KINDS = "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '[' || props || ']' WHEN 2 THEN left(props, length(props) - 1) WHEN 3 THEN '' ELSE '{''k'': None, ''u'': ' || user_id || '}' END"
@@ -135,12 +200,39 @@ def safe_parse(spark, sf_dir):
     return e.select("event_id", jsonx.kind(F.col("raw")).alias("kind"), F.get_json_object("o", "$.k").alias("k"), F.get_json_object("o", "$.u").alias("u"), jsonx.argument_error(F.col("raw")).alias("complaint"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN ['a ' || event_type, 'b'] WHEN 1 THEN ['log ' || user_id, event_type, 'why'] WHEN 2 THEN ['Compilation failed - no specific error extracted'] ELSE ['one'] END AS errors,
-CASE event_id % 4 WHEN 0 THEN '  - a ' || event_type || chr(10) || '  - b' WHEN 1 THEN '  - log ' || user_id || chr(10) || '  - ' || event_type || chr(10) || '  - why' WHEN 2 THEN '  - Compilation failed - no specific error extracted' ELSE '  - one' END AS bullets FROM events""")
+_BUILD = """CASE event_id % 8 WHEN 0 THEN '{"errors": [" a ' || event_type || '", "b", "b", "", ' || props || '], "state": "BuildError"}' WHEN 1 THEN '{"compile": {"logs": ["log ' || user_id || '"]}, "error": "' || event_type || '", "state": "BuildError", "message": "why"}'
+WHEN 2 THEN '{"state": "BuildSuccess", "message": "fine"}' WHEN 3 THEN '{"errors": "one", "message": "not told"}' WHEN 4 THEN '{"error": null, "errors": [null, true, ' || user_id || ']}' WHEN 5 THEN '{"error": ["' || event_type || '","x"], "state": "error"}' WHEN 6 THEN '[' || props || ']'
+ELSE 'Error: ' || event_type || ' in CS' || user_id || ': gone' END"""
+_SAID = "CASE json_type({0}) WHEN 'VARCHAR' THEN ({0})->>'$' WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN CASE ({0})::VARCHAR WHEN 'true' THEN 'True' ELSE 'False' END ELSE ({0})::VARCHAR END"
+
+
+def _duck_one(path: str) -> str:
+    return f"CASE WHEN json_type(j, '{path}') IS NULL THEN [] ELSE [{_SAID.format(f'json_extract(j, {chr(39)}{path}{chr(39)})')}] END"
+
+
+def _duck_many(path: str) -> str:
+    return f"CASE json_type(j, '{path}') WHEN 'ARRAY' THEN list_transform(json_extract(j, '{path}')::JSON[], lambda y: {_SAID.format('coalesce(y, ' + chr(39) + 'null' + chr(39) + '::JSON)')}) WHEN 'VARCHAR' THEN {_duck_one(path)} ELSE [] END"
+
+
+@query(f"""WITH r AS (SELECT event_id, {_BUILD} AS raw FROM events), p AS (SELECT *, CASE WHEN json_valid(raw) THEN raw END::JSON AS j FROM r),
+f AS (SELECT event_id, list_transform(CASE WHEN j IS NULL THEN {_FOUND} ELSE {_duck_many("$.errors")} || {_duck_many("$.compile.logs")} || {_duck_one("$.error")} || CASE WHEN contains(lower(coalesce(json_extract_string(j, '$.state'), '')), 'error') THEN {_duck_one("$.message")} ELSE [] END END, lambda x: trim(x)) AS found FROM p),
+d AS (SELECT event_id, {_distinct("found")} AS found FROM f), e AS (SELECT event_id, CASE WHEN len(found) > 0 THEN found ELSE ['Compilation failed - no specific error extracted'] END AS errors FROM d)
+SELECT event_id, errors, array_to_string(list_transform(errors[1:10], lambda x: '  - ' || x), chr(10)) AS bullets FROM e""")
 def compile_errors(spark, sf_dir):
-    raw = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"errors": [" a ' || event_type || '", "b", "b", ""], "state": "BuildError"}' WHEN 1 THEN '{"compile": {"logs": ["log ' || user_id || '"]}, "error": "' || event_type || '", "state": "BuildError", "message": "why"}'
-    WHEN 2 THEN '{"state": "BuildSuccess", "message": "fine"}' ELSE '{"errors": "one", "message": "not told"}' END""")
-    return _events(spark, sf_dir).select("event_id", jsonx.compile_errors(raw).alias("errors")).select("event_id", "errors", text.bullets(F.col("errors")).alias("bullets"))
+    e = _events(spark, sf_dir).select("event_id", F.expr(_BUILD).alias("raw"))
+    return e.select("event_id", jsonx.let(jsonx.compile_errors(F.col("raw")), lambda x: F.struct(x.alias("errors"), text.bullets(x).alias("bullets"))).alias("r")).select("event_id", "r.*")
+
+
+@query("SELECT doc_id, coalesce(text[1:100], '') || CASE WHEN length(text) > 100 THEN '...' ELSE '' END AS task, coalesce(text[1:500], '') AS head FROM documents")
+def previews(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.shortened(F.col("text"), 100).alias("task"), text.shortened(F.col("text"), 500, "").alias("head"))
+
+
+@query(f"""WITH p AS (SELECT event_id, CASE WHEN raw[1] = '{{' THEN raw END::JSON AS j FROM (SELECT event_id, {_RESPONSE} AS raw FROM events)), f AS (SELECT *, {_duck_lookup(jsonx.TRADE_PATHS)} AS n FROM p)
+SELECT event_id, array_to_string(list_sort(json_keys(j)), ',') AS names, CASE WHEN json_type(j, '$.status') IS NULL THEN 'unknown' WHEN json_type(j, '$.status') = 'VARCHAR' THEN j->>'$.status' ELSE (j->'$.status')::VARCHAR END AS status, coalesce(try_cast(n AS INT), 0) AS trades FROM f""")
+def response_fields(spark, sf_dir):
+    e = _events(spark, sf_dir).select("event_id", F.expr(_RESPONSE).alias("raw"))
+    return e.select("event_id", F.array_join(jsonx.keys(F.col("raw")), ",").alias("names"), jsonx.get(F.col("raw"), "$.status", F.lit("unknown")).alias("status"), jsonx.total_trades(F.col("raw")).alias("trades"))
 
 
 @query("SELECT event_id, event_type || chr(10) || props || chr(10) || user_id AS text FROM events")
@@ -181,7 +273,7 @@ def ordered_distinct(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("user_id").agg(rows.alias("r")).select("user_id", F.array_join(text.ordered_distinct(F.transform("r", lambda x: F.concat(F.lit(" "), x["event_type"], F.lit("\t")))), ",").alias("types"))
 
 
-@query("SELECT user_id, string_agg(event_type, chr(10) ORDER BY event_type) AS fingerprint FROM events GROUP BY user_id")
+@query("SELECT user_id, list(event_type ORDER BY event_type) AS fingerprint FROM events GROUP BY user_id")
 def error_fingerprint(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("user_id").agg(revision.fingerprint(F.collect_list("event_type")).alias("fingerprint"))
 
@@ -412,10 +504,14 @@ def trade_count(spark, sf_dir):
     return tables.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("trades"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
 
 
-@query("SELECT event_id, strftime(ts - INTERVAL 5 HOUR, '%H:%M') AS clock FROM events WHERE ts < TIMESTAMP '2024-02-01'")
+#: Daylight saving time holds from the second Sunday of March, 7:00 UTC, to the first of November, 6:00 UTC.
+_SUNDAY = "make_date(year(ts)::INT, {0}, {1}) + ((7 - dayofweek(make_date(year(ts)::INT, {0}, {1}))) % 7)::INT + INTERVAL {2} HOUR"
+
+
+@query(f"SELECT event_id, strftime(ts - CASE WHEN ts >= {_SUNDAY.format(3, 8, 7)} AND ts < {_SUNDAY.format(11, 1, 6)} THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END, '%m-%d %H:%M') AS clock FROM (SELECT event_id, ts + to_days((event_id % 400)::INT) AS ts FROM events)")
 def local_clock(spark, sf_dir):
-    e = _events(spark, sf_dir).where(F.col("ts") < F.lit("2024-02-01").cast("timestamp_ntz"))
-    return e.select("event_id", F.date_format(schedule.local_time(F.col("ts")), "HH:mm").alias("clock"))
+    e = _events(spark, sf_dir).select("event_id", F.timestamp_add("DAY", (F.col("event_id") % 400).cast("int"), F.col("ts")).alias("ts"))
+    return e.select("event_id", F.date_format(schedule.local_time(F.col("ts")), "MM-dd HH:mm").alias("clock"))
 
 
 @query("SELECT event_id, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS held FROM events")
@@ -428,3 +524,39 @@ def running_book(spark, sf_dir):
 def build_prompts(spark, sf_dir):
     errors = F.when(F.col("event_id") % 2 == 0, F.array("event_type"))
     return _events(spark, sf_dir).select("event_id", text.code_prompt(F.col("props")).alias("code"), text.retry_prompt(F.col("props"), errors).alias("retry"))
+
+
+_PICKS = f"SELECT *, CASE snapshot % 3 WHEN 0 THEN 'ATM' WHEN 1 THEN 'OTM' ELSE 'delta' END AS method, l AS line FROM (SELECT c.*, row_number() OVER (PARTITION BY snapshot ORDER BY strike, delta, kind) AS l FROM ({_CONTRACTS}) c)"
+
+
+@query(f"""SELECT snapshot, strike, delta FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY (method = 'delta' AND delta IS NOT NULL)::INT DESC,
+CASE WHEN method = 'delta' AND delta IS NOT NULL THEN abs(abs(delta) - 0.05) WHEN method = 'ATM' THEN abs(strike - 25) ELSE abs(strike - 25 * 1.05) END, strike, coalesce(delta, -1)) AS n FROM ({_PICKS})) WHERE n = 1""")
+def strike_pick(spark, sf_dir):
+    c = _contracts(spark, sf_dir).withColumn("tie", F.coalesce("delta", F.lit(-1.0)))
+    method = F.when(F.col("snapshot") % 3 == 0, "ATM").when(F.col("snapshot") % 3 == 1, "OTM").otherwise("delta")
+    return chain.pick(c, ["snapshot"], method, "strike", F.lit(25.0), F.lit(0.05), F.col("delta"), F.lit(0.05), ["tie"]).select("snapshot", "strike", "delta")
+
+
+@query("SELECT l_orderkey, count(*) AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate::DATE - o_orderdate::DATE BETWEEN 0 AND 7 GROUP BY l_orderkey")
+def expiry_bound(spark, sf_dir):
+    lines, orders = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate"), tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).where(chain.expires_within(F.col("l_shipdate"), F.col("o_orderdate"), 0, 7)).groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+
+
+@query("SELECT event_id FROM events WHERE ts::DATE IN (SELECT ts::DATE FROM events GROUP BY 1 HAVING max(value) > 200)")
+def high_volatility(spark, sf_dir):
+    d = _days(spark, sf_dir)
+    return d.select("event_id", "day").join(schedule.volatile_days(d, "day", "value", 200.0), "day", "left_semi").select("event_id")
+
+
+@query("SELECT event_id, round(1000 + sum(CASE WHEN event_type = 'error' THEN -value ELSE value END) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS equity, value >= 20 AND value <= 100 AS allowed FROM events")
+def equity_and_margin(spark, sf_dir):
+    flow = F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value"))
+    return _events(spark, sf_dir).select("event_id", F.round(money.running_equity(["user_id"], ["ts", "event_id"], flow, 1000.0), 4).alias("equity"), money.margin_allows(F.col("value"), F.lit(100.0), 0.2).alias("allowed"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'limit' ELSE 'market' END AS kind, user_id % 5 - event_id % 3 AS quantity FROM events WHERE user_id % 5 <> event_id % 3")
+def order_kinds(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    o = schedule.orders(F.col("event_id") % 3, F.col("user_id") % 5, F.when(F.col("event_type") == "view", F.lit(1.5)))
+    return e.select("event_id", o.alias("o")).where("o IS NOT NULL").select("event_id", "o.*")

@@ -42,7 +42,8 @@ def test_extract_code(spark):
 def test_ids_and_errors(spark):
     assert each(spark, ["backtestId: 'ab12'", '{"backtestId" : "F0"}', "backtestId: ab12", "backtestId='xyz'"], text.backtest_id) == ["ab12", "F0", None, None]
     found = each(spark, ["Error: one\nline 3: two", "CS0103 gone", "ERROR:\ttail", "fine", "error: a\rb\n"], text.error_messages)
-    assert found == [["one", "line 3: two"], ["CS0103 gone"], ["tail"], [], ["a\rb"]]
+    assert found == [["one", "two"], ["gone"], ["tail"], [], ["a\rb"]]
+    assert each(spark, ["at line 3 two\nline 4", "CS1", "error\n\n: x", "CS7: y\nerror y"], text.error_messages) == [["two"], [], ["x"], ["y"]]
 
 
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -66,9 +67,9 @@ def test_safe_object(spark):
 
 
 def test_compile_errors(spark):
-    raws = ['{"errors": ["x", " x ", 5]}', '{"errors": "solo"}', '{"compile": {"logs": "one text"}}', '{"state": "BuildError", "message": "m", "error": "e"}', '{"message": "m"}', "Error: plain\n", "[1]", "", None]
+    raws = ['{"error": null}', '{"error": ["x","y"]}', '{"errors": [null, true]}', '{"error": "null"}', '{"errors": ["x", " x ", 5]}', '{"errors": "solo"}', '{"compile": {"logs": "one text"}}', '{"state": "BuildError", "message": "m", "error": "e"}', '{"message": "m"}', "Error: plain\n", "[1]", "", None]
     none = [text.NO_ERROR_TEXT]
-    assert each(spark, raws, jsonx.compile_errors) == [["x", "5"], ["solo"], ["one text"], ["e", "m"], none, ["plain"], none, none, none]
+    assert each(spark, raws, jsonx.compile_errors) == [["None"], ['["x","y"]'], ["None", "True"], ["null"], ["x", "5"], ["solo"], ["one text"], ["e", "m"], none, ["plain"], none, none, none]
 
 
 def test_looks_complete(spark):
@@ -85,6 +86,39 @@ def test_status_rules(spark):
 def test_response_rules(spark):
     raws = ["Error executing tool read_backtest: x", '{"error": "x", "status": "Completed"}', '{"status": "Completed"}', '{"status": "Failed", "statistics": {"a": 1}}', '{"status": "Running", "charts": [1]}', '{"status": "Running"}', "Error executing tool other"]
     assert each(spark, raws, polling.classify_response) == ["fail", "fail", "ok", "fail", "ok", None, None]
+    raws = ['{"status": 5, "charts": [1]}', "{'status': 'Completed', 'error': None}", '{"error": "false"}', '{"backtest": null}', '{"status": "x", "backtest": null}', '{"result": "x"}', '{"orders": "0"}', '{"a": 1, "a": 2, "state": "finished"}', '{"status": "Completed"} x', None]
+    assert each(spark, raws, polling.classify_response) == ["fail", "ok", "fail", "fail", None, "fail", "ok", "ok", None, None]
+
+
+def test_envelope(spark):
+    rows = [
+        ("nope", "{}", "{}", None, None), ("read", "[1]", "{}", None, None), ("read", "", '{"a":1}', None, None), ("make", '{"projectId":1}', '{"id":"r"}', "ok", '{"x":1}'), ("make", '{"projectId":1}', "nothing", None, None),
+        ("make", "", "backtestId='ab'", None, None), ("make", '{"projectId":1}', '{"backtest":3}', None, None), ("make", '{"projectId":1}', '{"id":"r"}', "timeout", None), ("make", '{"projectId":1}', '{"id":"r"}', "fail", '{"error":"e"}'), ("make", '{"model":{"projectId":1}}', '{"id":"r"}', None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, tool string, arguments string, raw string, polled string, report string")
+    e = polling.envelope(*[F.col(c) for c in ("tool", "arguments", "raw")], F.array(F.lit("make"), F.lit("read")), F.col("polled"), F.col("report"), start="make")
+    got = [(r.e.ok, r.e.error, r.e.data) for r in df.select("i", e.alias("e")).orderBy("i").collect()]
+    assert got == [
+        (False, "Tool 'nope' not in list", None), (False, "arguments are not an object", None), (True, None, '{"a":1}'), (True, None, '{"x":1}'), (False, "No backtestId", "{}"),
+        (False, "No projectId", "{}"), (False, "response is of another shape", None), (False, "Backtest timeout", None), (False, "e", '{"error":"e"}'), (None, None, '{"id":"r"}'),
+    ]
+
+
+def test_pick_and_specs(spark):
+    df = spark.createDataFrame([("a", 90.0, None), ("a", 104.0, -0.3), ("a", 111.0, 0.1), ("b", 101.0, None), ("b", 106.0, None)], "g string, strike double, delta double")
+    strikes = lambda method: {r.g: r.strike for r in chain.pick(df, ["g"], F.lit(method), "strike", F.lit(100.0), F.lit(0.05), F.col("delta"), F.lit(0.25), []).collect()}
+    assert strikes("ATM") == {"a": 104.0, "b": 101.0} and strikes("OTM") == {"a": 104.0, "b": 106.0} and strikes("delta") == {"a": 104.0, "b": 106.0}
+    one = spark.range(1).select(
+        schedule.valid_spec(F.lit("straddle"), F.array(F.lit("x")), filters=F.array(F.lit("f"), F.lit("g"))).alias("two_filters"), schedule.valid_spec(F.lit("straddle"), F.array(F.lit("x")), exit_time=F.lit("15:45")).alias("early"),
+        schedule.gate(F.lit(False), F.lit(False), F.lit(True), F.lit(1), F.lit(None)).alias("gate"), text.shortened(F.lit("abcd"), 2).alias("cut"), revision.fingerprint(F.array(F.lit("a\nb"))).alias("f"),
+        text.zero_trades_prompt(F.lit("c"), F.lit(None), ("one", "two")).alias("p"),
+    ).first()
+    assert one[:5] == (False, True, "no contract", "ab...", ["a\nb"]) and "Likely causes:\n1. one\n2. two\n" in one.p
+
+
+def test_clock_in_summer_and_winter(spark):
+    got = spark.sql("SELECT explode(array(TIMESTAMP_NTZ'2024-03-10 06:59:00', TIMESTAMP_NTZ'2024-03-10 07:00:00', TIMESTAMP_NTZ'2024-11-03 05:59:00', TIMESTAMP_NTZ'2024-11-03 06:00:00')) AS ts").select(F.date_format(schedule.local_time(F.col("ts")), "HH:mm").alias("c"))
+    assert [r.c for r in got.collect()] == ["01:59", "03:00", "01:59", "01:00"]
 
 
 def polls(spark, runs):
@@ -209,7 +243,7 @@ def streamed(spark, df, fn, folder):
         time.sleep(1.1)
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     q = fn(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(300)
+    assert q.awaitTermination(100)
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -219,11 +253,31 @@ def test_streams_are_batches(spark, rocks, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     p = events.select(F.col("user_id").cast("string").alias("run"), "ts", "event_id", F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "fail").alias("verdict"))
     want = polling.poll_until_terminal(p, "run", ["ts", "event_id"], F.col("verdict"), limit=3).where("outcome <> 'timeout' OR polls = 3")
-    got = streamed(spark, p, lambda s: streams.first_terminal(s, 3), tmp_path / "a")
+    got = streamed(spark, p, lambda s: streams.first_terminal(s, 3, keep=None), tmp_path / "a")
     key = lambda d: sorted(map(str, ((r.run, r.outcome, r.polls, r.event_id) for r in d.collect())))
     assert key(got) == key(want)
     s = events.select(F.col("user_id").cast("string").alias("symbol"), "ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("snapshot"))
     want = s.withColumn("day", F.to_date("ts")).select("event_id", chain.last_non_empty(["symbol", "day"], ["ts", "event_id"], F.col("snapshot")).alias("snapshot"))
-    got = streamed(spark, s, streams.last_non_empty, tmp_path / "b")
+    got = streamed(spark, s, lambda x: streams.last_non_empty(x, keep=None), tmp_path / "b")
     key = lambda d: sorted((r.event_id, str(r.snapshot)) for r in d.collect())
     assert key(got) == key(want)
+
+
+def test_streamed_fold_is_the_batch(spark, rocks, tmp_path):
+    from millrace.streaming import revisions
+
+    cases = {f"{k} {n}": (steps, None) for k, (steps, _) in FOLDS.items() for n in (1, 2)}
+    df = attempts(spark, cases)
+    ended = {r.run: tuple(r) for r in revision.fold(df, "run").collect() if r.outcome != "exhausted" or len(cases[r.run][0]) >= 3}
+    got = streamed(spark, df.withColumn("event_id", F.col("attempt").cast("double")), lambda s: revisions.fold(s, keep=None), tmp_path / "f")
+    assert {r.run: tuple(r) for r in got.collect()} == ended
+
+
+def test_runs_time_out_by_event_time(spark, rocks, tmp_path):
+    from millrace.streaming import polls as streams
+
+    rows = [("a", 0, 1, None), ("b", 10, 2, "ok"), ("a", 400, 3, None), ("c", 10_000, 4, None), ("d", 20_000, 5, "fail"), ("d", 20_001, 6, "ok")]
+    df = spark.createDataFrame(rows, "run string, at long, event_id long, verdict string").select("run", F.timestamp_seconds(F.col("at") + 1_000_000).alias("ts"), "event_id", "verdict")
+    got = streamed(spark, df, lambda s: streams.first_terminal(s, 60, patience=800_000), tmp_path / "t")
+    found = {r.run: (r.outcome, r.polls) for r in got.collect()}
+    assert {k: found.get(k) for k in "abcd"} == {"a": ("timeout", 2), "b": ("ok", 1), "c": ("timeout", 1), "d": ("fail", 1)}
