@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index of each training shard, searched for the test items' phrases.
 
-A shard is a run of documents of a few million characters, and all its words are indexed: its text is the sequence of the numbers its words
+A shard is a run of documents of some two million characters, or one longer document, and all its words are indexed: its text is the sequence of the numbers its words
 have in the shard's own vocabulary, a document's end being an end that no phrase goes across.
 """
 
@@ -18,7 +18,7 @@ from .common import Tokens, chunks, free, map_batches, quoted
 #: Words of a phrase; shorter items are searched whole, from MIN_WORDS on.
 PHRASE, MIN_WORDS = 8, 1
 #: Distance of sampled suffix positions; characters of a shard.
-SAMPLE, SHARD_CHARS = 16, 8_000_000
+SAMPLE, SHARD_CHARS = 16, 2_000_000
 #: Bytes of benchmark text that the driver and a task hold at once; a larger benchmark is searched in parts, each over all documents.
 PART_BYTES = 16_000_000
 _WORD = 64
@@ -195,6 +195,8 @@ def find(texts: list[str | None], phrases: Phrases) -> list[list[tuple[int, int,
     """For each text of a shard the merged spans (start, end, items) that the phrases cover, in characters."""
     out: list[list[tuple[int, int, list[int]]]] = [[] for _ in texts]
     parts = [(first, Tokens(run)) for first, run in chunks(texts)]
+    for _, t in parts:
+        t.cp = t.inside = None  # only words are needed from here on
     if not sum(len(t.hash) for _, t in parts) or not len(phrases.items):
         return out
     text, token, known = shard_text([t for _, t in parts])
