@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -588,6 +589,58 @@ def test_least_distance_is_at_most_the_distance():
         assert editembed.least_distance(a, b) <= _levenshtein(a, b)
 
 
+def test_blocks_refuse_no_pair_within_the_threshold():
+    """At rates of edits about the threshold, words moved too: what blocks refuse is beyond it, and clear cases are refused before any whole distance is computed."""
+    random.seed(12)
+    pairs, refusable = [], 0
+    for i in range(120):
+        words = [f"w{random.randrange(2000)}" for _ in range(random.randrange(5, 300))]
+        a = " ".join(words)
+        if i % 3 == 0:
+            cut = len(words) // 10
+            words = words[cut:] + words[:cut]
+        rate = random.choice((0.0, 0.02, 0.08, 0.1, 0.12, 0.3))
+        b = _with_character_edits(" ".join(words), rate)
+        pairs.append((a, b, int(0.1 * max(len(a), len(b)))))
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    refused = editembed._refused([(codes(a), codes(b), most) for a, b, most in pairs])
+    for (a, b, most), no in zip(pairs, refused):
+        d = editembed.edit_distance(a, b)
+        assert d > most or not no
+        refusable += no
+        bound = editembed.distance_bound(a, b, most)
+        assert (bound if bound <= most else d) >= d
+    assert refusable > 30
+    got = editembed.similarities([editembed.pack(a) for a, _, _ in pairs], [editembed.pack(b) for _, b, _ in pairs])
+    for (a, b, most), score in zip(pairs, got):
+        longer = max(len(a), len(b))
+        d = editembed.edit_distance(a, b)
+        assert score <= 1 - d / longer + 1e-12 and (score >= editembed.THRESHOLD - 1e-12) == (d <= 0.1 * longer + 1e-9)
+    assert not len(editembed.similarities([], []))
+
+
+def test_lengths_that_the_threshold_rules_out_share_no_bucket():
+    """Texts of one fingerprint and 1 to 3,000 characters: each two that may be alike meet in all bands, such as differ by more than a window in none."""
+    prints = np.tile(np.arange(editembed.WALKS + 1, dtype=np.uint32), (3001, 1))
+    prints[:, editembed.WALKS] = np.arange(3001)
+    for threshold in (0.5, 0.9, 1.0):
+        found, row = editembed.buckets(prints, threshold)
+        own = [set() for _ in range(3001)]
+        for b, r in zip(found.tolist(), row.tolist()):
+            own[r].add(b)
+        for n in range(1, 3001):
+            least = math.ceil(threshold * n - 1e-9)
+            assert all(len(own[n] & own[k]) >= editembed.WALKS for k in {least, (least + n) // 2, n})
+            if threshold > 0.5 and (k := int(n * threshold**editembed.WINDOW * 0.99)):
+                assert k == n or not own[n] & own[k]
+        assert len(found) < 1.4 * editembed.WALKS * 3001 or threshold == 1.0
+    planes = editembed._planes(prints)
+    assert (editembed._prints(pa.array([r.tobytes() for r in planes], pa.binary())) == prints).all()
+    other = prints[::-1] ^ np.uint32(0x50000)
+    other[:, editembed.WALKS] = prints[::-1, editembed.WALKS]
+    assert (editembed.estimate_planes(planes[:, : editembed.PLANE], editembed._planes(other)[:, : editembed.PLANE], 0.9) >= editembed.estimate(prints, other, 0.9)).all()
+
+
 
 # --- Pipeline
 
