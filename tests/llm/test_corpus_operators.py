@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -381,6 +382,29 @@ def test_hot_bucket_of_unlike_texts(spark):
     assert [(r.a, r.b) for r in edges] == [(1234, 2999)]
 
 
+def test_contents_that_come_twice_and_pivots_with_many_pairs(spark, monkeypatch):
+    """Repeats of a content give no second edge, and the pairs of one pivot are verified in several shares, all of them."""
+    monkeypatch.setattr(grouping, "SHARE", 3)
+    pairs = common.stored(spark.createDataFrame([(0, i) for i in range(1, 40)] + [(1, 2), (5, 7)], "a long, b long"))
+    content = lambda keys: keys.unionByName(keys).selectExpr("key", "CAST(CAST(key AS STRING) AS BINARY) AS content")
+    rows = grouping._verified(pairs, content, lambda a, b: float(int(b) - int(a))).collect()
+    assert sorted(map(tuple, rows)) == sorted((a, b, float(b - a)) for a, b in map(tuple, pairs.collect()))
+
+
+def test_shuffle_files_go_with_their_tables(spark):
+    """Nothing of what was shuffled for a table is on disk once the table is discarded, or while the next part of it is written."""
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    common.sweep(spark)
+    time.sleep(1)
+    before = files()
+    common.discard(common.stored(*[spark.range(100_000).repartition(8, "id") for _ in range(2)]))
+    left = []
+    while len(left) < 50 and (not left or left[-1] > before):
+        time.sleep(0.1)
+        left.append(files())
+    assert left[-1] <= before
+
+
 def test_anchor_weights_count_all_texts(spark, documents):
     """Against a plain count; a run of characters that every text has weighs less, and copies are told by what is left."""
     texts = [f"common opening {i} " + " ".join(f"w{i * 37 % 1009 + k}" for k in range(60)) for i in range(300)]
@@ -641,6 +665,18 @@ def test_lengths_that_the_threshold_rules_out_share_no_bucket():
     assert (editembed.estimate_planes(planes[:, : editembed.PLANE], editembed._planes(other)[:, : editembed.PLANE], 0.9) >= editembed.estimate(prints, other, 0.9)).all()
 
 
+def test_second_bytes_tell_numbers_apart():
+    """Two bytes of each number estimate as whole numbers do where these differ in the second byte; the lowest ones alone say more."""
+    prints = np.random.default_rng(3).integers(0, 2**32, (200, editembed.WALKS + 1)).astype(np.uint32)
+    prints[:, editembed.WALKS] = 500
+    other = prints.copy()
+    other[:, ::3] ^= np.uint32(0x300)
+    other[:, editembed.WALKS] = 500
+    a, b = editembed._planes(prints), editembed._planes(other)
+    assert np.allclose(editembed.estimate_planes(a[:, : editembed.FINE], b[:, : editembed.FINE]), editembed.estimate(prints, other)) and (editembed.estimate(prints, other) < 0.7).all()
+    assert (editembed.estimate_planes(a[:, : editembed.PLANE], b[:, : editembed.PLANE]) == 1).all()
+
+
 
 # --- Pipeline
 
