@@ -311,7 +311,8 @@ def collisions(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     spark = docs.sparkSession
     real = stored(entities(docs).select("kind", "value").distinct())
     first = stored(_surrogates(real, key, 0))
-    listed = spark.createDataFrame([("given", n) for n in _LEXICON], "kind string, value string")
+    # Tables of Arrow are made without Python workers, which would stay beside those of the operators.
+    listed = spark.createDataFrame(pa.table({"kind": ["given"] * len(_LEXICON), "value": list(_LEXICON)}), "kind string, value string")
     known = real.unionByName(listed).withColumnRenamed("value", "new")
     twice = first.groupBy("kind", "new").agg(F.count("*").alias("n")).where("n > 1")
     bad = first.join(known, ["kind", "new"], "left_semi").unionByName(first.join(twice, ["kind", "new"], "left_semi"))
@@ -329,7 +330,7 @@ def collisions(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         taken = taken.unionByName(found.select("kind", "new"))
         open_ = stored(open_.join(found, ["kind", "value"], "left_anti"))
-    return out if out is not None else spark.createDataFrame([], "kind string, value string, new string")
+    return out if out is not None else spark.createDataFrame(pa.table({c: pa.array([], pa.string()) for c in ("kind", "value", "new")}), "kind string, value string, new string")
 
 
 def _replaced(docs: DataFrame, key: bytes) -> tuple[DataFrame, str, str]:

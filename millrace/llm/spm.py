@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -33,8 +34,8 @@ BATCH_CHARS = 2_000_000
 THREADS = 2
 #: Words whose pieces a worker remembers; when there are more, it starts anew.
 CACHE_WORDS = 250_000
-#: Unseen words are handed to the library in texts of so many.
-JOINED = 256
+#: Unseen words are handed to the library in texts of so many, and so many of these texts at once.
+JOINED, LEARNED = 256, 16
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -143,6 +144,12 @@ def splits_at_blanks(m: Model) -> bool:
     return plain and not any(kind == USER or kind == 1 and MARK in p.lstrip(MARK) for p, _, kind in m.pieces)
 
 
+def _joined(parts: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of parts (large binaries) one after the other as they lie in Arrow's buffer, and where each begins, the end being last."""
+    ends = np.frombuffer(parts.buffers()[1], np.int64)[: len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
+    return memoryview(parts.buffers()[2] or b"")[: ends[-1]], ends
+
+
 class Coder:
     """A tokenizer and the words it has coded."""
 
@@ -157,9 +164,7 @@ class Coder:
         # What each id stands for in a text; none for those whose decoding is the library's business.
         plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind == 1 else None for p, _, kind in m.pieces]
         self.strip, self.plain = m.dummy_prefix, np.array([x is not None for x in plain])
-        self.size = np.array([len(x or b"") for x in plain], np.int64)
-        self.at = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(x or b"" for x in plain), np.uint8)
+        self.pieces = pa.array([x or b"" for x in plain], pa.large_binary())
 
     def _learn(self, words: list[str]) -> None:
         """Adds words to known: marked and joined into long texts; each opens with the only marked piece it has."""
@@ -167,72 +172,60 @@ class Coder:
         if len(plain) < len(words):
             rest = [w for w in words if not w or MARK in w]
             self.known.update(zip(rest, self._whole(rest)))
-        texts = [MARK + f" {MARK}".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
-        parts = [np.array(c.ids, np.int32) for c in self.words.encode_batch_fast(texts, add_special_tokens=False)]
-        if parts:
-            ids = np.concatenate(parts)
+        for k in range(0, len(plain), JOINED * LEARNED):
+            some = plain[k : k + JOINED * LEARNED]
+            texts = [MARK + f" {MARK}".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)]
+            ids = np.concatenate([np.array(c.ids, np.int32) for c in self.words.encode_batch_fast(texts, add_special_tokens=False)])
             cuts = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
             raw = ids.tobytes()
-            self.known.update(zip(plain, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(c.ids, np.int32).tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has; a null text has none. Words stay in Arrow's buffers but for those that are new."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
         if not self.by_word:
-            coded = self._whole(texts)
+            coded = self._whole(column.to_pylist())
             return np.frombuffer(b"".join(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        odd = [i for i, t in enumerate(texts) if "  " in t or t[:1] == " " or t[-1:] == " "]
-        special = dict(zip(odd, self._whole([texts[i] for i in odd]))) if odd else {}
-        words: list[str] = []
-        count = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if i not in special and t:
-                part = t.split(" ")
-                count[i] = len(part)
-                words += part
-        column = pa.array(words, pa.large_string()).dictionary_encode()
+        odd = pc.or_(pc.match_substring(column, "  "), pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " ")))
+        plain = pc.and_not(pc.greater(pc.binary_length(column), 0), odd)
+        words = pc.split_pattern(column.filter(plain), " ")
+        count = np.zeros(len(column), np.int64)
+        count[plain.to_numpy(zero_copy_only=False)] = words.value_lengths().to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
         del words
-        unique, index = column.dictionary.to_pylist(), column.indices.to_numpy(zero_copy_only=False)
+        unique = coded.dictionary.to_pylist()
         if len(self.known) + len(unique) > CACHE_WORDS:
             self.known.clear()
         self._learn([w for w in unique if w not in self.known])
-        coded = [self.known[w] for w in unique]
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), np.int32)
-        begin = np.cumsum(size) - size
-        per_word = size[index]
-        ends = np.cumsum(per_word)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(begin[index] - (ends - per_word), per_word)]
-        sums = np.concatenate(([0], ends))
+        ids, ends = _joined(pa.array([self.known[w] for w in unique], pa.large_binary()).take(coded.indices))
+        ids, ends = np.frombuffer(ids, np.int32), ends // 4
         stop = np.cumsum(count)
-        sizes = sums[stop] - sums[stop - count]
+        sizes = ends[stop] - ends[stop - count]
+        special = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
         if special:
+            whole = dict(zip(special, self._whole(column.filter(odd).to_pylist())))
             cuts = np.concatenate(([0], np.cumsum(sizes)))
-            parts = [np.frombuffer(special[i], np.int32) if i in special else ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+            parts = [np.frombuffer(whole[i], np.int32) if i in whole else ids[cuts[i] : cuts[i + 1]] for i in range(len(column))]
             sizes = np.fromiter(map(len, parts), np.int64, len(parts))
             ids = np.concatenate(parts)
         return ids, sizes
 
-
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """Texts of ids, of which each has so many: the pieces' bytes one after the other, or where these are not a text's, what the library makes of them."""
         stop = np.cumsum(sizes)
-        size = self.size[ids]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        data = self.bytes[np.arange(total) + np.repeat(self.at[ids] - (end - size), size)].tobytes()
-        cuts = np.concatenate(([0], end))[np.concatenate(([0], stop))]
-        odd = np.concatenate(([0], np.cumsum(~self.plain[ids])))
+        data, ends = _joined(self.pieces.take(pa.array(ids)))
+        cuts = ends[np.concatenate(([0], stop))]
+        odd = np.concatenate(([0], np.cumsum(~self.plain[ids], dtype=np.int32)))
         out = []
         for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
             begin = int(stop[k] - sizes[k])
             text = None
             if odd[stop[k]] == odd[begin]:
                 try:
-                    text = data[a:b].decode()
+                    text = str(data[a:b], "utf-8")
                 except UnicodeDecodeError:
                     pass  # bytes that make no character
             if text is None:
@@ -256,22 +249,23 @@ def load(path: str) -> Coder:
     return _built[path]
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
     first = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t or "") > BATCH_CHARS:
+    size = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    for i, n in enumerate(size):
+        if total and total + n > BATCH_CHARS:
             yield first, i
             first, total = i, 0
-        total += len(t or "") + 1
-    if first < len(texts):
-        yield first, len(texts)
+        total += n + 1
+    if first < len(size):
+        yield first, len(size)
 
 
-def _encode_column(coder: Coder, texts: list[str | None]) -> Iterator[tuple[int, int, pa.Array]]:
+def _encode_column(coder: Coder, texts: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
     for a, b in _runs(texts):
-        part = texts[a:b]
-        ids, sizes = coder.encode([x or "" for x in part])
-        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=np.array([x is None for x in part] + [False]) if None in part else None)
+        part = texts.slice(a, b - a)
+        ids, sizes = coder.encode(part)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=np.append(part.is_null().to_numpy(zero_copy_only=False), False) if part.null_count else None)
         yield a, b, pa.ListArray.from_arrays(offsets, pa.array(ids))
 
 
@@ -301,7 +295,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         coder = load(model)
-        for a, b, ids in _encode_column(coder, batch.column(1).to_pylist()):
+        for a, b, ids in _encode_column(coder, batch.column(1)):
             yield pa.record_batch([batch.column(0).slice(a, b - a), ids, ids.value_lengths()], names=["doc_id", "ids", "n_tokens"])
 
     return map_arrow(_input(docs), run, SCHEMA)
@@ -327,10 +321,10 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     verify(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        coder, texts = load(model), batch.column(1).to_pylist()
+        coder, texts = load(model), batch.column(1)
         for a, b, ids in _encode_column(coder, texts):
             back = _decode_column(coder, ids)
-            same = [None if t is None else t.replace(MARK, " ") == u for t, u in zip(texts[a:b], back.to_pylist())]
-            yield pa.record_batch([batch.column(0).slice(a, b - a), ids, ids.value_lengths(), back, pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "text", "same"])
+            same = pc.equal(pc.replace_substring(texts.slice(a, b - a), MARK, " "), back)
+            yield pa.record_batch([batch.column(0).slice(a, b - a), ids, ids.value_lengths(), back, same], names=["doc_id", "ids", "n_tokens", "text", "same"])
 
     return map_arrow(_input(docs), run, ROUND_TRIP)

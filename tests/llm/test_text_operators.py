@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -349,6 +351,41 @@ def test_sentencepiece_small_cache(monkeypatch):
         assert ids.tolist() == [i for t in other.encode(texts) for i in t]
 
 
+#: Pools must outlive what lies in them.
+POOLS: list[pa.MemoryPool] = []
+
+
+def test_sentencepiece_memory_is_a_few_times_the_text():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(vocabulary, k=3000)) for _ in range(100)]
+    coder = spm.load(spm.MODEL)
+    coder.encode(texts[:1])
+    default = pa.default_memory_pool()
+    peaks = []
+    for step in (coder.encode, coder.decode):
+        given = (texts,) if step == coder.encode else result
+        POOLS.append(pool := pa.proxy_memory_pool(default))
+        pa.set_memory_pool(pool)  # Arrow's memory counts too
+        tracemalloc.start()
+        result = step(*given)
+        peaks.append((tracemalloc.get_traced_memory()[1] + pool.max_memory()) / sum(map(len, texts)))
+        tracemalloc.stop()
+        pa.set_memory_pool(default)
+    assert result == texts and peaks[0] < 11 and peaks[1] < 20, peaks
+
+
+def test_surrogates_need_no_second_set_of_workers(spark, monkeypatch):
+    from pyspark import SparkContext
+
+    from millrace.llm import pii
+
+    docs = spark.createDataFrame([(1, "Write to Anna Keller at a.keller@example.com")], "doc_id bigint, text string").cache()
+    docs.count()
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **k: pytest.fail("rows go through Python workers"))
+    assert pii.collisions(docs).count() >= 0
+
+
 def _message(*fields):
     out = b""
     for number, value in fields:
