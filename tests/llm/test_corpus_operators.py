@@ -605,6 +605,95 @@ def test_walks_of_very_long_texts_stay_at_their_anchors():
     assert editembed.estimate(editembed.fingerprints([" ".join(words)]), editembed.fingerprints([" ".join(copy)]))[0] > 0.95
 
 
+def test_short_texts_are_compared_without_bands(monkeypatch):
+    """Distances of short texts are those of bands, at any bound, and make none; both are right about texts at the limit too."""
+    random.seed(14)
+    pairs = [("", ""), ("", "é"), ("a" * editembed.SHORT, "a" * editembed.SHORT + "b"), ("\ud800x", "x\ud800")]
+    for _ in range(150):
+        a = "".join(random.choice("abé\U0001f600") for _ in range(random.choice((3, 30, 64, 65, editembed.SHORT))))
+        b = _with_character_edits(a, 0.1) if random.random() < 0.6 else "".join(random.choice("abé\U0001f600") for _ in range(random.randrange(editembed.SHORT + 1)))
+        pairs.append((a, b))
+    want = [_levenshtein(a, b) for a, b in pairs]
+    for limit in (editembed.SHORT, 0):
+        monkeypatch.setattr(editembed, "SHORT", limit)
+        for (a, b), d in zip(pairs, want):
+            assert editembed.edit_distance(a, b) == d
+            for most in (0, 1, 5, d, 60):
+                assert editembed.edit_distance(a, b, most) == (d if d <= most else None)
+    monkeypatch.undo()
+    monkeypatch.setattr(editembed, "_banded", None)
+    assert [editembed.edit_distance(a, b) for a, b in pairs if max(len(a), len(b)) <= editembed.SHORT] == [d for (a, b), d in zip(pairs, want) if max(len(a), len(b)) <= editembed.SHORT]
+
+
+def test_runs_place_texts_by_what_each_has_once(monkeypatch):
+    """Runs of characters that a text repeats place nothing; between those that place it, both texts are equal. Hashes don't depend on how many are made at once."""
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    random.seed(15)
+    for _ in range(60):
+        words = [f"w{random.randrange(60)}" for _ in range(random.randrange(4, 200))]
+        a, b = " ".join(words), " ".join(w if random.random() > 0.1 else "zz" for w in words)
+        gaps, at = editembed._gaps(codes(a), codes(b)), (0, 0)
+        for i, j, k, m in gaps:
+            assert a[at[0] : i] == b[at[1] : k] and i <= j and k <= m
+            at = j, m
+        assert at == (len(a), len(b))
+    repeated = "one and the same line. " * 5
+    assert editembed._gaps(codes(repeated), codes("x" + repeated)) == [(0, len(repeated), 0, len(repeated) + 1)]
+    text = codes("".join(random.choice("abcdefgh") for _ in range(1000)))
+    want = [editembed._grams(text, w) for w in (1, 5, 8, 12)]
+    for cached in (1, 7, 999, 1000):
+        monkeypatch.setattr(editembed, "CACHED", cached)
+        assert all((editembed._grams(text, w) == h).all() for w, h in zip((1, 5, 8, 12), want))
+
+
+@pytest.mark.parametrize("width", [1, 3, None])
+def test_groups_share_their_estimates(width):
+    """Each key's best pairs across components, for 300 groups at once and with few calls; ties go to the first row."""
+    rng = np.random.default_rng(16)
+    size = rng.integers(1, 12, 300)
+    group = np.repeat(np.arange(300), size)
+    n = len(group)
+    root, block = rng.integers(0, 4, n), np.where(group % 2 == 0, -1, rng.integers(0, 2, n))
+    sketch = rng.integers(0, 3, (n, 6)).astype(np.uint8)
+    calls = []
+
+    def estimate(a, b):
+        calls.append(len(a))
+        return (a == b).mean(axis=1)
+
+    pairs, cut = grouping._joining(sketch, root, estimate, 0.3, width, block, group)
+    assert len(calls) <= 2 and len(set(map(tuple, pairs.tolist()))) == len(pairs)
+    want, more = set(), set()
+    for g in range(300):
+        rows = np.flatnonzero(group == g).tolist()
+        roots = root[rows].tolist()
+        largest = min(set(roots), key=lambda r: (-roots.count(r), r))
+        for i in rows:
+            if root[i] == largest:
+                continue
+            others = [j for j in rows if root[j] != root[i] and (block[i] < 0 or block[i] != block[j]) and (sketch[i] == sketch[j]).mean() >= 0.3]
+            others.sort(key=lambda j: (-(sketch[i] == sketch[j]).mean(), j))
+            want |= {(i, j) for j in others[:width]}
+            if width is not None and len(others) > width:
+                more.add(g)
+    assert set(map(tuple, pairs.tolist())) == want and cut.tolist() == sorted(more) and len(want) > 100
+
+
+def test_buckets_go_on_in_the_next_batch(spark):
+    """Two buckets with a key each that is alike only to its bucket's least promising one: the ends of batches change nothing."""
+    sketch = lambda i: np.array([7 + i // 100, *(1 if k < (8 if i % 100 == 99 else i % 8) else 100 * i + k for k in range(9))], np.uint16)
+    sketches = common.stored(spark.createDataFrame([(i, sketch(i).tobytes()) for i in [*range(21), 99, *range(100, 121), 199]], "key long, sketch binary"))
+    content = lambda keys: keys.selectExpr("key", "CAST(CAST(key AS STRING) AS BINARY) AS content")
+    alike = lambda a, b: float(int(a) // 100 == int(b) // 100 and (99 not in (int(a) % 100, int(b) % 100) or {int(a) % 100, int(b) % 100} == {99, 8}))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        edges = {(r.a, r.b) for r in grouping.verified_edges(sketches, content, np.uint16, 10, minhash.estimate, 0.1, alike, lambda score: score >= 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {e for e in edges if e[1] % 100 == 99} == {(8, 99), (108, 199)}
+
+
 def test_least_distance_is_at_most_the_distance():
     random.seed(8)
     for _ in range(300):
