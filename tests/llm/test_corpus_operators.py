@@ -732,6 +732,33 @@ def test_blocks_refuse_no_pair_within_the_threshold():
     assert not len(editembed.similarities([], []))
 
 
+def test_pairs_are_refused_before_their_contents_move_or_are_read_whole():
+    """Profiles rule out no pair within the threshold, and most pairs of unlike texts; of such a pair few blocks are searched for; what blocks take at least ends a band sooner and changes no distance."""
+    random.seed(17)
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    text = lambda n: " ".join(f"{random.randrange(5000):x}é" for _ in range(n))
+    pairs = [("", ""), ("", "é"), ("a", "ab"), ("a" * 3000, "a" * 2800), ("a" * 3000, "a" * 2600)]
+    for _ in range(120):
+        a = text(random.choice((1, 3, 20, 80, 300)))
+        pairs.append((a, _with_character_edits(a, random.choice((0.0, 0.03, 0.08, 0.1, 0.12)))))
+    a, b = (editembed.profiles([p[k] for p in pairs]) for k in (0, 1))
+    likes = editembed.possible(a, b)
+    for (x, y), like in zip(pairs, likes):
+        most = int(0.1 * max(len(x), len(y)) + 1e-9)
+        d = editembed.edit_distance(x, y)
+        assert like or d > most
+        ends = editembed._trimmed(x, y)
+        refused, (taken,) = editembed._blocks([(*ends, most)])
+        assert d > most or not refused[0] and taken.sum() <= d
+        for k in () if refused[0] else {most // 2, max(most - 1, 0), most}:
+            assert editembed._distance(*ends, k, taken) == (d if d <= k else None), (x, y, k)
+    unlike = [text(60) for _ in range(40)]
+    assert editembed.possible(editembed.profiles(unlike[:20]), editembed.profiles(unlike[20:])).sum() <= 2
+    x, y = codes(text(1500)), codes(text(1500))
+    refused, (taken,) = editembed._blocks([(x, y, len(x) // 10)])
+    assert refused[0] and np.count_nonzero(taken) <= len(taken) // 2 + 1
+
+
 def test_lengths_that_the_threshold_rules_out_share_no_bucket():
     """Texts of one fingerprint and 1 to 3,000 characters: each two that may be alike meet in all bands, such as differ by more than a window in none."""
     prints = np.tile(np.arange(editembed.WALKS + 1, dtype=np.uint32), (3001, 1))
